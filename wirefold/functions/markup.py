@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wirefold.functions.text import blank_to_null, col, squeeze, unescape, word_cut
+from wirefold.functions.text import blank_to_null, col, let, squeeze, unescape, word_cut
 from wirefold.functions.times import read_time
 from wirefold.functions.urls import join_url, web_url
 
@@ -59,7 +59,7 @@ def _meta(tags: Column, pairs) -> Column:
         quoted = value.replace(".", r"\.")
         wanted = F.filter(tags, lambda t: t.rlike(
             rf"""(?i)\s{attr}\s*=\s*(?:"{quoted}"|'{quoted}'|{quoted}(?=[\s/>]))"""))
-        return blank_to_null(squeeze(attribute(F.get(wanted, F.lit(0)), "content")))
+        return let(squeeze(attribute(F.get(wanted, F.lit(0)), "content")), blank_to_null)
     return F.coalesce(*[one(a, v) for a, v in pairs])
 
 
@@ -69,21 +69,29 @@ def _metas(html: Column) -> Column:
 
 def page_meta(html: Column | str) -> Column:
     """struct(description, published_at) from a page's head, or its first <time>."""
-    html = F.regexp_replace(col(html), COMMENT, "")
-    tags = _metas(html)
-    stamp = F.regexp_extract(html, r"(?is)<time\b[^>]*\sdatetime\s*=[^>]*>", 0)
-    published = F.coalesce(read_time(_meta(tags, DATE_METAS), "UTC")["ts"],
-                           read_time(blank_to_null(attribute(stamp, "datetime")), "UTC")["ts"])
-    return F.struct(word_cut(_meta(tags, DESCRIPTION_METAS), 600).alias("description"),
-                    published.alias("published_at"))
+    def stamps(body: Column) -> Column:
+        tag = F.regexp_extract(body, r"(?is)<time\b[^>]*\sdatetime\s*=[^>]*>", 0)
+        return F.struct(_metas(body).alias("tags"), attribute(tag, "datetime").alias("time"))
+
+    def read(found: Column) -> Column:
+        written = F.array(_meta(found["tags"], DATE_METAS), blank_to_null(found["time"]))
+        times = F.filter(F.transform(written, lambda w: read_time(w, "UTC")["ts"]),
+                         lambda ts: ts.isNotNull())
+        return F.struct(
+            let(_meta(found["tags"], DESCRIPTION_METAS), lambda d: word_cut(d, 600))
+            .alias("description"), F.get(times, F.lit(0)).alias("published_at"))
+
+    return let(let(F.regexp_replace(col(html), COMMENT, ""), stamps), read)
 
 
 def page_title(html: Column | str) -> Column:
-    html = F.regexp_replace(col(html), COMMENT, "")
-    own = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    has_own = html.rlike(r"(?i)<title\b")
-    return F.substring(F.coalesce(_meta(_metas(html), TITLE_METAS),
-                                  F.when(has_own, squeeze(unescape(own)))), 1, 300)
+    def read(body: Column) -> Column:
+        own = F.regexp_extract(body, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+        has_own = body.rlike(r"(?i)<title\b")
+        named = let(_metas(body), lambda tags: _meta(tags, TITLE_METAS))
+        return F.substring(F.coalesce(named, F.when(has_own, squeeze(unescape(own)))), 1, 300)
+
+    return let(F.regexp_replace(col(html), COMMENT, ""), read)
 
 
 def declared_feed(html: Column | str, base: Column | str) -> Column:
@@ -93,12 +101,13 @@ def declared_feed(html: Column | str, base: Column | str) -> Column:
         attribute(t, "rel").rlike(r"(?i)(^|\s)alternate(\s|$)")
         & F.lower(attribute(t, "type")).isin("application/rss+xml", "application/atom+xml")
         & ~F.lower(attribute(t, "title")).contains("comment")))
-    urls = F.filter(F.transform(feeds, lambda t: web_url(attribute(t, "href"), base)),
-                    lambda u: u.isNotNull())
     own = F.concat(F.lower(F.regexp_replace(F.regexp_replace(col(base), r"\?.*$", ""), "/+$", "")),
                    F.lit("/"))
-    return F.coalesce(F.get(F.filter(urls, lambda u: F.lower(u).startswith(own)), F.lit(0)),
-                      F.get(urls, F.lit(0)))
+    return let(F.filter(F.transform(feeds, lambda t: web_url(attribute(t, "href"), base)),
+                        lambda u: u.isNotNull()),
+               lambda urls: F.coalesce(
+                   F.get(F.filter(urls, lambda u: F.lower(u).startswith(own)), F.lit(0)),
+                   F.get(urls, F.lit(0))))
 
 
 def anchors(html: Column | str) -> Column:
@@ -115,14 +124,15 @@ def page_text(html: Column | str, base: Column | str) -> Column:
     body = drop_tags(html, TEXT_DROP_TAGS)
     pieces = F.regexp_extract_all(body, F.lit(rf"({ANCHOR}|<[^>]*>|[^<]+|<)"), F.lit(1))
 
+    def linked(a: Column) -> Column:
+        return F.when((a["label"] != "") & a["link"].isNotNull(), F.concat(
+            F.lit("["), a["label"], F.lit("]("), a["link"], F.lit(")"))).otherwise(a["label"])
+
     def shown(p: Column) -> Column:
-        label = strip_tags(p)
         link = web_url(attribute(F.regexp_extract(p, r"(?is)^<a\b[^>]*>", 0), "href"), base)
-        linked = F.when((label != "") & link.isNotNull(),
-                        F.concat(F.lit("["), label, F.lit("]("), link, F.lit(")"))
-                        ).otherwise(label)
+        parts = F.struct(strip_tags(p).alias("label"), link.alias("link"))
         return (F.when(p.rlike(r"(?is)^<a\b[^>]*\shref\s*=.*</a\s*>$"),
-                       F.concat(F.lit("\n"), linked, F.lit("\n")))
+                       F.concat(F.lit("\n"), let(parts, linked), F.lit("\n")))
                 .when(p.rlike(r"(?s)^<.*>$"), F.lit("\n"))
                 .otherwise(unescape(p)))
 
@@ -138,8 +148,8 @@ def clean_page(html: Column | str, base: Column | str,
         col(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
     body = drop_tags(html, CLEAN_DROP_TAGS)
     body = F.regexp_replace(body, rf"(?i)</?({'|'.join(CLEAN_DROP_VOID)})\b[^>]*>", "")
-    inner = F.regexp_extract(body, r"(?is)<body\b[^>]*>.*</body\s*>", 0)
-    body = F.when(inner != "", inner).otherwise(body)
+    body = let(body, lambda b: F.coalesce(
+        blank_to_null(F.regexp_extract(b, r"(?is)<body\b[^>]*>.*</body\s*>", 0)), b))
     pieces = F.regexp_extract_all(body, F.lit(r"(<[A-Za-z][^>]*>|<[^>]*>|[^<]+|<)"), F.lit(1))
 
     def tidy(p: Column) -> Column:
@@ -154,25 +164,27 @@ def clean_page(html: Column | str, base: Column | str,
         end = F.when(p.rlike(r"/>$"), F.lit("/>")).otherwise(">")
         return F.when(p.rlike(r"^<[A-Za-z]"), F.concat(*parts, end)).otherwise(p)
 
-    markup = F.array_join(F.transform(pieces, tidy), "")
-    full = F.when(title.isNotNull(), F.concat(F.lit("<h1>"), title, F.lit("</h1>\n"), markup)
-                  ).otherwise(markup)
-    shown = F.substring(full, 1, limit)
-    return F.struct(shown.alias("html"), F.length(strip_tags(shown)).alias("text_chars"),
-                    (F.length(full) > limit).alias("truncated"))
+    full = F.concat(let(title, lambda t: F.when(t.isNull(), "").otherwise(
+        F.concat(F.lit("<h1>"), t, F.lit("</h1>\n")))),
+        F.array_join(F.transform(pieces, tidy), ""))
+    cut = let(full, lambda f: F.struct(F.substring(f, 1, limit).alias("html"),
+                                       (F.length(f) > limit).alias("truncated")))
+    return let(cut, lambda c: F.struct(
+        c["html"].alias("html"), F.length(strip_tags(c["html"])).alias("text_chars"),
+        c["truncated"].alias("truncated")))
 
 
 def xml_text(c: Column | str) -> Column:
     """An element's text: CDATA as it is, anything else decoded."""
-    c = col(c)
-    raw = F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    return F.when(c.contains("<![CDATA["), raw).otherwise(unescape(c))
+    return let(c, lambda t: F.when(t.contains("<![CDATA["), F.regexp_replace(
+        t, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")).otherwise(unescape(t)))
 
 
 def xml_field(block: Column | str, *names: str) -> Column:
     """Decoded text of the first of the elements that is there and not empty."""
-    return F.coalesce(*[blank_to_null(F.trim(xml_text(F.regexp_extract(
-        col(block), rf"(?is)<{n}\b[^>]*(?<!/)>(.*?)</{n}\s*>", 1)))) for n in names])
+    return F.coalesce(*[let(F.trim(xml_text(F.regexp_extract(
+        col(block), rf"(?is)<{n}\b[^>]*(?<!/)>(.*?)</{n}\s*>", 1))), blank_to_null)
+        for n in names])
 
 
 def any_of(conditions) -> Column:

@@ -50,6 +50,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column | str, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
+
+    Without this an expression is repeated at every use, and chains of them grow the plan
+    exponentially.
+    """
+    return F.get(F.transform(F.array(col(value)), body), F.lit(0))
+
+
 def array_of(values, of: str = "string") -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{of}>")
 
@@ -73,9 +82,11 @@ def blank_to_null(c: Column) -> Column:
 
 def word_cut(c: Column | str, limit: int) -> Column:
     """At most ``limit`` characters, cut back to a whole word and marked."""
-    c = col(c)
-    head = F.regexp_replace(F.substring(c, 1, limit), r" [^ ]*$", "")
-    return F.when(F.length(c) > limit, F.concat(head, F.lit(ELLIPSIS))).otherwise(c)
+    def cut(t: Column) -> Column:
+        head = F.regexp_replace(F.substring(t, 1, limit), r" [^ ]*$", "")
+        return F.when(F.length(t) > limit, F.concat(head, F.lit(ELLIPSIS))).otherwise(t)
+
+    return let(c, cut)
 
 
 def _entity(piece: Column) -> Column:
@@ -93,15 +104,18 @@ def _entity(piece: Column) -> Column:
 def unescape(c: Column | str) -> Column:
     """Character references decoded in one pass, so ``&amp;lt;`` yields ``&lt;``."""
     c = col(c)
-    pieces = F.regexp_extract_all(
-        c, F.lit(r"(&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);|[^&]+|&)"), F.lit(1))
-    return F.when(c.contains("&"), F.array_join(F.transform(pieces, _entity), "")).otherwise(c)
+    def decoded(t: Column) -> Column:
+        pieces = F.regexp_extract_all(
+            t, F.lit(r"(&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);|[^&]+|&)"), F.lit(1))
+        return F.when(t.contains("&"), F.array_join(F.transform(pieces, _entity), "")).otherwise(t)
+
+    return let(c, decoded)
 
 
 def feed_text(c: Column | str, limit: int = 600) -> Column:
     """Markup and references removed; null when nothing is left."""
     plain = squeeze(unescape(F.regexp_replace(col(c), r"<[^>]+>", " ")))
-    return word_cut(blank_to_null(plain), limit)
+    return word_cut(let(plain, blank_to_null), limit)
 
 
 def markdown_text(c: Column | str, limit: int = 320) -> Column:
@@ -117,13 +131,13 @@ def snippet(c: Column | str, limit: int = 400) -> Column:
 
 def label_text(c: Column | str, limit: int) -> Column:
     """A model's label: placeholders become null, edges trimmed, length capped."""
-    text = F.btrim(squeeze(c), F.lit(" .,;"))
-    return F.when(~F.lower(text).isin(*NULL_LABELS), blank_to_null(F.substring(text, 1, limit)))
+    return let(F.btrim(squeeze(c), F.lit(" .,;")), lambda t: F.when(
+        ~F.lower(t).isin(*NULL_LABELS), blank_to_null(F.substring(t, 1, limit))))
 
 
 def company_text(c: Column | str, limit: int = 200) -> Column:
-    text = F.btrim(squeeze(c), F.lit(" .,"))
-    return F.when(~F.lower(text).isin(*NULL_COMPANIES), F.substring(text, 1, limit))
+    return let(F.btrim(squeeze(c), F.lit(" .,")), lambda t: F.when(
+        ~F.lower(t).isin(*NULL_COMPANIES), F.substring(t, 1, limit)))
 
 
 def steer_query(c: Column | str) -> Column:

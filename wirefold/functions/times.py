@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wirefold.functions.text import blank_to_null, col, squeeze
+from wirefold.functions.text import blank_to_null, col, let, squeeze
 
 IST = "Asia/Kolkata"
 MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?"
@@ -81,6 +81,10 @@ def read_time(c: Column | str, zone: str = IST) -> Column:
     text = F.regexp_replace(text, r"^(\d{1,2}[ -])([A-Za-z]{3}),?([ -])(\d{4})", "$1$2$3$4")
     text = F.regexp_replace(text, r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})", "$1 $2 $3")
     text = F.regexp_replace(text, r"^(\d{1,2} [A-Za-z]{3} \d{4}),? (?:at )?", "$1 ")
+    return let(text, lambda t: _settle(t, zone))
+
+
+def _settle(text: Column, zone: str) -> Column:
     zoned = text.rlike(_ZONED) & text.rlike(r"\d:\d{2}")
     iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}|$)")
     iso_text = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
@@ -94,16 +98,25 @@ def read_time(c: Column | str, zone: str = IST) -> Column:
         "d MMM yyyy h:mma", "d MMM yyyy h a", "d MMM yyyy ha")])
     wall = F.when(iso, F.regexp_replace(iso_text, _ZONED, "").try_cast("timestamp")
                   ).otherwise(written)
-    ts = (F.when(zoned & iso, iso_text.try_cast("timestamp"))
-          .when(zoned & (offset != ""), wall - F.make_dt_interval(mins=minutes))
-          .when(zoned, wall)
-          .otherwise(F.to_utc_timestamp(wall, zone)))
-    return F.struct(ts.alias("ts"), F.to_date(wall).alias("local_day"))
+
+    def placed(w: Column) -> Column:
+        ts = (F.when(w.isNull(), None)
+              .when(zoned & iso, iso_text.try_cast("timestamp"))
+              .when(zoned & (offset != ""), w - F.make_dt_interval(mins=minutes))
+              .when(zoned, w)
+              .otherwise(F.to_utc_timestamp(w, zone)))
+        return F.struct(ts.alias("ts"), F.to_date(w).alias("local_day"))
+
+    return let(wall, placed)
 
 
 def published_time(c: Column | str, as_of) -> Column:
     """struct(ts, approx): "3 hours ago", "yesterday" or a written date."""
-    text = F.lower(squeeze(c))
+    return let(squeeze(c), lambda t: _published(t, as_of))
+
+
+def _published(said: Column, as_of) -> Column:
+    text = F.lower(said)
     now = instant(as_of)
     amount = F.regexp_replace(
         F.regexp_extract(text, r"^(\d+|an?) (second|minute|min|hour|day|week|month|year)s? ago$", 1),
@@ -124,20 +137,25 @@ def published_time(c: Column | str, as_of) -> Column:
                 .when(unit == "year", back(years=amount))
                 .when(text == "yesterday", back(days=F.lit(1)))
                 .when(text.isin("today", "now", "just now"), now))
-    ts = F.coalesce(relative, read_time(c)["ts"])
+    ts = F.coalesce(relative, read_time(said)["ts"])
     words = text.rlike(r"\b(ago|hour|hours|minute|minutes|day|days|week|weeks|month|months"
                        r"|yesterday|today)\b")
-    return F.struct(ts.alias("ts"), (ts.isNotNull() & words).alias("approx"))
+    return let(ts, lambda v: F.struct(
+        v.alias("ts"), F.coalesce(v.isNotNull() & words, F.lit(False)).alias("approx")))
 
 
 def event_time(c: Column | str) -> Column:
     """struct(ts, date_only). No zone means Indian time; no clock means the whole day."""
     text = F.substring(squeeze(c), 1, 80)
     has_clock = text.rlike(r"(?i)\d{1,2}:\d{2}|\d\s*(am|pm)\b")
-    read = read_time(text)
-    ts = F.when(has_clock, read["ts"]).otherwise(
-        F.to_utc_timestamp(read["local_day"].cast("timestamp"), IST))
-    return F.struct(ts.alias("ts"), (ts.isNotNull() & ~has_clock).alias("date_only"))
+
+    def placed(read: Column) -> Column:
+        ts = F.when(has_clock, read["ts"]).otherwise(
+            F.to_utc_timestamp(read["local_day"].cast("timestamp"), IST))
+        return F.struct(ts.alias("ts"), F.coalesce(read["ts"].isNotNull() & ~has_clock, F.lit(False))
+                        .alias("date_only"))
+
+    return let(read_time(text), placed)
 
 
 def date_in_text(c: Column | str) -> Column:

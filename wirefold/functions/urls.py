@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wirefold.functions.text import blank_to_null, col, squeeze, strip
+from wirefold.functions.text import blank_to_null, col, let, squeeze, strip
 
 # --- fixed values -------------------------------------------------------------
 # Hosts that never carry a post: social profiles, maps, mail.
@@ -60,6 +60,10 @@ def same_url(a: Column | str, b: Column | str) -> Column:
 
 def _settle_dots(p: Column) -> Column:
     """Resolve . and .. segments of an absolute path."""
+    return F.when(p.rlike(r"(^|/)\.\.?(/|$)"), let(p, _fold_dots)).otherwise(p)
+
+
+def _fold_dots(p: Column) -> Column:
     segments = F.split(p, "/")
     last = F.element_at(segments, -1)
     folded = F.aggregate(
@@ -68,23 +72,28 @@ def _settle_dots(p: Column) -> Column:
         .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1))))
         .otherwise(F.concat(acc, F.array(s))))
     tail = F.when(last.isin(".", ".."), F.lit("/")).otherwise("")
-    return F.when(p.rlike(r"(^|/)\.\.?(/|$)"),
-                  F.concat(F.array_join(folded, "/"), tail)).otherwise(p)
+    return F.concat(F.array_join(folded, "/"), tail)
 
 
 def join_url(base: Column | str, href: Column | str) -> Column:
     """``href`` as seen from the page ``base``."""
-    base, href = col(base), strip(col(href))
+    both = F.struct(col(base).alias("base"), strip(col(href)).alias("href"))
+    return let(both, lambda b: _joined(b["base"], b["href"]))
+
+
+def _joined(base: Column, href: Column) -> Column:
     root = F.concat(_part(base, 1), F.lit("://"), netloc(base))
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
     rest = F.concat(_part(href, 4), _part(href, 5))
     target = _part(href, 3)
-    resolved = F.when(target.startswith("/"), target).otherwise(F.concat(folder, target))
-    return (F.when(href == "", base)
+    resolved = let(F.when(target.startswith("/"), target).otherwise(F.concat(folder, target)),
+                   _settle_dots)
+    return (F.when(base.isNull() | href.isNull(), None)
+            .when(href == "", base)
             .when(_part(href, 1) != "", href)
             .when(href.startswith("//"), F.concat(_part(base, 1), F.lit(":"), href))
-            .when(target != "", F.concat(root, _settle_dots(resolved), rest))
+            .when(target != "", F.concat(root, resolved, rest))
             .when(href.startswith("?"), F.concat(root, path(base), rest))
             .otherwise(F.concat(F.regexp_replace(base, "#.*$", ""), rest)))
 
@@ -93,11 +102,11 @@ def web_url(value: Column | str, base: Column | str | None = None,
             limit: int | None = None) -> Column:
     """An absolute http(s) link, or null."""
     value = blank_to_null(strip(value))
-    url = value if base is None else join_url(base, value)
-    ok = is_web(url)
-    if limit:
-        ok = ok & (F.length(url) <= limit)
-    return F.when(ok, url)
+    def checked(url: Column) -> Column:
+        ok = is_web(url)
+        return F.when(ok & (F.length(url) <= limit) if limit else ok, url)
+
+    return let(value if base is None else join_url(base, value), checked)
 
 
 def is_post_link(url: Column | str, page_url: Column | str,

@@ -75,7 +75,9 @@ def story_dedupe(rows: DataFrame, as_of, order: list[str], id_col: str = "id",
     anchor = instant(as_of)
     new = _story_rows(rows, order, id_col, anchor, hours, 1)
     new = cut(new, "story-rows")
-    old = None if stored is None else _story_rows(stored, order, id_col, anchor, hours, 0)
+    old = None
+    if stored is not None:
+        old = _story_rows(_worth_comparing(stored, new, hours), order, id_col, anchor, hours, 0)
     groups = _story_groups(new, old)
     near = cut(similar_groups(groups, threshold, hot), "story-pairs")
 
@@ -106,16 +108,32 @@ def story_dedupe(rows: DataFrame, as_of, order: list[str], id_col: str = "id",
     return _point_stories(rows, new, old, kept, near, hours, id_col)
 
 
+def _worth_comparing(stored: DataFrame, new: DataFrame, hours: int) -> DataFrame:
+    """Stored rows that share a story key with the batch or lie near one of its rows in time.
+
+    Decided on two narrow columns, so a long history is neither tokenised nor shuffled whole.
+    """
+    if "story_key" not in stored.columns:
+        stored = stored.withColumn("story_key", text.story_key("headline"))
+    keys = new.select(F.col("cls").alias("story_key"), F.lit(True).alias("_same")).distinct()
+    times = _around(new).withColumnRenamed("bucket", "_bucket").withColumn("_close", F.lit(True))
+    return (stored.withColumn("_bucket", _bucket("published_at", hours * 3600))
+            .join(keys, "story_key", "left").join(times, "_bucket", "left")
+            .where("_same or _close").drop("_bucket", "_same", "_close"))
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode(F.array(
+        F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")).distinct()
+
+
 def _story_groups(new: DataFrame, old: DataFrame | None) -> DataFrame:
     def grouped(df: DataFrame, as_new: bool) -> DataFrame:
         return df.select("gid", "pid", "cls", "profile", "numbers", "bucket",
                          F.lit(as_new).alias("as_new"), F.col("dated").alias("as_old"))
     rows = grouped(new, True)
     if old is not None:
-        around = (new.select(F.explode(F.array(
-            F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-            .distinct())
-        rows = rows.unionByName(grouped(old.join(around, "bucket", "left_semi"), False))
+        rows = rows.unionByName(grouped(old.join(_around(new), "bucket", "left_semi"), False))
     return cut(rows.groupBy("gid").agg(
         *[F.first(c).alias(c) for c in ("pid", "cls", "profile", "numbers", "bucket")],
         F.max("as_new").alias("as_new"), F.max("as_old").alias("as_old")), "story-groups")
