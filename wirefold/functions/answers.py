@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirefold.functions.text import blank_to_null, col, strip
+from wirefold.functions.text import blank_to_null, col, let, strip
 
 ROWS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 OBJECT = T.MapType(T.StringType(), T.StringType())
@@ -16,19 +16,22 @@ NONE = "array<map<string,string>>"
 def _valid(text: Column) -> Column:
     """The text when it is exactly one JSON value. The parser stops after the first value
     it meets, so the text is tried inside an array and inside an object."""
-    return F.when(
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-        & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull(), text)
+    return let(text, lambda t: F.when(
+        F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))).isNotNull()
+        & F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull(), t))
 
 
 def json_part(c: Column | str) -> Column:
     """The JSON inside an answer: fenced, bare, or between the outermost brackets. Null if none."""
-    text = strip(col(c))
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.+?)\s*```", 1)
-    text = F.when(fenced != "", fenced).otherwise(text)
-    array = F.regexp_extract(text, r"(?s)\[.*\]", 0)
-    record = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(*[_valid(blank_to_null(t)) for t in (text, array, record)])
+    def unfenced(text: Column) -> Column:
+        inside = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.+?)\s*```", 1)
+        return F.coalesce(blank_to_null(inside), text)
+
+    def parsed(text: Column) -> Column:
+        return F.coalesce(_valid(text), *[_valid(F.regexp_extract(text, p, 0))
+                                          for p in (r"(?s)\[.*\]", r"(?s)\{.*\}")])
+
+    return let(let(strip(col(c)), unfenced), parsed)
 
 
 def _objects(text: Column) -> Column:
@@ -40,14 +43,16 @@ def _objects(text: Column) -> Column:
 
 def _wrapped(text: Column) -> Column:
     """Rows of an object: its first list of objects, itself if it is a row, or JSON in a string."""
-    fields = F.from_json(F.when(text.rlike(r"^\s*\{"), text), OBJECT)
-    values = F.map_values(fields)
-    lists = F.filter(F.transform(values, _objects), lambda r: F.size(r) > 0)
-    itself = F.when(F.map_contains_key(fields, "headline") | F.map_contains_key(fields, "url"),
-                    F.array(fields))
-    inner = F.filter(F.transform(values, lambda v: _objects(json_part(v))),
-                     lambda r: F.size(r) > 0)
-    return F.coalesce(F.get(lists, F.lit(0)), itself, F.get(inner, F.lit(0)))
+    def rows(fields: Column) -> Column:
+        values = F.map_values(fields)
+        lists = F.filter(F.transform(values, _objects), lambda r: F.size(r) > 0)
+        itself = F.when(F.map_contains_key(fields, "headline") | F.map_contains_key(fields, "url"),
+                        F.array(fields))
+        inner = F.filter(F.transform(values, lambda v: _objects(json_part(v))),
+                         lambda r: F.size(r) > 0)
+        return F.coalesce(F.get(lists, F.lit(0)), itself, F.get(inner, F.lit(0)))
+
+    return let(F.from_json(F.when(text.rlike(r"^\s*\{"), text), OBJECT), rows)
 
 
 def _salvaged(text: Column) -> Column:
@@ -59,18 +64,21 @@ def _salvaged(text: Column) -> Column:
 
 
 def _some(rows: Column) -> Column:
-    return F.when(F.size(rows) > 0, rows)
+    return let(rows, lambda r: F.when(F.size(r) > 0, r))
 
 
 def answer_rows(c: Column | str) -> Column:
     """array<map<string,string>> of an answer's rows; empty when nothing can be read."""
-    text = F.coalesce(col(c), F.lit(""))
-    cleaned = strip(F.regexp_replace(text, r"(?is)<reasoning>.*?(?:</reasoning>|$)", ""))
-    tries = []
-    for candidate in (cleaned, text):
-        part = json_part(candidate)
-        tries += [_some(_objects(part)), _some(_wrapped(part))]
-    return F.coalesce(*tries, _some(_salvaged(text)), F.array().cast(NONE))
+    def rows_of(text: Column) -> Column:
+        return let(json_part(text), lambda part: F.coalesce(
+            _some(_objects(part)), _some(_wrapped(part))))
+
+    def tried(text: Column) -> Column:
+        cleaned = F.regexp_replace(text, r"(?is)<reasoning>.*?(?:</reasoning>|$)", "")
+        return F.coalesce(rows_of(cleaned), rows_of(text), _some(_salvaged(text)),
+                          F.array().cast(NONE))
+
+    return let(F.coalesce(col(c), F.lit("")), tried)
 
 
 def unwrap(c: Column | str) -> Column:
@@ -78,5 +86,5 @@ def unwrap(c: Column | str) -> Column:
     text = col(c)
     fields = F.from_json(F.when(text.rlike(r"^\s*\{"), text), OBJECT)
     alone = (F.size(fields) == 1) & F.map_contains_key(fields, "content")
-    inner = F.when(alone, fields["content"]).otherwise(text)
-    return F.coalesce(json_part(inner), strip(inner))
+    return let(F.when(alone, fields["content"]).otherwise(text),
+               lambda inner: F.coalesce(json_part(inner), strip(inner)))

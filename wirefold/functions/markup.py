@@ -149,7 +149,7 @@ def clean_page(html: Column | str, base: Column | str,
     body = drop_tags(html, CLEAN_DROP_TAGS)
     body = F.regexp_replace(body, rf"(?i)</?({'|'.join(CLEAN_DROP_VOID)})\b[^>]*>", "")
     body = let(body, lambda b: F.coalesce(
-        blank_to_null(F.regexp_extract(b, r"(?is)<body\b[^>]*>.*</body\s*>", 0)), b))
+        blank_to_null(F.regexp_extract(b, r"(?is)<body\b[^>]*>(?:.*</body\s*>|.*)", 0)), b))
     pieces = F.regexp_extract_all(body, F.lit(r"(<[A-Za-z][^>]*>|<[^>]*>|[^<]+|<)"), F.lit(1))
 
     def tidy(p: Column) -> Column:

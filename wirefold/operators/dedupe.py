@@ -18,7 +18,7 @@ from wirefold.functions import text
 from wirefold.functions.times import instant
 from wirefold.functions.urls import trimmed
 from wirefold.operators.greedy import by_keys, cut, greedy_keep
-from wirefold.operators.similarity import HOT_TOKEN_PROFILES, similar_groups
+from wirefold.operators.similarity import HOT_TOKEN_GROUPS, similar_groups
 
 STORY_HOURS, STORY_THRESHOLD = 72, 0.60
 COMPANY_HOURS, COMPANY_FLOOR = 48, 0.25
@@ -63,7 +63,7 @@ def _story_rows(df: DataFrame, order: list[str], id_col: str, anchor: Column, ho
 def story_dedupe(rows: DataFrame, as_of, order: list[str], id_col: str = "id",
                  stored: DataFrame | None = None, hours: int = STORY_HOURS,
                  threshold: float = STORY_THRESHOLD,
-                 hot: int = HOT_TOKEN_PROFILES) -> DataFrame:
+                 hot: int = HOT_TOKEN_GROUPS) -> DataFrame:
     """``rows`` with ``story_key`` and ``canonical_id`` (null on a story's first row).
 
     A row repeats an earlier canonical one when their story keys are equal, at any

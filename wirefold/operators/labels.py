@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from wirefold.functions import money, taxonomy
 from wirefold.functions.answers import json_part
-from wirefold.functions.text import col, company_text, label_text, squeeze, strip
+from wirefold.functions.text import col, company_text, label_text, let, squeeze, strip
 from wirefold.functions.times import instant
 from wirefold.functions.urls import slug_title
 from wirefold.operators.dedupe import admit_added_rounds
@@ -165,7 +165,7 @@ def page_prompts(pages: DataFrame, limit: int = PAGE_PROMPT_CHARS) -> DataFrame:
 
 def read_answers(answers: DataFrame) -> DataFrame:
     """(batch, number, pos, entry): every numbered object of every answer."""
-    items = F.from_json(F.when(json_part("body").startswith("["), json_part("body")),
+    items = F.from_json(let(json_part("body"), lambda p: F.when(p.startswith("["), p)),
                         "array<string>")
     entry = F.from_json("item", "map<string,string>")
     return (answers.select("batch", F.posexplode(items).alias("pos", "item"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.functions.text import chunk_body, col
+from wirefold.operators.greedy import cut
 
 FIELDS = ("headline", "description", "company", "summary")
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -108,14 +109,15 @@ def _stemmed(df: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS, stemming: bool = True) -> DataFrame:
-    """(id, field, term, tf). Counted before any shuffle of whole texts."""
+    """(id, field, term, tf), meant to be stored. Words are counted where the texts lie."""
     parts = F.array(*[F.struct(F.lit(f).alias("field"), terms(f).alias("terms")) for f in fields])
     words = (docs.select("id", F.explode(parts).alias("p"))
              .select("id", "p.field", F.explode("p.terms").alias("term")))
     counted = words.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
     if not stemming:
         return counted
-    return _stemmed(counted).groupBy("id", "field", "term").agg(F.sum("tf").alias("tf"))
+    return (_stemmed(cut(counted, "postings")).groupBy("id", "field", "term")
+            .agg(F.sum("tf").alias("tf")))
 
 
 def update_postings(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None,

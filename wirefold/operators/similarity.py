@@ -6,8 +6,8 @@ are counted once. A pair scoring at least ``threshold`` shares at least
 Among the shorter side's ``n - o + 2`` rarest tokens two must therefore be shared.
 That gives the join keys:
 
-* a token found in few profiles is a key of its own;
-* tokens found in many profiles (hot) only form keys two at a time;
+* a token found in few groups of any one time bucket is a key of its own;
+* tokens found in many groups of a bucket (hot) only form keys two at a time;
 * a headline with very many hot tokens is reached by single hot tokens instead,
   in a name space of its own, so that no headline emits a quadratic number of keys.
 """
@@ -19,19 +19,23 @@ from pyspark.sql import functions as F
 
 from wirefold.functions import text
 
-HOT_TOKEN_PROFILES = 5_000
+HOT_TOKEN_GROUPS = 500
 WIDE_HOT_TOKENS = 48
 
 
-def rank_tokens(profiles: DataFrame, hot: int) -> DataFrame:
-    """profiles(pid, profile) with ``ranked``: their tokens rarest first, hot ones flagged."""
-    exploded = profiles.select("pid", F.explode("profile.tokens").alias("token"))
-    df = exploded.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = (exploded.join(df, "token").groupBy("pid")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r")))
-    return profiles.join(ranked, "pid").withColumn(
-        "ranked", F.transform("r", lambda t: F.struct(
-            t["token"].alias("token"), (t["df"] > hot).alias("hot")))).drop("r")
+def rank_tokens(groups: DataFrame, hot: int) -> DataFrame:
+    """(pid, ranked): each profile's tokens rarest first, hot ones flagged.
+
+    A token's weight is how many groups of one bucket have it at most, since that is
+    how long its longest list of candidates gets.
+    """
+    exploded = groups.select("pid", "bucket", F.explode("profile.tokens").alias("token"))
+    df = (exploded.groupBy("token", "bucket").agg(F.count("*").alias("n"))
+          .groupBy("token").agg(F.max("n").alias("df")))
+    return (exploded.select("pid", "token").distinct().join(df, "token").groupBy("pid")
+            .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+            .select("pid", F.transform("r", lambda t: F.struct(
+                t["token"].alias("token"), (t["df"] > hot).alias("hot"))).alias("ranked")))
 
 
 def _pairs(tokens: Column) -> Column:
@@ -58,16 +62,15 @@ def _keys(ranked: Column, threshold: float, small: bool) -> Column:
 
 
 def similar_groups(groups: DataFrame, threshold: float,
-                   hot: int = HOT_TOKEN_PROFILES) -> DataFrame:
+                   hot: int = HOT_TOKEN_GROUPS) -> DataFrame:
     """Directed pairs (newer, older, score) among groups whose headlines match.
 
     ``groups(gid, pid, cls, profile, numbers, bucket, as_new, as_old)``: only groups
     flagged ``as_new`` are the later side, only ``as_old`` ones the earlier. Pairs of
     one class, of differing numbers or more than one bucket apart are left out.
     """
-    ranked = rank_tokens(groups.select("pid", "profile").dropDuplicates(["pid"]), hot)
     wide = groups.select("gid", "pid", "cls", "numbers", "bucket", "as_new", "as_old").join(
-        ranked.select("pid", "ranked"), "pid").where(F.size("ranked") >= 2)
+        rank_tokens(groups, hot), "pid").where(F.size("ranked") >= 2)
     base = ["gid", "cls", "numbers", "as_new", "as_old", F.size("ranked").alias("n")]
     small = wide.select(*base, "bucket",
                         F.explode(_keys(F.col("ranked"), threshold, True)).alias("key"))

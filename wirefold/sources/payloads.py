@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.functions.answers import answer_rows, json_part
-from wirefold.functions.text import blank_to_null, col, label_text, squeeze, strip
+from wirefold.functions.text import blank_to_null, col, label_text, let, squeeze, strip
 from wirefold.functions.times import event_time, read_time
 from wirefold.functions.urls import event_uid, web_url
 
@@ -31,8 +31,8 @@ POST_ROW = (
 
 
 def field_text(c: Column | str, limit: int) -> Column:
-    text = blank_to_null(squeeze(c))
-    return F.when(~F.lower(text).isin(*NO_VALUE), F.substring(text, 1, limit))
+    return let(squeeze(c), lambda t: F.when(
+        (t != "") & ~F.lower(t).isin(*NO_VALUE), F.substring(t, 1, limit)))
 
 
 def _truth(c: Column | str) -> Column:
@@ -69,10 +69,12 @@ def calendar_events(rows: DataFrame) -> DataFrame:
 
 def page_events(answers: DataFrame) -> DataFrame:
     """Events of page answers(source_key, page_url, body): a list, or an object's first list."""
-    part = json_part("body")
-    fields = F.map_values(F.from_json(F.when(part.startswith("{"), part), "map<string,string>"))
-    listed = F.coalesce(F.when(part.startswith("["), part),
-                        F.get(F.filter(fields, lambda v: v.startswith("[")), F.lit(0)))
+    def list_in(part: Column) -> Column:
+        fields = F.map_values(F.from_json(F.when(part.startswith("{"), part), "map<string,string>"))
+        return F.coalesce(F.when(part.startswith("["), part),
+                          F.get(F.filter(fields, lambda v: v.startswith("[")), F.lit(0)))
+
+    listed = let(json_part("body"), list_in)
     items = F.filter(F.from_json(listed, "array<string>"), lambda i: i.startswith("{"))
     r = F.from_json("item", "title string, name string, start string, end string, city string, "
                             "venue string, online string, url string, description string")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("feed", "text", "stories", "rounds", "activity", "pages", "labels", "reads", "streams")
+MODULES = ("feed", "text", "stories", "rounds", "activity", "pages", "labels", "payloads", "reads",
+           "streams")
 
 
 def load() -> dict:

@@ -56,11 +56,11 @@ def feed_activity_tz(t: Tables) -> DataFrame:
 @query(f"""WITH {ORDER_SQL}
 SELECT id, category, source, company, published_at FROM arts
 WHERE canonical_id IS NULL AND category IN ('Funding', 'Market/Analysis')
-  AND contains(lower(company), '#00000001')
-  AND (published_at IS NULL OR published_at >= TIMESTAMP '2001-07-02')""")
+  AND contains(lower(company), '#00000000')
+  AND (published_at IS NULL OR published_at >= TIMESTAMP '2000-08-01')""")
 def filter_spec_apply(t: Tables) -> DataFrame:
-    spec = feed.FilterSpec(categories=("Funding", "Market/Analysis"), company="#00000001",
-                           since_days=30)
+    spec = feed.FilterSpec(categories=("Funding", "Market/Analysis"), company="#00000000",
+                           since_days=365)
     return feed.feed_rows(order_articles(t), spec, AS_OF).select(
         "id", "category", "source", "company", "published_at")
 

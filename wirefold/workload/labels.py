@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.operators import labels, search
+from wirefold.operators.greedy import cut
 from wirefold.workload.base import DOC_AS_OF, DOC_SQL, Tables, doc_articles, query
 
 _LINE = """headline || CASE WHEN coalesce(description, '') <> ''
@@ -98,7 +99,8 @@ SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2
   / (tf + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score, count(*) AS matched
 FROM tf JOIN df USING (term) JOIN len USING (id), tot GROUP BY id""")
 def bm25_search(t: Tables) -> DataFrame:
-    index = search.postings(doc_articles(t), ("headline", "description"), stemming=False)
+    index = cut(search.postings(doc_articles(t), ("headline", "description"), stemming=False),
+                "index")
     return search.ranked(index, "There thing QUAND reading schen", stemming=False).select(
         "id", F.round("score", 6).alias("score"), "matched")
 
@@ -107,7 +109,7 @@ def bm25_search(t: Tables) -> DataFrame:
 def stemmed_search(t: Tables) -> DataFrame:
     """The same with English stems, documents of one source first, best fifty."""
     docs = doc_articles(t).withColumn("company", F.col("source"))
-    index = search.postings(docs, ("headline", "description"))
+    index = cut(search.postings(docs, ("headline", "description")), "index")
     return search.tiered(index, docs, "reading things there", "src3", 50)
 
 

@@ -107,18 +107,23 @@ def feed_items(t: Tables) -> DataFrame:
         "feed_url", F.col("source").cast("bigint").alias("item"), "headline", "url", "published_at")
 
 
-@query("""SELECT s.host AS map_url, row_number() OVER (PARTITION BY host ORDER BY page_id DESC) AS rank,
-  url FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*', 0) AS host,
-    regexp_replace(url, '#.*$', '') AS url FROM pages) s QUALIFY rank <= 30""")
+@query("""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href,
+    generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS i FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS map_url, row_number() OVER (PARTITION BY page_id ORDER BY i DESC)
+    AS rank, 'https://s.example' || href AS url,
+  TIMESTAMP '2025-12-31 18:30:00' + to_days(CAST(i AS INTEGER)) AS published_at
+FROM s WHERE href <> '' QUALIFY rank <= 30""")
 def sitemap_entries(t: Tables) -> DataFrame:
-    """Every site's pages as its sitemap, newest first, up to the newest thirty of a read."""
-    day = F.date_format(F.timestamp_seconds(F.lit(1767225600) + F.col("page_id") * 86400), "yyyy-MM-dd")
-    host = F.regexp_extract("url", "^https?://[^/?#]*", 0)
-    entry = F.concat(F.lit("<url><loc>"), F.regexp_replace("url", "#.*$", ""), F.lit("</loc><lastmod>"),
-                     day, F.lit("</lastmod></url>"))
-    maps = t.pages.groupBy(host.alias("url")).agg(
-        F.array_join(F.array_sort(F.collect_list(entry)), "").alias("body"))
-    return feeds.sitemap_posts(maps).select("map_url", F.col("rank").cast("bigint").alias("rank"), "url")
+    """Every page's links as a sitemap of their own, later links newer, the newest thirty kept."""
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    entries = F.transform(hrefs, lambda h, i: F.concat(
+        F.lit("<url><loc>https://s.example"), h, F.lit("</loc><lastmod>"),
+        F.date_format(F.timestamp_seconds(F.lit(1767225600) + (i + 1) * 86400), "yyyy-MM-dd"),
+        F.lit("</lastmod></url>")))
+    maps = t.pages.select(F.col("page_id").cast("string").alias("url"),
+                          F.array_join(entries, "").alias("body"))
+    return feeds.sitemap_posts(maps).select(
+        "map_url", F.col("rank").cast("bigint").alias("rank"), "url", "published_at")
 
 
 @query(f"""WITH p AS (SELECT page_id, starts_with(url, 'https') AS seen,

@@ -139,12 +139,12 @@ def event_link_dedupe(t: Tables) -> DataFrame:
 
 
 @query("""SELECT p_partkey, p_name AS url FROM part
-WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')
-  AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)""")
+WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)
+  AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 2)""")
 def unseen_urls(t: Tables) -> DataFrame:
     rows = t.part.withColumn("url", F.col("p_partkey").cast("string"))
     key = F.col("l_partkey").cast("string").alias("url")
     return dedupe.unseen_urls(
-        rows, t.lineitem.where("l_returnflag = 'R'").select(key),
-        t.lineitem.where("l_quantity > 45").select(key)).select(
+        rows, t.lineitem.where("l_quantity > 49").select(key),
+        t.lineitem.where("l_quantity < 2").select(key)).select(
         "p_partkey", F.col("p_name").alias("url"))
