@@ -112,18 +112,20 @@ def web_url(value: Column | str, base: Column | str | None = None,
 def is_post_link(url: Column | str, page_url: Column | str,
                  pattern: Column | str | None = None) -> Column:
     """A link that can be a post: a web page, not social, not the page itself."""
-    url = col(url)
-    host = F.lower(netloc(url))
-    social = F.lit(False)
-    for h in SKIP_HOSTS:
-        social = social | (host == h) | host.endswith("." + h)
-    itself = F.regexp_replace(url, "/+$", "") == F.regexp_replace(col(page_url), "/+$", "")
-    ok = is_web(url) & ~social & ~itself
-    if pattern is None:
-        return ok
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    wanted = pattern.isNull() | (pattern == "") | F.rlike(url, F.concat(F.lit("(?i)"), pattern))
-    return ok & wanted
+    hosts = "|".join(h.replace(".", r"\.") for h in SKIP_HOSTS)
+
+    def fits(u: Column) -> Column:
+        social = F.lower(netloc(u)).rlike(rf"(^|\.)({hosts})$")
+        itself = F.regexp_replace(u, "/+$", "") == F.regexp_replace(col(page_url), "/+$", "")
+        ok = is_web(u) & ~social & ~itself
+        if pattern is None:
+            return ok
+        if isinstance(pattern, str):
+            return ok & u.rlike(f"(?i){pattern}")
+        return ok & (pattern.isNull() | (pattern == "")
+                     | F.rlike(u, F.concat(F.lit("(?i)"), pattern)))
+
+    return let(url, fits)
 
 
 def slug_title(url: Column | str) -> Column:

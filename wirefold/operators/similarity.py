@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.functions import text
+from wirefold.functions.text import let
 
-HOT_TOKEN_GROUPS = 500
+HOT_TOKEN_GROUPS = 150
 WIDE_HOT_TOKENS = 48
 
 
@@ -44,21 +45,33 @@ def _pairs(tokens: Column) -> Column:
         lambda b: F.concat_ws(" ", F.array_sort(F.array(a, b))))))
 
 
-def _names(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: t["token"])
+def overlap_needed(n: Column, threshold: float) -> Column:
+    return F.ceil(n * threshold - 1e-9).cast("int")
+
+
+def _placed(names: Column) -> Column:
+    """Keys made of several tokens have no place of their own; 0 passes every test."""
+    return F.transform(names, lambda k: F.struct(k.alias("key"), F.lit(0).alias("pos")))
 
 
 def _keys(ranked: Column, threshold: float, small: bool) -> Column:
+    """array<struct(key, pos)>: the keys a headline is looked up by, or can be found under."""
     n = F.size(ranked)
-    overlap = F.ceil(n * threshold - 1e-9).cast("int")
-    scope = F.slice(ranked, 1, F.greatest(n - overlap + 2, F.lit(1))) if small else ranked
-    cold = _names(F.filter(scope, lambda t: ~t["hot"]))
-    hot = _names(F.filter(scope, lambda t: t["hot"]))
-    wide = F.transform(hot, lambda t: F.concat(F.lit("w:"), t))
-    if small:
-        return F.concat(cold, _pairs(hot), wide)
-    is_wide = F.size(hot) > WIDE_HOT_TOKENS
-    return F.concat(cold, F.when(is_wide, wide).otherwise(_pairs(hot)))
+    prefix = n - overlap_needed(n, threshold) + 2
+    scope = F.slice(ranked, 1, prefix) if small else ranked
+    at = F.transform(scope, lambda t, i: F.struct(
+        t["token"].alias("key"), i.alias("pos"), t["hot"].alias("hot")))
+    cold = F.transform(F.filter(at, lambda t: ~t["hot"]),
+                       lambda t: F.struct(t["key"].alias("key"), t["pos"].alias("pos")))
+
+    def with_hot(hot: Column) -> Column:
+        wide = F.transform(hot, lambda t: F.concat(F.lit("w:"), t))
+        if small:
+            return _placed(F.concat(_pairs(hot), wide))
+        return _placed(F.when(F.size(hot) > WIDE_HOT_TOKENS, wide).otherwise(_pairs(hot)))
+
+    hot = F.transform(F.filter(scope, lambda t: t["hot"]), lambda t: t["token"])
+    return F.concat(cold, let(hot, with_hot))
 
 
 def similar_groups(groups: DataFrame, threshold: float,
@@ -71,25 +84,32 @@ def similar_groups(groups: DataFrame, threshold: float,
     """
     wide = groups.select("gid", "pid", "cls", "numbers", "bucket", "as_new", "as_old").join(
         rank_tokens(groups, hot), "pid").where(F.size("ranked") >= 2)
-    base = ["gid", "cls", "numbers", "as_new", "as_old", F.size("ranked").alias("n")]
-    small = wide.select(*base, "bucket",
-                        F.explode(_keys(F.col("ranked"), threshold, True)).alias("key"))
-    large = (wide.select(*base, F.explode(F.array(
-                 F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"),
-                 _keys(F.col("ranked"), threshold, False).alias("keys"))
-             .withColumn("key", F.explode("keys")).drop("keys"))
+    n = F.size("ranked")
+    base = ["gid", "cls", "numbers", "as_new", "as_old", n.alias("n")]
+    small = wide.select(
+        *base, "bucket", overlap_needed(n, threshold).alias("need"),
+        F.exists(F.slice("ranked", 1, n - overlap_needed(n, threshold) + 2),
+                 lambda t: t["hot"]).alias("has_hot"),
+        F.explode(_keys(F.col("ranked"), threshold, True)).alias("k"))
+    large = (wide.select(*base, "bucket", F.explode(
+                 _keys(F.col("ranked"), threshold, False)).alias("k"))
+             .withColumn("bucket", F.explode(F.array(
+                 F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))))
     s, l = small.alias("s"), large.alias("l")
     fits = (F.col("s.n") >= text.MIN_TOKENS_FOR_CONTAINMENT) | (
         F.col("s.n") >= F.col("l.n") * threshold - 1e-9)
-    candidates = (s.join(l, (F.col("s.key") == F.col("l.key"))
+    shorter = (F.col("s.n") < F.col("l.n")) | (
+        (F.col("s.n") == F.col("l.n")) & (F.col("s.gid") < F.col("l.gid")))
+    # From the second shared token on, all but one of the needed tokens are still to come.
+    room = F.col("l.n") - F.col("l.k.pos") >= F.col("s.need") - 1
+    useful = (F.col("s.as_new") & F.col("l.as_old")) | (F.col("l.as_new") & F.col("s.as_old"))
+    candidates = (s.join(l, (F.col("s.k.key") == F.col("l.k.key"))
                          & (F.col("s.numbers") == F.col("l.numbers"))
-                         & (F.col("s.bucket") == F.col("l.bucket")))
-                  .where((F.col("s.n") <= F.col("l.n")) & fits
-                         & (F.col("s.cls") != F.col("l.cls"))
-                         & ((F.col("s.as_new") & F.col("l.as_old"))
-                            | (F.col("l.as_new") & F.col("s.as_old"))))
-                  .select(F.col("s.gid").alias("a"), F.col("l.gid").alias("b"))
-                  .distinct())
+                         & (F.col("s.bucket") == F.col("l.bucket"))
+                         & shorter & fits & room & useful & (F.col("s.cls") != F.col("l.cls")))
+                  .groupBy(F.col("s.gid").alias("a"), F.col("l.gid").alias("b"))
+                  .agg(F.count("*").alias("shared"), F.first("s.has_hot").alias("has_hot"))
+                  .where("shared >= 2 or has_hot").select("a", "b"))
     side = groups.select("gid", "profile", "as_new", "as_old")
     pair = (candidates
             .join(side.select(F.col("gid").alias("a"), F.struct(*side.columns).alias("ga")), "a")
@@ -101,5 +121,4 @@ def similar_groups(groups: DataFrame, threshold: float,
             .select(F.col("w.new.gid").alias("newer"), F.col("w.old.gid").alias("older"),
                     text.profile_similarity(F.col("w.new.profile"),
                                             F.col("w.old.profile")).alias("score"))
-            .where(F.col("score") >= threshold)
-            .dropDuplicates(["newer", "older"]))
+            .where(F.col("score") >= threshold))

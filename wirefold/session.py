@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC is part of the semantics: Indian-day bounds and zone-less stamps are
 # computed against it. The rest lets AQE split hot keys and merge small tasks.
@@ -30,6 +30,16 @@ def build_session(app: str = "wirefold", master: str | None = None,
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, bytes_per_core: int = 16 << 20) -> DataFrame:
+    """A table too small to keep every core busy, dealt out evenly; larger ones as they are.
+
+    Text work is CPU-bound, and a small file is a single row group read by a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_per_core else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder iterative jobs cut their lineage in.
 

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirefold.session import CONF
+from wirefold.session import CONF, spread
 
 AS_OF = dt.datetime(2001, 8, 1)            # "now" for the order stories
 READ_AS_OF = dt.datetime(2024, 1, 31)      # "now" for the read log
 DOC_AS_OF = dt.datetime(2026, 1, 31)       # "now" for the document stories
+TEXT_TABLES = ("documents", "pages", "conversations")
 QUERIES: dict[str, Query] = {}
 
 
@@ -35,6 +36,8 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in TEXT_TABLES:
+            df = spread(df)
         return df.select(*[F.col(f.name).cast("timestamp") if isinstance(
             f.dataType, T.TimestampNTZType) else F.col(f.name) for f in df.schema.fields])
 
