@@ -23,7 +23,8 @@ from wirefold.operators.similarity import HOT_TOKEN_GROUPS, similar_groups
 STORY_HOURS, STORY_THRESHOLD = 72, 0.60
 COMPANY_HOURS, COMPANY_FLOOR = 48, 0.25
 DEAL_DAYS = 14
-SEGMENT_ROWS = 50_000
+SEGMENT_ROWS = 200_000
+FOLD_ROWS, SCAN_ROWS = 200, 1_000_000
 
 
 def _seconds(ts: Column | str) -> Column:
@@ -369,32 +370,85 @@ def _near_keys(x: Column, days: int, around: bool) -> Column:
     return F.transform(buckets, lambda b: F.struct(x["key"].alias("key"), b.alias("bucket")))
 
 
-def deal_dedupe(rows: DataFrame, order: list[str], id_col: str = "id",
-                days: int = DEAL_DAYS) -> DataFrame:
+def _scan_spaced(span: int, order: list[str]):
+    """One bounded piece of a key's timeline: rows in order, kept when no kept one is near."""
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, na_position="first", kind="stable")
+        times: list[float] = []
+        ids = []
+        for row_id, t in zip(pdf["id"], pdf["t"]):
+            at = bisect.bisect_left(times, t - span)
+            if at == len(times) or times[at] > t + span:
+                bisect.insort(times, t)
+                ids.append(row_id)
+        return pd.DataFrame({"id": ids})
+
+    return scan
+
+
+def spaced(rows: DataFrame, days: int, fold_rows: int = FOLD_ROWS,
+           scan_rows: int = SCAN_ROWS) -> DataFrame:
+    """(id) of rows(key, t, ord, id) kept when walking each key's rows by ``ord`` and keeping
+    those more than ``days`` from every row kept before.
+
+    A key's timeline breaks at every empty bucket. Short pieces are folded inside the JVM,
+    longer ones scanned by one task each, and pieces longer than a task should take are
+    settled in rounds. A key keeps at most one row per ``days``, so the rounds are
+    bounded by the time the data spans, not by its size.
+    """
+    span = days * 86400
+    # Copies at one instant stand or fall together.
+    single = rows.groupBy("key", "t").agg(F.min(F.struct("ord", "id")).alias("m")).select(
+        "key", "t", "m.ord", "m.id")
+    placed = cut(time_segments(single, ["key"], span), "spaced")
+    size = F.col("segment_rows")
+
+    def step(acc: Column, x: Column) -> Column:
+        taken = F.exists(acc, lambda k: F.abs(k["t"] - x["t"]) <= span)
+        return F.when(taken, acc).otherwise(F.concat(acc, F.array(x)))
+
+    item = F.struct("ord", "t", "id")
+    few = (placed.where((size > 1) & (size <= fold_rows)).groupBy("key", "segment")
+           .agg(F.array_sort(F.collect_list(item)).alias("items"))
+           .select(F.explode(F.aggregate("items", F.slice("items", 1, 0), step)).alias("k"))
+           .select("k.id"))
+    order = placed.schema["ord"].dataType.fieldNames()
+    flat = placed.where((size > fold_rows) & (size <= scan_rows)).select(
+        "key", "segment", "t", "id", *[F.col(f"ord.{c}").alias(f"o_{i}")
+                                       for i, c in enumerate(order)])
+    many = flat.groupBy("key", "segment").applyInPandas(
+        _scan_spaced(span, [f"o_{i}" for i in range(len(order))]),
+        T.StructType([T.StructField("id", placed.schema["id"].dataType)]))
+    kept = placed.where(size == 1).select("id").unionByName(few).unionByName(many)
+    huge = placed.where(size > scan_rows)
+    if huge.isEmpty():
+        return kept
+    slots = huge.select("ord", F.struct("key", "t", "id").alias("x"))
+    settled = greedy_keep(
+        cut(slots, "spaced-slots"), by_keys(lambda x: _near_keys(x, days, True)),
+        by_keys(lambda x: _near_keys(x, days, False)),
+        lambda a, b, _hint: F.abs(a["t"] - b["t"]) <= span)
+    return kept.unionByName(settled.select("x.id"))
+
+
+def deal_dedupe(rows: DataFrame, order: list[str], id_col: str = "id", days: int = DEAL_DAYS,
+                **limits: int) -> DataFrame:
     """The rows shown: one per firm, company and fortnight, the first by ``order``.
 
     Rows without a company always stay. An undated row matches any date, so it stays only
     as the first row of its deal, and then it stays alone.
     """
     named = rows.where("company is not null and company != ''")
-    slots = named.select(
+    slots = cut(named.select(
         F.col(id_col).alias("id"), _order(order, id_col).alias("ord"),
         F.struct("firm", F.lower(text.strip("company")).alias("company")).alias("key"),
-        _seconds("published_at").alias("t"))
-    slots = cut(slots, "deal-rows")
+        _seconds("published_at").alias("t")), "deal-rows")
     heads = slots.groupBy("key").agg(
         F.min(F.struct("ord", "t", "id")).alias("head"), F.count("*").alias("n"))
-    # Copies at one instant stand or fall together; keys of one row need no rounds.
-    dated = (slots.where("t is not null")
-             .join(heads.where("head.t is not null and n > 1").select("key"), "key", "left_semi")
-             .groupBy("key", "t").agg(F.min(F.struct("ord", "id")).alias("m"))
-             .select("m.ord", F.struct("key", "t", F.col("m.id").alias("id")).alias("x")))
-    kept = greedy_keep(
-        cut(dated, "deal-slots"), by_keys(lambda x: _near_keys(x, days, True)),
-        by_keys(lambda x: _near_keys(x, days, False)),
-        lambda a, b, _hint: F.abs(a["t"] - b["t"]) <= days * 86400)
+    dated = slots.where("t is not null").join(
+        heads.where("head.t is not null and n > 1").select("key"), "key", "left_semi")
     ids = (heads.where("head.t is null or n = 1").select("head.id")
-           .unionByName(kept.select("x.id")))
+           .unionByName(spaced(dated, days, **limits)))
     return rows.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi").unionByName(
         rows.where("company is null or company = ''"))
 
@@ -451,39 +505,22 @@ def admit_search_rounds(rows: DataFrame, known: DataFrame, order: list[str],
 
 
 def admit_added_rounds(rows: DataFrame, known: DataFrame, id_col: str = "id",
-                       days: int = DEAL_DAYS) -> DataFrame:
+                       days: int = DEAL_DAYS, **limits: int) -> DataFrame:
     """Rows kept from added sites: first by id, unknown to feed, search and earlier sites.
 
-    An undated row is refused by any earlier one; a dated row only by dated ones near it.
+    An undated row is refused by any earlier one, so it stays only as the first of its company
+    and stage; a dated row is refused only by dated ones near it.
     """
     fit = rows.where("company is not null")
     unknown = fit.join(round_known(fit, known, days, True).select(id_col), id_col, "left_anti")
-    slots = unknown.select(
-        F.struct(F.col(id_col).alias("id")).alias("ord"),
-        F.struct(F.struct(F.lower(text.strip("company")).alias("company"), "stage").alias("key"),
-                 _seconds("published_at").alias("t")).alias("x"))
-    # Only the first undated row of a key can ever be kept.
-    firsts = (slots.where("x.t is null").groupBy("x.key").agg(F.min("ord").alias("ord")))
-    undated = slots.where("x.t is null").join(firsts.select("ord"), "ord", "left_semi")
-    dated = (slots.where("x.t is not null").groupBy("x")
-             .agg(F.min("ord").alias("ord")).select("ord", "x"))
-
-    def whole(x: Column) -> Column:
-        return F.array(F.struct(x["key"].alias("key"),
-                                F.lit(-1_000_000_000).cast("bigint").alias("bucket")))
-
-    def asked(x: Column) -> Column:
-        return F.when(x["t"].isNull(), whole(x)).otherwise(_near_keys(x, days, True))
-
-    def posted(x: Column) -> Column:
-        return F.when(x["t"].isNull(), whole(x)).otherwise(
-            F.concat(_near_keys(x, days, False), whole(x)))
-
-    kept = greedy_keep(
-        cut(undated.unionByName(dated), "added-slots"), by_keys(asked), by_keys(posted),
-        lambda a, b, _hint: a["t"].isNull() | F.coalesce(
-            F.abs(a["t"] - b["t"]) <= days * 86400, F.lit(False)))
-    return rows.join(kept.select(F.col("ord.id").alias(id_col)), id_col, "left_semi")
+    slots = cut(unknown.select(
+        F.col(id_col).alias("id"), F.struct(F.col(id_col)).alias("ord"),
+        F.struct(F.lower(text.strip("company")).alias("company"), "stage").alias("key"),
+        _seconds("published_at").alias("t")), "added-rows")
+    heads = slots.groupBy("key").agg(F.min(F.struct("ord", "t", "id")).alias("head"))
+    ids = (heads.where("head.t is null").select("head.id")
+           .unionByName(spaced(slots.where("t is not null"), days, **limits)))
+    return rows.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi")
 
 
 # --- links -----------------------------------------------------------------------------

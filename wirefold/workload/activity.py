@@ -89,7 +89,7 @@ def firm_posts(t: Tables) -> DataFrame:
         "id", "firm", "firm_label", "kind", "company", "published_at", "origin", "source_label")
 
 
-@query(f"WITH {_POST_SQL} SELECT count_if(kind = 'Other') AS hidden_other FROM posts")
+@query(f"WITH {_POST_SQL} SELECT count(*) FILTER (kind = 'Other') AS hidden_other FROM posts")
 def hidden_other(t: Tables) -> DataFrame:
     return firms.hidden_other(posts(t), nations_as_firms(t), added_sites(t))
 
@@ -176,7 +176,7 @@ def upcoming_past_split(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_EVENT_SQL} SELECT 'org-' || (u % 7) AS organiser_key, 'Org ' || (u % 7) AS organiser,
-  count_if(w = 'upcoming') AS upcoming, count_if(w = 'past') AS past FROM shown GROUP BY 1, 2""")
+  count(*) FILTER (w = 'upcoming') AS upcoming, count(*) FILTER (w = 'past') AS past FROM shown GROUP BY 1, 2""")
 def organiser_counts(t: Tables) -> DataFrame:
     return events.organiser_counts(shown(t))
 
@@ -245,8 +245,8 @@ def social_posts(t: Tables) -> DataFrame:
         "id", "account", "author", "kind", "headline", "snippet", "posted_at")
 
 
-@query(f"""WITH {_SOCIAL_SQL} SELECT count_if(kind = 'Funding') AS funding,
-  count_if(kind = 'News') AS news, count_if(kind = 'Other') AS other FROM q""")
+@query(f"""WITH {_SOCIAL_SQL} SELECT count(*) FILTER (kind = 'Funding') AS funding,
+  count(*) FILTER (kind = 'News') AS news, count(*) FILTER (kind = 'Other') AS other FROM q""")
 def social_posts_counts(t: Tables) -> DataFrame:
     return social.kind_counts(social_shown(t))
 

@@ -93,8 +93,8 @@ def filter_coerce(t: Tables) -> DataFrame:
 
 @query(f"""WITH {ORDER_SQL}, b(key, category) AS (
   VALUES ('funded', 'Funding'), ('policy', 'Policy/Regulation'), ('market', 'Market/Analysis'))
-SELECT key, count_if(published_at IS NULL OR published_at >= TIMESTAMP '2001-07-25') AS count,
-  count_if((published_at IS NULL OR published_at >= TIMESTAMP '2001-07-25')
+SELECT key, count(*) FILTER (published_at IS NULL OR published_at >= TIMESTAMP '2001-07-25') AS count,
+  count(*) FILTER ((published_at IS NULL OR published_at >= TIMESTAMP '2001-07-25')
            AND key = 'funded' AND ingested_at > TIMESTAMP '2001-07-28') AS new_count,
   max(ingested_at) AS latest_ingested_at
 FROM b JOIN arts USING (category) WHERE canonical_id IS NULL GROUP BY key""")
@@ -123,8 +123,8 @@ def order_outlets(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {ORDER_SQL}
-SELECT count(*) AS total, count_if(canonical_id IS NULL) AS canonical,
-  count_if(canonical_id IS NOT NULL) AS deduped, max(published_at) AS newest_published FROM arts""")
+SELECT count(*) AS total, count(*) FILTER (canonical_id IS NULL) AS canonical,
+  count(*) FILTER (canonical_id IS NOT NULL) AS deduped, max(published_at) AS newest_published FROM arts""")
 def corpus_totals(t: Tables) -> DataFrame:
     from wirefold.plans.status import corpus_totals as totals
     return totals(order_articles(t))

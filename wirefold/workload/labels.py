@@ -72,7 +72,7 @@ def apply_answers(t: Tables) -> DataFrame:
         F.col("enriched_at").isNotNull().alias("enriched"))
 
 
-@query("""SELECT count(*) AS labelled, CAST(count_if(toxic = 0 OR quality = 1) AS BIGINT) AS answered,
+@query("""SELECT count(*) AS labelled, CAST(count(*) FILTER (toxic = 0 OR quality = 1) AS BIGINT) AS answered,
   round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END), 9) AS exact,
   round(avg(CASE WHEN quality = 1 OR toxic = 0 THEN 1.0 ELSE 0 END), 9) AS acceptable,
   round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0 END), 9) AS company FROM labels""")

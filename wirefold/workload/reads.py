@@ -191,8 +191,8 @@ def purge_source(t: Tables) -> DataFrame:
         "o_orderkey", "o_custkey")
 
 
-@query(f"""WITH {READ_SQL} SELECT source, count(*) AS items_seen, count_if(kind IN ('view', 'click')) AS
-  items_new, count_if(kind = 'purchase') AS items_duplicate FROM reads GROUP BY 1""")
+@query(f"""WITH {READ_SQL} SELECT source, count(*) AS items_seen, count(*) FILTER (kind IN ('view', 'click')) AS
+  items_new, count(*) FILTER (kind = 'purchase') AS items_duplicate FROM reads GROUP BY 1""")
 def read_stats(t: Tables) -> DataFrame:
     outcome = F.when(F.col("kind").isin("view", "click"), "new").when(
         F.col("kind") == "purchase", "duplicate").otherwise("known")

@@ -167,8 +167,8 @@ def times_parsed(t: Tables) -> DataFrame:
     CAST(floor(value * 100) AS BIGINT) AS tin FROM events)
 SELECT event_id, round(CASE WHEN event_type = 'view' THEN (tin * 0.15 + k * 0.6) / 1000000
   ELSE (tin * 3.0 + k * 15.0) / 1000000 END, 9) AS cost_usd,
-  round(CASE WHEN k = 0 THEN 0.00105 ELSE k * 0.002 + 0.00005 END, 6) AS social_usd,
-  round(k * 0.002125 + 0.001, 6) AS calendar_usd FROM c""")
+  CAST(round(CASE WHEN k = 0 THEN 0.00105 ELSE k * 0.002 + 0.00005 END, 6) AS DOUBLE) AS social_usd,
+  CAST(round(k * 0.002125 + 0.001, 6) AS DOUBLE) AS calendar_usd FROM c""")
 def call_costs(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     rows = t.events.select("event_id", "event_type", k.alias("k"),
