@@ -61,7 +61,7 @@ def added_sites(t: Tables) -> DataFrame:
 @query(f"""WITH {ORDER_SQL}, t AS (
   SELECT 'feed-' || id AS id, 'Nation ' || nation || '; Shared Fund' AS investors FROM arts
   WHERE canonical_id IS NULL AND category = 'Funding' AND price > 100000
-  UNION ALL SELECT 'web-' || (l_orderkey * 10 + l_linenumber), 'Nation ' || l_linenumber
+  UNION ALL SELECT 'web-' || ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey), 'Nation ' || l_linenumber
   FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F')
 SELECT t.id, 'n-' || n_nationkey AS firm FROM t JOIN nation
 ON regexp_matches(investors, '(?i)(\\bnation ' || n_nationkey || '\\b)|(^shared fund ' || n_nationkey || ')')

@@ -31,7 +31,7 @@ def funding(t: Tables) -> tuple[DataFrame, DataFrame]:
 def searched(t: Tables) -> DataFrame:
     stage = F.get(F.array(*[F.lit(s) for s in STAGE_OF.values()]), F.col("l_linenumber") % 5)
     return t.lineitem.where("l_returnflag = 'R'").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("id"),
         F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("company"),
         stage.alias("stage"), F.lit("Seed").alias("round_label"),
         F.lit("Rs 5 crore").alias("amount"),
@@ -78,7 +78,7 @@ rounds AS (
   FROM arts JOIN st USING (source)
   WHERE canonical_id IS NULL AND category = 'Funding' AND price > 100000
   UNION ALL
-  SELECT 'web-' || (l_orderkey * 10 + l_linenumber), 'Supplier ' || l_suppkey,
+  SELECT 'web-' || ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey), 'Supplier ' || l_suppkey,
     ['Pre-Seed', 'Seed', 'Series A', 'Series B', 'Other'][1 + l_linenumber % 5], 'Seed',
     'Rs 5 crore', 'Nation ' || l_linenumber, l_shipdate, 'news.example', 'headline',
     'https://n.example', 'web'
