@@ -139,17 +139,18 @@ def ranked(index: DataFrame, query: str, docs: int | None = None, stemming: bool
     """
     words = sorted({stem(w) if stemming else w for w in query_terms(query)})
     lengths = index.groupBy("id").agg(F.sum("tf").alias("length"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    totals = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+                         ).scalar()
     hits = (index.where(F.col("term").isin(words)).groupBy("id", "term")
             .agg(F.sum("tf").alias("tf")))
     found = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n = F.lit(docs) if docs is not None else F.col("n")
+    n = F.lit(docs) if docs is not None else F.col("totals.n")
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
     weight = idf * F.col("tf") * (K1 + 1) / (
-        F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    # ``found`` has a row per query word and ``totals`` exactly one.
+        F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("totals.avg_length")))
+    # ``found`` has a row per query word.
     scored = (hits.join(F.broadcast(found), "term").join(lengths, "id")
-              .join(F.broadcast(totals)).withColumn("weight", weight)
+              .withColumn("totals", totals).withColumn("weight", weight)
               .groupBy("id").agg(F.sum("weight").alias("score"), F.count("*").alias("matched")))
     scored = scored.orderBy(F.col("score").desc(), "id")
     return scored.limit(limit) if limit else scored

@@ -12,6 +12,7 @@ from wirefold.functions.urls import domain
 from wirefold.operators.dedupe import deal_dedupe
 from wirefold.sources.registry import MAX_ROWS, SITE_VIAS, VIA_LABELS, firm_reads
 
+LITERAL_FIRMS = 500
 ORIGINS = ("site", "added", "search", "news")     # also who wins when a deal is seen twice
 READ_LABELS = {
     "rss": "own website feed", "html": "own website news page", "sitemap": "own website sitemap",
@@ -29,12 +30,19 @@ def alias_patterns(firms: DataFrame) -> DataFrame:
 def named_firms(rounds: DataFrame, firms: DataFrame, text: Column | str = "investors") -> DataFrame:
     """One row per round and firm its investors name.
 
-    Distinct investor texts are matched once each and joined back, since the same few
-    texts repeat. The firm side is a checked registry, so it is broadcast.
+    The registry is small and checked, so its patterns become literals: each is compiled once
+    and tried on every row where it lies, without a join. A registry of more than
+    ``LITERAL_FIRMS`` is matched against the distinct investor texts instead.
     """
     text = F.col(text) if isinstance(text, str) else text
     named = rounds.withColumn("_text", text).where("_text is not null and _text != ''")
     patterns = alias_patterns(firms)
+    few = patterns.limit(LITERAL_FIRMS + 1).collect()
+    if len(few) <= LITERAL_FIRMS:
+        found = F.array(*[F.when(F.col("_text").rlike(p.pattern), F.struct(
+            F.lit(p.firm).alias("firm"), F.lit(p.firm_label).alias("firm_label"))) for p in few])
+        return (named.withColumn("_firm", F.explode(F.array_compact(found)))
+                .select("*", "_firm.firm", "_firm.firm_label").drop("_text", "_firm"))
     hits = (named.select("_text").distinct()
             .join(F.broadcast(patterns.limit(MAX_ROWS)), F.expr("_text rlike pattern"))
             .drop("pattern"))

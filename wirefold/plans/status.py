@@ -38,10 +38,9 @@ def overflow_runs(runs: DataFrame, ignore_first: bool = True) -> DataFrame:
 
 def status(articles: DataFrame, runs: DataFrame, as_of) -> DataFrame:
     corpus = corpus_totals(articles)
-    last = runs.agg(F.max("started_at").alias("last_refresh"))
+    last = runs.agg(F.max("started_at")).scalar()
     hours = (instant(as_of).cast("double") - F.col("last_refresh").cast("double")) / 3600
-    # Both sides are single-row aggregates.
-    return corpus.join(F.broadcast(last)).withColumn("hours_since_refresh", F.round(hours, 1))
+    return corpus.withColumn("last_refresh", last).withColumn("hours_since_refresh", F.round(hours, 1))
 
 
 def corpus_totals(articles: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.operators import dedupe, incremental, sinks
-from wirefold.plans import firms, status
+from wirefold.plans import firms
+from wirefold.plans import status as health
 from wirefold.workload.activity import event_pages
-from wirefold.workload.base import READ_AS_OF, READ_SQL, Tables, query, read_log
+from wirefold.workload.base import (ORDER_SQL, READ_AS_OF, READ_SQL, Tables, order_articles, query,
+                                    read_log)
 
 
 def sources(t: Tables) -> DataFrame:
@@ -28,20 +30,30 @@ def latest_read_per_source(t: Tables) -> DataFrame:
         "last_error", F.coalesce("last_error", F.lit("")))
 
 
+@query(f"""WITH {READ_SQL}, {ORDER_SQL} SELECT (SELECT count(*) FROM arts) AS total,
+  (SELECT count(*) FROM arts WHERE canonical_id IS NULL) AS canonical,
+  (SELECT count(*) FROM arts WHERE canonical_id IS NOT NULL) AS deduped,
+  (SELECT max(published_at) FROM arts) AS newest_published, max(started_at) AS last_refresh,
+  round((epoch(TIMESTAMP '2024-01-31') - epoch(max(started_at))) / 3600, 1) AS hours_since_refresh
+FROM reads""")
+def status(t: Tables) -> DataFrame:
+    return health.status(order_articles(t), read_log(t), READ_AS_OF)
+
+
 @query(f"""WITH {READ_SQL} SELECT source AS name, max(started_at) AS last_run,
   arg_max(items_seen, id) AS items_seen, arg_max(items_new, id) AS items_new,
   nullif(arg_max(coalesce(error, ''), id), '') AS error,
   arg_max(items_seen > 0 AND items_new = items_seen, id) AS window_overflowed
 FROM reads GROUP BY 1""")
 def source_health(t: Tables) -> DataFrame:
-    return status.source_health(sources(t), read_log(t))
+    return health.source_health(sources(t), read_log(t))
 
 
 @query(f"""WITH {READ_SQL}, f AS (SELECT source, min(id) AS first FROM reads GROUP BY 1)
 SELECT id, source, started_at FROM reads JOIN f USING (source)
 WHERE items_seen > 0 AND items_new = items_seen AND id <> first""")
 def overflow_runs(t: Tables) -> DataFrame:
-    return status.overflow_runs(read_log(t)).select("id", "source", "started_at")
+    return health.overflow_runs(read_log(t)).select("id", "source", "started_at")
 
 
 @query(f"""WITH {READ_SQL}, g AS (SELECT source_id, max(started_at) AS last_good FROM reads
@@ -99,7 +111,7 @@ SELECT round(total, 6) AS total_usd, round(today, 6) AS last_24h_usd, calls,
   AS headroom, least(greatest(0.0, 7.0 - total), greatest(0.0, 0.5 - today)) <= 0 AS exhausted
 FROM s""")
 def spend_snapshot(t: Tables) -> DataFrame:
-    s = status.spend(ledger(t), READ_AS_OF)
+    s = health.spend(ledger(t), READ_AS_OF)
     return s.select(*[F.round(c, 6).alias(c) if c not in ("calls", "exhausted") else F.col(c)
                       for c in s.columns])
 
@@ -107,14 +119,14 @@ def spend_snapshot(t: Tables) -> DataFrame:
 @query(f"""SELECT event_type AS feature, count(*) AS calls,
   round(CAST(sum({_COST}) AS DOUBLE), 6) AS cost_usd FROM events GROUP BY 1""")
 def spend_by_feature(t: Tables) -> DataFrame:
-    return status.spend_by_feature(ledger(t)).withColumn("cost_usd", F.round("cost_usd", 6))
+    return health.spend_by_feature(ledger(t)).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
 @query("""SELECT w AS start, round(sum(value / 10000), 6) AS cost_usd, count(*) AS calls FROM (
   SELECT value, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR,
     date_trunc('hour', ts), INTERVAL 1 HOUR)) AS w FROM events) GROUP BY 1""")
 def spend_windows(t: Tables) -> DataFrame:
-    return status.spend_windows(ledger(t)).select(
+    return health.spend_windows(ledger(t)).select(
         F.col("w.start").alias("start"), F.round("cost_usd", 6).alias("cost_usd"), "calls")
 
 
@@ -129,7 +141,7 @@ UNION ALL SELECT 3, printf('  calls     %d', calls) FROM s UNION ALL
 SELECT CAST(3 + row_number() OVER (ORDER BY c DESC) AS INTEGER),
   printf('  %-26s %7d %12s', event_type, n, printf('$%.6f', c)) FROM f""")
 def spend_report(t: Tables) -> DataFrame:
-    return status.spend_report(ledger(t), READ_AS_OF)
+    return health.spend_report(ledger(t), READ_AS_OF)
 
 
 @query(f"""WITH {READ_SQL}, r AS (SELECT source, count(*) AS reads, CAST(sum(items_new) AS BIGINT) AS new,
@@ -140,8 +152,8 @@ SELECT *, 'Refreshed: ' || new || ' new' || CASE WHEN new = 1 THEN ' post' ELSE
   || CASE WHEN failed > 0 THEN '; ' || failed || ' failed' ELSE '' END || '.' AS summary
 FROM r""")
 def refresh_totals(t: Tables) -> DataFrame:
-    totals = status.refresh_totals(read_log(t), "source")
-    return status.refresh_summary(totals).withColumn("cost_usd", F.round("cost_usd", 6))
+    totals = health.refresh_totals(read_log(t), "source")
+    return health.refresh_summary(totals).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
 @query("""WITH c AS (SELECT user_id AS uid, max_by(value, event_id) AS value, min(ts) AS found_at FROM events
