@@ -42,15 +42,13 @@ def write_batch(df: DataFrame, root: str, table: str, batch: int) -> None:
 
 
 def read_before(spark: SparkSession, root: str, table: str, batch: int, schema: str) -> DataFrame:
-    """What batches before ``batch`` wrote."""
-    folders = [f"{root}/{table}/batch={i}" for i in range(batch)]
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(
-        spark.sparkContext._jsc.hadoopConfiguration())
-    there = [f for f in folders if fs.exists(jvm.org.apache.hadoop.fs.Path(f))]
-    if not there:
+    """What batches before ``batch`` wrote; the folder of any later one is pruned."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*there)
+    stored = spark.read.schema(f"{schema}, batch bigint").parquet(f"{root}/{table}")
+    return stored.where(F.col("batch") < batch).drop("batch")
 
 
 def ingest_batch(items: DataFrame, batch: int, root: str, as_of) -> None:
