@@ -21,8 +21,9 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from wirefold.llm.shared import fresh
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BATCH_CHARS = 1 << 20        # characters scanned at once; a longer text is scanned alone
 GENERATION = 300_000         # pieces per cache generation; two generations are held
+NONE = 1 << 30               # rank of a pair that is not in the vocabulary
 BLOCK = 128                  # characters composed into one function
 
 # Classes of characters. The last six look one or two characters ahead.
@@ -144,6 +146,10 @@ class Vocabulary:
         self.lengths = np.fromiter(map(len, self.bytes), np.int64, size)
         self.places = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.two = [NONE] * 65536            # rank of every pair of bytes
+        for word, rank in self.ranks.items():
+            if len(word) == 2:
+                self.two[word[0] << 8 | word[1]] = rank
         self.young: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
 
@@ -164,23 +170,22 @@ class Vocabulary:
         whole = self.ranks.get(word)
         if whole is not None:
             return (whole,)
-        ranks = self.ranks
         if len(word) > 100:
             return self._merge_long(word)
-        parts = [word[i:i + 1] for i in range(len(word))]
-        pairs = [ranks.get(word[i:i + 2], 1 << 30) for i in range(len(word) - 1)]
+        get = self.ranks.get
+        edges = list(range(len(word) + 1))                    # part i is word[edges[i]:edges[i+1]]
+        pairs = [self.two[a << 8 | b] for a, b in zip(word, word[1:])]
         while pairs:
             best = min(pairs)
-            if best == 1 << 30:
+            if best == NONE:
                 break
             i = pairs.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del edges[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 30)
+                pairs[i] = get(word[edges[i]:edges[i + 2]], NONE)
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 30)
-        return tuple(ranks[p] for p in parts)
+                pairs[i - 1] = get(word[edges[i - 1]:edges[i + 1]], NONE)
+        return tuple([self.ranks[word[a:b]] for a, b in zip(edges, edges[1:])])
 
     def _merge_long(self, word: bytes) -> tuple[int, ...]:
         """The same merges with a heap and a linked list: n log n for a piece of any length."""
@@ -267,17 +272,32 @@ def encode_batch(texts: list[str], book: Vocabulary) -> tuple[np.ndarray, np.nda
     return np.concatenate(all_ids), np.concatenate(all_offsets), np.concatenate(all_counts)
 
 
-def decode_tokens(ids: np.ndarray, offsets: np.ndarray, book: Vocabulary) -> bytes | None:
-    """Bytes of the tokens, gathered from the flat vocabulary at their offsets."""
-    if len(ids) == 0:
-        return b""
-    if ids.min() < 0 or ids.max() >= len(book.lengths):
-        return None
-    length = book.lengths[ids]
-    if not length.all():
-        return None
-    source = np.repeat(book.places[ids] - (offsets - offsets[0]), length)
-    return book.flat[source + np.arange(len(source))].tobytes()
+def decode_batch(ids: pa.ListArray, offsets: pa.ListArray, book: Vocabulary) -> pa.Array:
+    """Bytes of each row's tokens, gathered from the flat vocabulary to their offsets."""
+    size = len(ids)
+    counts = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64)
+    flat, at = ids.flatten(), offsets.flatten()
+    if len(flat) != len(at):
+        raise ValueError("every row needs as many offsets as ids")
+    tokens = np.asarray(pc.fill_null(flat, -1), np.int64)
+    row = np.repeat(np.arange(size), counts)
+    known = (tokens >= 0) & (tokens < len(book.lengths))
+    tokens = np.where(known, tokens, 0)
+    length = book.lengths[tokens]
+    bad = np.zeros(size, bool)
+    bad[row[~known | (length == 0)]] = True
+    bad |= np.asarray(pc.is_null(ids))
+    total = np.cumsum(length)
+    stops = np.concatenate(([0], np.cumsum(counts)))
+    edges = np.concatenate(([0], total))[stops]
+    place = np.asarray(pc.fill_null(at, 0), np.int64)
+    first = np.repeat(stops[:-1], counts)
+    target = place - place[first] + np.repeat(edges[:-1], counts)
+    whole = (book.flat[np.repeat(book.places[tokens] - target, length) + np.arange(edges[-1])]
+             if len(tokens) else np.zeros(0, np.uint8))
+    made = pa.Array.from_buffers(pa.large_binary(), size, [
+        None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(whole))])
+    return pc.if_else(pa.array(~bad), made, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
 def encoder(path: str):
@@ -304,13 +324,7 @@ def decoder(path: str):
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         book = vocabulary(path)
         for ids, offsets in batches:
-            out = []
-            for i in range(len(ids)):
-                one, at = ids[i].values, offsets[i].values
-                out.append(None if one is None or at is None or one.null_count else decode_tokens(
-                    one.to_numpy(zero_copy_only=False).astype(np.int64),
-                    at.to_numpy(zero_copy_only=False).astype(np.int64), book))
-            yield pa.array(out, pa.binary())
+            yield decode_batch(ids, offsets, book)
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]],
                            "return": Iterator[pa.Array]}

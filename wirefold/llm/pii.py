@@ -47,7 +47,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "phone|tel|call|mobile|fax", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
          "iban|account|bank|konto|transfer", False),
-    Kind("secret", r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
+    Kind("secret", r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])",
          "token|secret|key|passw|auth|bearer", False),
 )
 
@@ -186,7 +186,7 @@ SQL = "WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text,
     _sql_kind(2, "card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
     _sql_kind(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
     _sql_kind(4, "iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", _MOD97),
-    _sql_kind(5, "secret", r"\b[0-9a-f]{32,64}\b", _NEAR % (NEARBY, KINDS[5].context)),
+    _sql_kind(5, "secret", r"\b[0-9A-Fa-f]{32,64}\b", _NEAR % (NEARBY, KINDS[5].context)),
 )) + """,
 spans AS (SELECT row_id, rank, kind, s, e FROM email UNION ALL SELECT row_id, rank, kind, s, e FROM ip
   UNION ALL SELECT row_id, rank, kind, s, e FROM card UNION ALL SELECT row_id, rank, kind, s, e FROM phone

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import byte_bpe, pii
+from wirefold.llm import byte_bpe, pii, sharding
 from wirefold.llm.shared import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query(sharding.SQL)
+def op7_hash_tree(read) -> DataFrame:
+    return sharding.digest(read("documents").select("doc_id", "text"))
+
+
 @query(pii.SQL)
 def op9_pii(read) -> DataFrame:
     return pii.digest(pii.find(read("documents").select("doc_id", "text")))
