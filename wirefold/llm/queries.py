@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import byte_bpe, pii, sharding
+from wirefold.llm import byte_bpe, pii, sharding, topk
 from wirefold.llm.shared import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def query(sql: str | None = None):
     return register
 
 
+@query(topk.SQL)
+def op6_sorted_lists(read) -> DataFrame:
+    vectors = read("embeddings").select("vec_id", "embedding")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query(sharding.SQL)
 def op7_hash_tree(read) -> DataFrame:
     return sharding.digest(read("documents").select("doc_id", "text"))
