@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import byte_bpe, pii, sharding, topk
+from wirefold.llm import byte_bpe, odd_sketch, pii, sharding, topk
 from wirefold.llm.shared import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op3_odd_sketch(read) -> DataFrame:
+    return odd_sketch.near_groups(read("documents").select("doc_id", "text"))
+
+
 @query(topk.SQL)
 def op6_sorted_lists(read) -> DataFrame:
     vectors = read("embeddings").select("vec_id", "embedding")
