@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 K, SCALE = 10, 1024
 ROWS, QUERIES = 2048, 512            # rows of a candidate block and of a query block
 FIRST_DEPTH = 64
+EXACT = 1 << 52                      # sums below are exact in doubles; beyond, integers are used
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
@@ -39,7 +40,12 @@ def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
 
 
 class Lists:
-    """The sorted lists of one block: each row's place in each dimension's ascending list."""
+    """The sorted lists of one block, one per dimension, read from either end.
+
+    Which rows a list has shown at some depth depends on the end it is read from, not on the query,
+    so the bounds of all queries at one depth are two matrix products: positive weights with
+    the rows as read from the top, negative ones as read from the bottom.
+    """
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors, self.n = vectors, len(vectors)
@@ -48,31 +54,36 @@ class Lists:
         self.place = np.empty(order.shape, np.int32)
         np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
 
-    def best(self, query: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
-        """Rows that may be among the k best of ``query``; no other row can be."""
-        dims = np.flatnonzero(query)
-        alive = np.flatnonzero(~skip)
-        if len(alive) <= k or not len(dims):
-            return alive
-        weight = query[dims]
-        falling = weight > 0                              # read from the largest value down
-        end = np.where(falling, self.sorted[0, dims], self.sorted[-1, dims]) * weight
-        gain = self.vectors[np.ix_(alive, dims)] * weight
-        place = self.place[np.ix_(alive, dims)]
-        place = np.where(falling, self.n - 1 - place, place)
+    def _bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (query x row) after reading every list to ``depth``."""
+        top, bottom = self.place >= self.n - depth, self.place < depth
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        values, line = self.vectors, self.sorted
+
+        def total(unread_top: np.ndarray, unread_bottom: np.ndarray) -> np.ndarray:
+            return (up @ np.where(top, values, unread_top).T
+                    + down @ np.where(bottom, values, unread_bottom).T)
+        return total(line[0], line[-1]), total(line[self.n - depth], line[depth - 1])
+
+    def best(self, queries: np.ndarray, k: int, skip: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows that may be among its k best; no other row can be.
+
+        ``skip`` (query x row) marks rows that take no part for a query.
+        """
+        found = [np.flatnonzero(~s) for s in skip]
+        active = np.flatnonzero([len(f) > k for f in found])
         depth = FIRST_DEPTH
-        while depth < self.n:
-            seen = place < depth
-            at = np.where(falling, self.n - depth, depth - 1)
-            last = self.sorted[at, dims] * weight
-            lower = np.where(seen, gain, end).sum(axis=1)
-            upper = np.where(seen, gain, last).sum(axis=1)
-            keep = upper >= np.partition(lower, -k)[-k]
-            alive, gain, place = alive[keep], gain[keep], place[keep]
-            if len(alive) <= k:
-                break
+        while depth < self.n and len(active):
+            lower, upper = self._bounds(queries[active], depth)
+            least = -np.inf if lower.dtype.kind == "f" else np.iinfo(np.int64).min
+            lower[skip[active]] = upper[skip[active]] = least
+            bar = np.partition(lower, -k, axis=1)[:, -k]
+            alive = (upper >= bar[:, None]) & ~skip[active]
+            for i, row in zip(active, alive):
+                found[i] = np.flatnonzero(row)
+            active = active[alive.sum(axis=1) > k]
             depth *= 2
-        return alive
+        return found
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -87,11 +98,14 @@ def _task(k: int):
         found: list[tuple[np.ndarray, ...]] = []
         if len(rows) and len(queries):
             width = max(map(len, [*rows["v"], *queries["v"]]))
-            ids = rows["id"].to_numpy()
-            lists, asked = Lists(_matrix(rows["v"], width)), _matrix(queries["v"], width)
-            for query_id, query in zip(queries["id"].to_numpy(), asked):
-                near = lists.best(query, k, ids == query_id)
-                score = lists.vectors[near] @ query
+            ids, query_ids = rows["id"].to_numpy(), queries["id"].to_numpy()
+            vectors, asked = _matrix(rows["v"], width), _matrix(queries["v"], width)
+            if width * np.abs(vectors).max(initial=0) * np.abs(asked).max(initial=0) < EXACT:
+                vectors, asked = vectors.astype(np.float64), asked.astype(np.float64)
+            lists = Lists(vectors)
+            for query_id, query, near in zip(query_ids, asked, lists.best(
+                    asked, k, query_ids[:, None] == ids)):
+                score = (lists.vectors[near] @ query).astype(np.int64)
                 top = np.lexsort((ids[near], -score))[:k]
                 found.append((np.full(len(top), query_id), ids[near][top], score[top]))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
