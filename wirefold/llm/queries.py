@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import byte_bpe, gam, odd_sketch, pii, sharding, topk
+from wirefold.llm import byte_bpe, gam, odd_sketch, pii, sharding, topk, toxicity
 from wirefold.llm.shared import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op4_additive_model(read) -> DataFrame:
     return gam.digest(read("documents").select("doc_id", "text"), read("labels"))
 
 
+@query()
+def op5_lexicon(read) -> DataFrame:
+    return toxicity.digest(read("documents").select("doc_id", "text"), read("labels"))
+
+
 @query(topk.SQL)
 def op6_sorted_lists(read) -> DataFrame:
     vectors = read("embeddings").select("vec_id", "embedding")
