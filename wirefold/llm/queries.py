@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import byte_bpe, gam, odd_sketch, pii, sharding, topk, toxicity
+from wirefold.llm import byte_bpe, decontam, gam, odd_sketch, pii, sharding, topk, toxicity
 from wirefold.llm.shared import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op7_hash_tree(read) -> DataFrame:
     return sharding.digest(read("documents").select("doc_id", "text"))
 
 
+@query(decontam.SQL)
+def op8_spaced_seeds(read) -> DataFrame:
+    return decontam.leaks(read("documents").select("doc_id", "text"), read("benchmark"))
+
+
 @query(pii.SQL)
 def op9_pii(read) -> DataFrame:
     return pii.digest(pii.find(read("documents").select("doc_id", "text")))
