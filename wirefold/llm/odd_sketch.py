@@ -220,7 +220,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     points at its root. A node's neighbourhood is only ever reduced to its minimum.
     """
     now = scratch.save(edges.where("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0", True)
     mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
     step, before = 0, now.select(mark).first()
     while True:
@@ -229,13 +229,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (both.where("b > a").join(low, "a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        large = scratch.save(large, f"{name}-{step}-large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
                               F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = scratch.save(small.select("e.a", "e.b").where("a <> b").distinct(), f"{name}-{step}")
-        scratch.drop(f"{name}-{step}-large", f"{name}-{step - 1}")
+        after = scratch.save(small.select("e.a", "e.b").where("a <> b").distinct(),
+                             f"{name}-{step}", True)
+        scratch.drop(f"{name}-{step - 1}")
         now, mark_now = after, after.select(mark).first()
         if mark_now == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
@@ -271,14 +271,14 @@ def _cross_pairs(bound: Bound):
     return run
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                bound: Bound = Bound()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
-    scratch = Scratch(docs.sparkSession, "near-groups")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
-                       F.col(f"`{text}`").cast("string").alias("text"))
-    signed = scratch.save(rows.select("doc_id", signature_of(F.col("text")).alias("s"))
-                          .select("doc_id", "s.*"), "signed")
+def _signed(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+    return scratch.save(docs.select(
+        F.col(f"`{doc_id}`").alias("doc_id"),
+        signature_of(F.col(f"`{text}`").cast("string")).alias("s")).select("doc_id", "s.*"), "signed")
+
+
+def _groups(rows: DataFrame, signed: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept from ``rows(doc_id, text)`` and their signatures."""
     classes = scratch.save(
         signed.where("doc_id is not null and n > 0").groupBy("set_id").agg(
             F.min("doc_id").alias("node"), F.min_by(
@@ -288,42 +288,38 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     keys = classes.select("node", F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = scratch.save(keys.join(shared, "key"), "members")
+    members = scratch.save(keys.join(shared, "key"), "members", True)
     crowd = members.groupBy("node").agg(F.sum("size").alias("crowd"))
     pivots = members.join(crowd, "node").groupBy("key").agg(F.max(
         F.struct("crowd", (-F.col("node")).alias("minus"))).alias("top")).select(
             "key", (-F.col("top.minus")).alias("pivot"))
     stars = (members.join(pivots, "key").where("node <> pivot")
              .select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    close = scratch.save(
-        stars.join(card.withColumnsRenamed({"node": "a", "card": "x"}), "a")
-        .join(card.withColumnsRenamed({"node": "b", "card": "y"}), "b")
-        .where(_close("x", "y", bound)).select("a", "b"), "close")
-
+    close = (stars.join(card.withColumnsRenamed({"node": "a", "card": "x"}), "a")
+             .join(card.withColumnsRenamed({"node": "b", "card": "y"}), "b")
+             .where(_close("x", "y", bound)).select("a", "b"))
     wanted = members.select("node").distinct()
     sets = scratch.save(
         rows.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         .select(F.col("doc_id").alias("node"), set_of(F.col("text")).alias("items")), "sets")
-    links = scratch.save(_confirmed(close, sets, bound).distinct(), "links")
-    roots = scratch.save(components(links, scratch, "stars"), "roots")
+    roots = components(_confirmed(close, sets, bound), scratch, "stars")
 
     labelled = (members.join(roots, "node", "left")
                 .select("key", "size", "node", F.coalesce("root", "node").alias("label")))
     mixed = (labelled.where("size > 2").groupBy("key").agg(
         F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
-    blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = (labelled.join(mixed, "key").join(card, "node").withColumn("blocks", blocks)
-             .withColumn("own", own)
+    dealt = (labelled.join(mixed, "key").join(card, "node")
+             .withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
              .groupBy("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
              .agg(F.collect_list(F.struct("node", "label", "card.n", "card.sampled", "card.whole"))
                   .alias("members")))
-    crossing = scratch.save(dealt.select("members").mapInArrow(
-        _cross_pairs(bound), "a bigint, b bigint").distinct(), "crossing")
-    late = _confirmed(crossing, sets, bound)
-    every = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late)
-    final = scratch.save(components(every, scratch, "all"), "final")
+    crossing = dealt.select("members").mapInArrow(
+        _cross_pairs(bound), "a bigint, b bigint").distinct()
+    every = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(
+        _confirmed(crossing, sets, bound))
+    final = components(every, scratch, "all")
     by_set = classes.select("set_id", "node").join(final, "node", "left").select(
         "set_id", F.coalesce("root", "node").alias("component_id"))
     out = signed.select("doc_id", "n", "set_id").join(by_set, "set_id", "left")
@@ -332,14 +328,36 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
+                       F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                bound: Bound = Bound()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+    scratch = Scratch(docs.sparkSession, "near-groups")
+    signed = _signed(docs, doc_id, text, scratch)
+    return _groups(_rows(docs, doc_id, text), signed, bound, scratch)
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 bound: Bound = Bound()) -> DataFrame:
     """``docs`` with one row of every near-duplicate group, the one of the smallest id.
 
-    Rows without an id stay; of rows that repeat an id one stays.
+    Rows without an id stay; of rows that repeat an id one stays. Texts are only shuffled if
+    the list of ids to drop is too long for Spark to broadcast.
     """
-    kept = near_groups(docs, doc_id, text, bound).where("kept and doc_id is not null").select(
-        F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.where(F.col(f"`{doc_id}`").isNotNull())
-    return (named.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-            .unionByName(docs.where(F.col(f"`{doc_id}`").isNull())))
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    signed = _signed(docs, doc_id, text, scratch)
+    groups = _groups(_rows(docs, doc_id, text), signed, bound, scratch)
+    extra = scratch.save(groups.where("not kept").select("doc_id").distinct(), "extra", True)
+    again = scratch.save(signed.where("doc_id is not null").groupBy("doc_id").count()
+                         .where("count > 1").select("doc_id")
+                         .join(extra, "doc_id", "left_anti"), "again", True)
+    kept = docs.join(extra.withColumnRenamed("doc_id", doc_id), doc_id, "left_anti")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    again = again.withColumnRenamed("doc_id", doc_id)
+    return kept.join(again, doc_id, "left_anti").select(docs.columns).unionByName(
+        docs.join(again, doc_id, "left_semi").dropDuplicates([doc_id]).select(docs.columns))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from wirefold.session import CONF, checkpoint_dir
 
 
+FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
 class Scratch:
     """Intermediate tables of one job in the shared checkpoint folder.
 
@@ -21,9 +24,16 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+        """``df`` written and read back; ``compact`` merges its last shuffle to files of the advised
+        size instead of one for every core, for narrow tables whose rows cost little."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        held = self.spark.conf.get(FIRST)
+        self.spark.conf.set(FIRST, "false" if compact else held)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FIRST, held)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
