@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirefold.llm import byte_bpe, decontam, gam, odd_sketch, pii, sharding, topk, toxicity, wrappers
+from wirefold.llm import byte_bpe, decontam, gam, odd_sketch, pii, sharding, topk, toxicity, url_filter, wrappers
 from wirefold.llm.shared import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_boosted_urls(read) -> DataFrame:
+    return url_filter.digest(read("pages").select("page_id", "url"))
+
+
 @query()
 def op2_wrappers(read) -> DataFrame:
     return wrappers.digest(read("pages").select("page_id", "url", "html"))
