@@ -6,8 +6,8 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 from wirefold.llm import byte_bpe, decontam, gam, odd_sketch, pii, sharding, topk, toxicity, url_filter, wrappers
 from wirefold.llm.shared import settings
 
@@ -79,3 +79,8 @@ def op9_pii(read) -> DataFrame:
 def op10_byte_bpe(read) -> DataFrame:
     docs = read("documents").select("doc_id", "text")
     return byte_bpe.digest(byte_bpe.encode(docs))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
