@@ -323,7 +323,7 @@ def _groups(rows: DataFrame, signed: DataFrame, bound: Bound, scratch: Scratch)
     by_set = classes.select("set_id", "node").join(final, "node", "left").select(
         "set_id", F.coalesce("root", "node").alias("component_id"))
     out = signed.select("doc_id", "n", "set_id").join(by_set, "set_id", "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
