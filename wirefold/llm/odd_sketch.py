@@ -299,8 +299,10 @@ def _groups(rows: DataFrame, signed: DataFrame, bound: Bound, scratch: Scratch)
              .join(card.withColumnsRenamed({"node": "b", "card": "y"}), "b")
              .where(_close("x", "y", bound)).select("a", "b"))
     wanted = members.select("node").distinct()
+    # A merge join at every size: the ids grow with the rows, and a plan that broadcasts few of them
+    # says nothing about one that has many.
     sets = scratch.save(
-        rows.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        rows.join(wanted.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
         .select(F.col("doc_id").alias("node"), set_of(F.col("text")).alias("items")), "sets")
     roots = components(_confirmed(close, sets, bound), scratch, "stars")
 
