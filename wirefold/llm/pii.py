@@ -42,7 +42,7 @@ class Kind:
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
          "mail|contact|write to", True),
-    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "ip|host|server|address", True),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "ip|host|server|address", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "card|visa|master|amex|pay|credit", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "phone|tel|call|mobile|fax", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
