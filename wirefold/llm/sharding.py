@@ -112,7 +112,8 @@ def with_slots(placed: DataFrame, key: str = "doc_id", shard: str = "shard", slo
     inside = Window.partitionBy(shard, chunk).orderBy(key, *ties)
     return (rows.withColumn(slot, F.row_number().over(inside))
             .join(offsets, [shard, chunk])
-            .withColumn(slot, F.col(slot) - 1 + F.col(offset)).drop(chunk, offset))
+            .select(*[F.col(f"`{c}`") for c in placed.columns],
+                    (F.col(slot) - 1 + F.col(offset)).alias(slot)))
 
 
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
