@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from wirefold.llm.shared import fresh
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BATCH_CHARS = 1 << 20        # characters scanned at once; a longer text is scanned alone
-GENERATION = 300_000         # pieces per cache generation; two generations are held
+BATCH_CHARS = 1 << 18        # characters scanned at once; a longer text is scanned alone
+GENERATION = 100_000         # pieces per cache generation; two generations are held
 NONE = 1 << 30               # rank of a pair that is not in the vocabulary
 BLOCK = 128                  # characters composed into one function
 

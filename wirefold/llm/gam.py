@@ -33,7 +33,7 @@ BINS, GRID = 32, 8           # bins of a feature alone and in a pair
 ROUNDS, PAIR_ROUNDS = 120, 60
 RATE, PENALTY, LEAST = 0.15, 1.0, 2.0
 PAIRS = 6
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 FEATURES = ("words", "word_bytes", "symbols", "stops", "capitals", "digits", "bars", "exclamations",
             "distinct", "repeats", "top_word", "lines", "line_words", "short_words", "long_words",

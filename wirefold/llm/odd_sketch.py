@@ -39,7 +39,7 @@ WORDS = 5                           # words of a shingle
 BANDS, ROWS = 32, 6                 # MinHash bands and samples of a band
 BITS = 512                          # bits of a sketch
 BLOCK = 128                         # members of one bucket compared in one step
-CHUNK_BYTES = 1 << 20               # text hashed at once; a longer text is hashed alone
+CHUNK_BYTES = 1 << 18               # text hashed at once; a longer text is hashed alone
 MARGIN = 0.18                       # similarity given away for the sampled sketch's spread
 
 _SEED = np.random.Generator(np.random.PCG64(20240229))

@@ -43,7 +43,7 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def settings(spark: SparkSession, batch_rows: int = 512) -> None:
+def settings(spark: SparkSession, batch_rows: int = 256) -> None:
     """Session settings of the text jobs: AQE with skew splitting, and Arrow batches small enough
     that a batch of long texts fits a worker."""
     for key, value in CONF.items():
