@@ -49,6 +49,11 @@ def test_feed_page_order_and_outlets(articles):
     assert [r.id for r in page] == ["1", "6", "2", "7", "3"]        # undated last
     assert page[0].also_reported_by == ["c", "b"]
     assert feed.feed_total(articles, feed.FilterSpec(), AS_OF, limit=2).first().has_more
+    for refused in (0, feed.MAX_PAGE + 1):
+        with pytest.raises(ValueError):
+            feed.feed_page(articles, feed.FilterSpec(), AS_OF, limit=refused)
+        with pytest.raises(ValueError):
+            feed.feed_total(articles, feed.FilterSpec(), AS_OF, limit=refused)
     wild = feed.FilterSpec(company="%")                              # no wildcard meaning
     assert feed.feed_rows(articles, wild, AS_OF).count() == 0
     assert feed.article(articles, "1").first().also_reported_by == ["c", "b"]
@@ -314,3 +319,15 @@ def test_full_refresh_survives_a_bad_part(spark):
     assert after["chunks"].count() == 3
     again, _ = refresh.full_refresh(spark, after, {"feed_payloads": feeds}, AS_OF)
     assert sorted(map(str, again["articles"].collect())) == sorted(map(str, rows))
+
+
+def test_many_firms_are_all_matched(spark):
+    kind = "key string, label string, aliases array<string>"
+    rows = [(f"f{i}", f"Fund {i}", [f"\\bfund{i:05d} ventures\\b"]) for i in range(20_000)]
+    rows += [("two", "Two", ["\\bab\\b"]), ("any", "Any", ["zed(?:ra)? capital"]), ("amp", "Amp", ["a&b partners"])]
+    made = spark.createDataFrame(rows, kind)
+    said = ["Fund00007 Ventures; AB and Zed Capital", "fund19999 ventures, xfund00001 ventures", "ZEDRA CAPITAL; abc",
+            "A&B Partners", None, ""]
+    rounds = spark.createDataFrame(list(enumerate(said)), "id int, investors string")
+    got = {(r.id, r.firm) for r in firms.named_firms(rounds, made).collect()}
+    assert got == {(0, "f7"), (0, "two"), (0, "any"), (1, "f19999"), (2, "any"), (3, "amp")}

@@ -48,6 +48,17 @@ def test_batches_are_once_only_and_repeatable(spark, tmp_path):
     assert again == rows
 
 
+def test_the_first_lent_description_stays(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for batch, lent in enumerate([None, "first", "second", ""]):
+        rows = [item(1, "Zepto hires new chief officer", 10, lent), item(2, "Ola opens plant", 9, "own")]
+        refresh.ingest_batch(spark.createDataFrame(rows, ITEM), batch, root, AS_OF)
+    got = {r.url: r.description for r in refresh.stored_articles(spark, root, 4).collect()}
+    assert got == {"https://n.co/1": "first", "https://n.co/2": "own"}
+    empty = refresh.read_before(spark, root, "fills", 4, "url string, description string", True)
+    assert [(r.batch, r.description) for r in empty.collect()] == [(1, "first")]
+
+
 def test_refresh_records_failures(spark):
     ran = []
     out = refresh.refresh(spark, {"a": lambda: ran.append(1), "b": lambda: 1 / 0,

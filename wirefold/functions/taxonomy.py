@@ -67,7 +67,7 @@ def round_label(c: Column | str) -> Column:
     words = F.split(text, " ")
 
     def capital(p: Column) -> Column:
-        return F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000000))
+        return F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))
 
     def word(w: Column, i: Column) -> Column:
         follows_series = (i > 0) & (F.get(words, i - 1) == "series")

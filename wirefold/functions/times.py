@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wirefold.functions.text import blank_to_null, col, let, squeeze
 
+# The zone of day bounds, how dates are written, and words that tell of an event.
 IST = "Asia/Kolkata"
 MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?"
 WRITTEN_DATE = (rf"(?i)\b(?:{MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}"

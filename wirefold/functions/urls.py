@@ -134,7 +134,7 @@ def slug_title(url: Column | str) -> Column:
     slug = F.regexp_replace(slug, r"\.(html?|php|aspx?)$", "")
     words = squeeze(F.regexp_replace(F.coalesce(F.try_url_decode(slug), slug), "[-_+]+", " "))
     return F.substring(
-        F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1000000)), 1, 300)
+        F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2))), 1, 300)
 
 
 def normalise_url(url: Column | str) -> Column:

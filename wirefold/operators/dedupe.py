@@ -6,25 +6,20 @@ order is always an explicit column list; nothing depends on how rows are partiti
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from wirefold.functions import text
 from wirefold.functions.times import instant
 from wirefold.functions.urls import trimmed
-from wirefold.operators.greedy import by_keys, cut, greedy_keep
+from wirefold.operators.greedy import by_keys, cut, greedy_keep, settled
 from wirefold.operators.similarity import HOT_TOKEN_GROUPS, similar_groups
 
 STORY_HOURS, STORY_THRESHOLD = 72, 0.60
 COMPANY_HOURS, COMPANY_FLOOR = 48, 0.25
 DEAL_DAYS = 14
-SEGMENT_ROWS = 200_000
-FOLD_ROWS, SCAN_ROWS = 200, 1_000_000
+FOLD_ROWS = 200
 
 
 def _seconds(ts: Column | str) -> Column:
@@ -207,61 +202,6 @@ def resolve_roots(rows: DataFrame, id_col: str = "id") -> DataFrame:
 
 # --- one story, once the company is known --------------------------------------------
 
-def _is_multi(longer: dict, other: set) -> bool:
-    if longer["roundup"]:
-        return True
-    parts = longer["parts"]
-    return len(parts) >= 2 and any(
-        not other or len(p & other) / min(len(p), len(other)) < text.CLAUSE_OVERLAP_FLOOR
-        for p in parts)
-
-
-def _same_story(old: dict, new: dict) -> bool:
-    if old["figures"] and new["figures"] and not (old["figures"] & new["figures"]):
-        return False
-    a, b = old["tokens"], new["tokens"]
-    longer, other = (old, b) if len(a) >= len(b) else (new, a)
-    if _is_multi(longer, other):
-        return False
-    if new["figures"]:
-        return True
-    shared = len(a & b)
-    if not shared:
-        return False
-    score = shared / (len(a) + len(b) - shared)
-    if min(len(a), len(b)) >= text.MIN_TOKENS_FOR_CONTAINMENT:
-        score = max(score, shared / min(len(a), len(b)))
-    return score >= COMPANY_FLOOR
-
-
-def _scan_segment(hours: int):
-    """One bounded segment, in time order, against the kept rows of the last ``hours``."""
-    span = hours * 3600
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"], kind="stable")
-        kept_times: list[float] = []
-        kept: list[dict] = []
-        ids, targets = [], []
-        for row in pdf.itertuples(index=False):
-            new = {"tokens": set(row.tokens), "figures": set(row.figures),
-                   "parts": [set(c) for c in row.clauses], "roundup": row.roundup}
-            target = None
-            for i in range(bisect.bisect_left(kept_times, row.t - span), len(kept)):
-                if _same_story(kept[i], new):
-                    target = kept[i]["id"]
-                    break
-            if target is None:
-                kept_times.append(row.t)
-                kept.append({**new, "id": row.id})
-            else:
-                ids.append(row.id)
-                targets.append(target)
-        return pd.DataFrame({"id": ids, "target": targets})
-
-    return scan
-
-
 def time_segments(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     """``rows(t, ...)`` with ``bucket``, ``segment`` and ``segment_rows``.
 
@@ -276,88 +216,70 @@ def time_segments(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     return rows.join(runs.drop("n").join(sizes, [*keys, "segment"]), [*keys, "bucket"])
 
 
-def company_dedupe(rows: DataFrame, id_col: str = "id", hours: int = COMPANY_HOURS,
-                   segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def company_dedupe(rows: DataFrame, id_col: str = "id", hours: int = COMPANY_HOURS) -> DataFrame:
     """(id, canonical_id) of canonical rows that repeat an earlier one of the same
     company and category.
 
-    Timelines of a company fall apart wherever nothing was published for a whole window.
-    Each bounded piece is scanned in one task; a piece over ``segment_rows`` (a company
-    holding a large share of everything) is settled by distributed rounds instead.
+    Rows that match an earlier one within ``hours`` are found first, as pairs; who stays is then
+    settled on the pairs alone, so a row waits only for earlier rows that it really matches.
+    """
+    edges = cut(_company_matches(rows, id_col, hours * 3600), "company-matches")
+    dropped = settled(edges)
+    first = (edges.join(dropped, "new", "left_semi")
+             .join(dropped.withColumnRenamed("new", "old"), "old", "left_anti")
+             .groupBy("new").agg(F.min("old").alias("first")))
+    return first.select(F.col("new.id").alias(id_col), F.col("first.id").alias("canonical_id"))
+
+
+def _company_matches(rows: DataFrame, id_col: str, span: int) -> DataFrame:
+    """(new, old): every row and the earlier rows it would repeat, both as (t, id).
+
+    A row with figures can match on a shared figure, or any row without figures. One without
+    needs COMPANY_FLOOR of the smaller headline's words, so the two share one of the smaller's
+    rarest words: all but the last few in order of frequency within the company. The company's
+    own name comes last there, and joins nothing unless a headline has hardly another word.
     """
     base = rows.where("canonical_id is null and company is not null and published_at is not null")
-    prepared = base.select(
-        F.col(id_col).alias("id"),
-        F.lower(text.strip("company")).alias("company"),
-        F.coalesce("category", F.lit("")).alias("category"),
-        _seconds("published_at").alias("t"),
+    row = cut(base.select(
+        F.struct(_seconds("published_at").alias("t"), F.col(id_col).alias("id")).alias("ord"),
+        F.struct(F.lower(text.strip("company")).alias("company"),
+                 F.coalesce("category", F.lit("")).alias("category")).alias("who"),
         text.headline_profile("headline").alias("p"), text.figures("headline").alias("figures"))
-    keys = ["company", "category"]
-    placed = cut(time_segments(prepared, keys, hours * 3600), "company-rows")
-    flat = placed.select("*", "p.*").drop("p")
-    small = (flat.where(F.col("segment_rows") <= segment_rows)
-             .where("segment_rows > 1")
-             .groupBy(*keys, "segment")
-             .applyInPandas(_scan_segment(hours), T.StructType([
-                 T.StructField("id", placed.schema["id"].dataType),
-                 T.StructField("target", placed.schema["id"].dataType)])))
-    large = placed.where(F.col("segment_rows") > segment_rows)
-    pairs = small if large.isEmpty() else small.unionByName(_company_rounds(large, hours))
-    return pairs.select(F.col("id").alias(id_col), F.col("target").alias("canonical_id"))
-
-
-def _company_rounds(large: DataFrame, hours: int) -> DataFrame:
-    span = hours * 3600
-    slots = large.select(
-        F.struct("t", "id").alias("ord"),
-        F.struct("company", "category", "bucket", "t", "p", "figures").alias("x"))
-
-    def at_bucket(x: Column, bucket: Column, names: Column) -> Column:
-        return F.transform(names, lambda n: F.struct(
-            x["company"].alias("company"), x["category"].alias("category"),
-            bucket.alias("bucket"), n.alias("name")))
-
-    def keys(x: Column, buckets: list[Column], names: Column) -> Column:
-        return F.flatten(F.array(*[at_bucket(x, b, names) for b in buckets]))
-
-    def figure_names(x: Column) -> Column:
-        return F.transform(x["figures"], lambda f: F.concat(F.lit("f:"), f))
-
-    def word_names(x: Column) -> Column:
-        return F.transform(x["p"]["tokens"], lambda t: F.concat(F.lit("t:"), t))
-
-    bare = F.array(F.lit("none"))
-
-    def asked(x: Column) -> Column:
-        # A row with figures matches on them, or with a row that has none; one
-        # without needs a shared word.
-        names = F.when(F.size(x["figures"]) > 0, F.concat(figure_names(x), bare)).otherwise(
-            word_names(x))
-        return keys(x, [x["bucket"] - 1, x["bucket"]], names)
-
-    def posted(x: Column) -> Column:
-        own = F.when(F.size(x["figures"]) > 0, figure_names(x)).otherwise(bare)
-        return keys(x, [x["bucket"]], F.concat(own, word_names(x)))
-
-    def match(new: Column, old: Column, _hint=None) -> Column:
-        alike = (F.size(new["figures"]) > 0) | (
-            text.profile_similarity(old["p"], new["p"]) >= COMPANY_FLOOR)
-        return (~text.figures_conflict(old["figures"], new["figures"])
-                & (new["t"] - old["t"] <= span)
-                & ~text.guarded(old["p"], new["p"]) & alike)
-
-    asks, posts = by_keys(asked), by_keys(posted)
-    kept = cut(greedy_keep(cut(slots, "company-slots"), asks, posts, match), "company-kept")
-    dropped = slots.join(kept.select("ord"), "ord", "left_anti")
-    old = posts(kept).select("key", F.col("ord").alias("old_ord"), F.col("x").alias("old_x"))
-    return (asks(dropped).join(old, "key")
-            .where((F.col("old_ord") < F.col("ord")) & match(F.col("x"), F.col("old_x")))
-            .groupBy("ord").agg(F.min("old_ord").alias("first"))
-            .select(F.col("ord.id").alias("id"), F.col("first.id").alias("target")))
-
-
-def apply_company_dedupe(rows: DataFrame, id_col: str = "id", **options) -> DataFrame:
-    merged = company_dedupe(rows, id_col, **options).withColumnRenamed("canonical_id", "merged")
+        .withColumn("bucket", F.floor(F.col("ord.t") / span)), "company-rows")
+    word = row.select("who", "ord", F.explode("p.tokens").alias("word"))
+    often = word.groupBy("who", "word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = (word.join(often, ["who", "word"]).groupBy("ord")
+              .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+              .select("ord", F.transform("w", lambda x: x["word"]).alias("words")))
+    row = row.join(ranked, "ord", "left").withColumn(
+        "words", F.coalesce("words", F.array().cast("array<string>")))
+    size = F.size("words")
+    rare = F.slice("words", F.lit(1), F.greatest(
+        size - F.ceil(size * COMPANY_FLOOR).cast("int") + 1, F.lit(0)))
+
+    def marked(mark: str, values: Column | str) -> Column:
+        return F.transform(values, lambda v: F.concat(F.lit(mark), v))
+    bare, numbered = F.array(F.lit("bare")), F.size("figures") > 0
+    asked = F.when(numbered, F.concat(marked("f:", "figures"), bare)).otherwise(
+        F.concat(marked("all:", rare), marked("rare:", "words")))
+    posted = F.concat(F.when(numbered, marked("f:", "figures")).otherwise(bare),
+                      marked("all:", "words"), marked("rare:", rare))
+    facts = ["ord", "p", "figures"]
+    new = (row.select("who", "bucket", F.struct(*facts).alias("x"), F.explode(asked).alias("key"))
+           .select("who", "x", "key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket")))
+                   .alias("bucket")))
+    old = row.select("who", "bucket", F.struct(*facts).alias("y"), F.explode(posted).alias("key"))
+    x, y = F.col("x"), F.col("y")
+    alike = (F.size(x["figures"]) > 0) | (
+        text.profile_similarity(y["p"], x["p"]) >= COMPANY_FLOOR)
+    match = (~text.figures_conflict(y["figures"], x["figures"])
+             & (x["ord"]["t"] - y["ord"]["t"] <= span) & ~text.guarded(y["p"], x["p"]) & alike)
+    return (new.join(old, ["who", "bucket", "key"]).where((y["ord"] < x["ord"]) & match)
+            .select(x["ord"].alias("new"), y["ord"].alias("old")).distinct())
+
+
+def apply_company_dedupe(rows: DataFrame, id_col: str = "id", hours: int = COMPANY_HOURS) -> DataFrame:
+    merged = company_dedupe(rows, id_col, hours).withColumnRenamed("canonical_id", "merged")
     return rows.join(merged, id_col, "left").withColumn(
         "canonical_id", F.coalesce("canonical_id", "merged")).drop("merged")
 
@@ -370,30 +292,12 @@ def _near_keys(x: Column, days: int, around: bool) -> Column:
     return F.transform(buckets, lambda b: F.struct(x["key"].alias("key"), b.alias("bucket")))
 
 
-def _scan_spaced(span: int, order: list[str]):
-    """One bounded piece of a key's timeline: rows in order, kept when no kept one is near."""
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, na_position="first", kind="stable")
-        times: list[float] = []
-        ids = []
-        for row_id, t in zip(pdf["id"], pdf["t"]):
-            at = bisect.bisect_left(times, t - span)
-            if at == len(times) or times[at] > t + span:
-                bisect.insort(times, t)
-                ids.append(row_id)
-        return pd.DataFrame({"id": ids})
-
-    return scan
-
-
-def spaced(rows: DataFrame, days: int, fold_rows: int = FOLD_ROWS,
-           scan_rows: int = SCAN_ROWS) -> DataFrame:
+def spaced(rows: DataFrame, days: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(id) of rows(key, t, ord, id) kept when walking each key's rows by ``ord`` and keeping
     those more than ``days`` from every row kept before.
 
-    A key's timeline breaks at every empty bucket. Short pieces are folded inside the JVM,
-    longer ones scanned by one task each, and pieces longer than a task should take are
-    settled in rounds. A key keeps at most one row per ``days``, so the rounds are
+    A key's timeline breaks at every empty bucket. Short pieces are folded inside the JVM, longer
+    ones settled in rounds; the rows kept are the same either way. A key keeps at most one row per ``days``, so the rounds are
     bounded by the time the data spans, not by its size.
     """
     span = days * 86400
@@ -412,23 +316,16 @@ def spaced(rows: DataFrame, days: int, fold_rows: int = FOLD_ROWS,
            .agg(F.array_sort(F.collect_list(item)).alias("items"))
            .select(F.explode(F.aggregate("items", F.slice("items", 1, 0), step)).alias("k"))
            .select("k.id"))
-    order = placed.schema["ord"].dataType.fieldNames()
-    flat = placed.where((size > fold_rows) & (size <= scan_rows)).select(
-        "key", "segment", "t", "id", *[F.col(f"ord.{c}").alias(f"o_{i}")
-                                       for i, c in enumerate(order)])
-    many = flat.groupBy("key", "segment").applyInPandas(
-        _scan_spaced(span, [f"o_{i}" for i in range(len(order))]),
-        T.StructType([T.StructField("id", placed.schema["id"].dataType)]))
-    kept = placed.where(size == 1).select("id").unionByName(few).unionByName(many)
-    huge = placed.where(size > scan_rows)
+    kept = placed.where(size == 1).select("id").unionByName(few)
+    huge = placed.where(size > fold_rows)
     if huge.isEmpty():
         return kept
     slots = huge.select("ord", F.struct("key", "t", "id").alias("x"))
-    settled = greedy_keep(
+    spread = greedy_keep(
         cut(slots, "spaced-slots"), by_keys(lambda x: _near_keys(x, days, True)),
         by_keys(lambda x: _near_keys(x, days, False)),
         lambda a, b, _hint: F.abs(a["t"] - b["t"]) <= span)
-    return kept.unionByName(settled.select("x.id"))
+    return kept.unionByName(spread.select("x.id"))
 
 
 def deal_dedupe(rows: DataFrame, order: list[str], id_col: str = "id", days: int = DEAL_DAYS,
@@ -486,12 +383,25 @@ def round_known(rows: DataFrame, known: DataFrame, days: int = DEAL_DAYS,
 
 
 def admit_search_rounds(rows: DataFrame, known: DataFrame, order: list[str],
-                        wanted: tuple[str, ...], id_col: str = "id") -> DataFrame:
-    """``outcome`` of each searched round: added, duplicate or not a round.
+                        wanted: tuple[str, ...], id_col: str = "id", since=None, until=None,
+                        seen_urls: DataFrame | None = None) -> DataFrame:
+    """``outcome`` of each searched round: added, duplicate, known url, outside range or not a round.
 
-    Within a run a company and stage is looked at once, whatever its date.
+    A row without a date, or dated outside ``since`` .. ``until`` (either may be open), is outside
+    the range. Within a run a company and stage is looked at once, whatever its date. ``seen_urls(url)``
+    are the links read before.
     """
-    fit = F.col("stage").isin(*wanted) & (F.coalesce("company", F.lit("")) != "")
+    named = F.col("stage").isin(*wanted) & (F.coalesce("company", F.lit("")) != "")
+    inside = F.col("published_at").isNotNull()
+    if since is not None:
+        inside &= F.col("published_at") >= instant(since)
+    if until is not None:
+        inside &= F.col("published_at") <= instant(until)
+    old_link = F.lit(False)
+    if seen_urls is not None:
+        rows = rows.join(seen_urls.select("url", F.lit(True).alias("_seen")).distinct(), "url", "left")
+        old_link = F.coalesce("_seen", F.lit(False))
+    fit = named & inside & ~old_link
     real = rows.where(fit)
     first = (real.groupBy(F.lower("company"), "stage")
              .agg(F.min(_order(order, id_col)).alias("o")).select(F.col(f"o.{id_col}")))
@@ -500,8 +410,9 @@ def admit_search_rounds(rows: DataFrame, known: DataFrame, order: list[str],
     added = fresh.join(repeat.select(id_col), id_col, "left_anti").select(
         id_col, F.lit(True).alias("is_new"))
     return rows.join(added, id_col, "left").withColumn(
-        "outcome", F.when(F.col("is_new"), "added")
-        .when(fit, "duplicate").otherwise("not a round")).drop("is_new")
+        "outcome", F.when(F.col("is_new"), "added").when(old_link, "known url")
+        .when(~named, "not a round").when(~inside, "outside range")
+        .otherwise("duplicate")).drop("is_new", "_seen")
 
 
 def admit_added_rounds(rows: DataFrame, known: DataFrame, id_col: str = "id",

@@ -82,3 +82,23 @@ def by_keys(keys: Callable[[Column], Column]) -> Keyed:
     def run(df: DataFrame) -> DataFrame:
         return df.select("ord", "x", F.explode(keys(F.col("x"))).alias("key"))
     return run
+
+
+def settled(edges: DataFrame) -> DataFrame:
+    """(new): the rows dropped when every row is kept unless it matches an earlier kept row.
+
+    ``edges(new, old)`` are the matching pairs, ``old`` before ``new``. Each round keeps the rows
+    no undecided earlier row of which matches them, and drops what those match; there are as many
+    rounds as the longest chain of rows that match one after the other, however many
+    rows there are.
+    """
+    live, dropped = edges, edges.select("new").limit(0)
+    while True:
+        ready = live.select("old").distinct().join(
+            live.select(F.col("new").alias("old")).distinct(), "old", "left_anti")
+        hit = cut(live.join(ready, "old").select("new").distinct(), "settled-hit")
+        dropped = dropped.unionByName(hit)
+        live = cut(live.join(hit, "new", "left_anti").join(
+            hit.withColumnRenamed("new", "old"), "old", "left_anti"), "settled-live")
+        if live.isEmpty():
+            return dropped

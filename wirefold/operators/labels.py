@@ -117,20 +117,23 @@ def admit_batches(batches: DataFrame, headroom_usd: float, max_tokens: int = 409
         "admitted", F.col("running_usd") <= headroom_usd)
 
 
-def _article_line() -> Column:
-    body = F.coalesce(F.when(_filled("summary"), F.col("summary")),
-                      F.when(_filled("description"), F.col("description")))
-    return F.concat_ws("\n    ", "headline",
-                       F.when(_filled("company"), F.concat(F.lit("company: "), "company")),
-                       F.when(_filled("category"), F.concat(F.lit("category: "), "category")),
-                       F.substring(body, 1, DIGEST_CHARS))
+Fields = tuple[tuple[str, str], ...]      # (caption, column) pairs, in the order they are shown
 
 
-def story_prompts(articles: DataFrame, ask: str) -> DataFrame:
+def field_lines(fields: Fields, chars: int | None = None) -> Column:
+    """One line per filled column: its caption and its value, cut to ``chars`` if given."""
+    def line(caption: str, name: str) -> Column:
+        value = F.col(name).cast("string")
+        shown = value if chars is None else F.substring(value, 1, chars)
+        return F.when(_filled(name), F.concat(F.lit(caption), shown))
+    return F.concat_ws("\n", *[line(caption, name) for caption, name in fields])
+
+
+def story_prompts(articles: DataFrame, head: str, fields: Fields, tail: str,
+                  chars: int | None = DIGEST_CHARS) -> DataFrame:
     """(id, prompt) asking about one story each."""
-    return articles.select("id", F.concat(
-        F.lit("Story:\n    "), _article_line(), F.lit("\n    source: "), "source",
-        F.lit(f"\n\n{ask}")).alias("prompt"))
+    return articles.select("id", F.concat_ws(
+        "\n", F.lit(head), field_lines(fields, chars), F.lit(tail)).alias("prompt"))
 
 
 def fetch_in_order(articles: DataFrame, requests: DataFrame,
@@ -140,25 +143,26 @@ def fetch_in_order(articles: DataFrame, requests: DataFrame,
     return wanted.join(articles, "id")
 
 
-def digest_prompts(articles: DataFrame, requests: DataFrame, ask: str) -> DataFrame:
-    """(request_id, prompt) of the stories on screen, numbered as the reader sees them."""
-    rows = fetch_in_order(articles, requests).select("request_id", "pos", _article_line().alias("t"))
+def digest_prompts(articles: DataFrame, requests: DataFrame, head: str, fields: Fields, tail: str,
+                   chars: int | None = DIGEST_CHARS, limit: int = DIGEST_STORIES) -> DataFrame:
+    """(request_id, prompt) of the stories a reader has before them, numbered from 1."""
+    rows = fetch_in_order(articles, requests, limit).select(
+        "request_id", "pos", field_lines(fields, chars).alias("t"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "t")))
-    lines = F.transform("s", lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"),
-                                                   F.lit("] "), s["t"]))
-    return rows.groupBy("request_id").agg(ordered.alias("s")).select("request_id", F.concat(
-        F.lit("Stories currently on screen:\n"), F.array_join(lines, "\n"), F.lit(f"\n\n{ask}")
-    ).alias("prompt"))
-
-
-def page_prompts(pages: DataFrame, limit: int = PAGE_PROMPT_CHARS) -> DataFrame:
-    """pages(url, title, body, query): the page's text with what the reader searched for."""
-    cut = F.when(F.length("body") > limit, " (truncated)").otherwise("")
-    reader = F.when(_filled("query"), F.concat(
-        F.lit("The reader searched for: "), "query", F.lit("\n\n"))).otherwise("")
-    return pages.select("url", F.concat(
-        reader, F.lit("Page title: "), "title", F.lit("\nPage URL: "), "url",
-        F.lit("\n\nPage text"), cut, F.lit(":\n"), F.substring("body", 1, limit)).alias("prompt"))
+    numbered = F.transform("s", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s["t"]))
+    return rows.groupBy("request_id").agg(ordered.alias("s")).select("request_id", F.concat_ws(
+        "\n", F.lit(head), F.array_join(numbered, "\n"), F.lit(tail)).alias("prompt"))
+
+
+def page_prompts(pages: DataFrame, head: str, fields: Fields, tail: str,
+                 limit: int | None = PAGE_PROMPT_CHARS) -> DataFrame:
+    """(url, prompt, cut) of pages(url, body, ...): the fields, then the body up to ``limit``
+    characters; ``cut`` says how many were left out."""
+    body = F.coalesce(F.col("body"), F.lit(""))
+    shown = body if limit is None else F.substring(body, 1, limit)
+    return pages.select("url", F.concat_ws(
+        "\n", F.lit(head), field_lines(fields), shown, F.lit(tail)).alias("prompt"),
+        (F.length(body) - F.length(shown)).alias("cut"))
 
 
 # --- answers ---------------------------------------------------------------------------

@@ -68,6 +68,12 @@ def newest_first(ts: str = "published_at", *then: Column) -> list[Column]:
     return [F.col(ts).desc_nulls_last(), *then]
 
 
+def _check_page(limit: int) -> None:
+    """A page and its total accept the same limits; a larger one is refused, never cut."""
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} rows")
+
+
 def feed_page(articles: DataFrame, spec: FilterSpec, as_of, limit: int = PAGE_LIMIT,
               offset: int = 0) -> DataFrame:
     """One page, newest first, with the other outlets of its stories.
@@ -75,7 +81,7 @@ def feed_page(articles: DataFrame, spec: FilterSpec, as_of, limit: int = PAGE_LI
     Other outlets are looked up for the page's few rows only: the page is a top-k, and its
     ids filter the pointer rows before anything is grouped.
     """
-    limit = min(limit, MAX_PAGE)
+    _check_page(limit)
     order = newest_first("published_at", F.col("ingested_at").desc(), F.col("id").desc())
     page = feed_rows(articles, spec, as_of).orderBy(*order).offset(offset).limit(limit)
     ids = page.select(F.col("id").alias("canonical_id"))
@@ -90,6 +96,7 @@ def feed_page(articles: DataFrame, spec: FilterSpec, as_of, limit: int = PAGE_LI
 
 def feed_total(articles: DataFrame, spec: FilterSpec, as_of, limit: int = PAGE_LIMIT,
                offset: int = 0) -> DataFrame:
+    _check_page(limit)
     shown = F.least(F.greatest(F.col("total") - offset, F.lit(0)), F.lit(limit))
     return feed_rows(articles, spec, as_of).agg(F.count("*").alias("total")).withColumn(
         "has_more", F.lit(offset) + shown < F.col("total"))
@@ -125,18 +132,17 @@ def buckets(articles: DataFrame, definitions: DataFrame, as_of, seen: DataFrame
             ) -> DataFrame:
     """Per bucket: stories in its window, how many arrived since it was last opened, and
     the latest arrival at any time. ``seen(key, seen_at)``. A bucket is a handful of rows, so
-    they are joined to per-category counts, never to the stories one by one.
+    they meet the stories' narrow columns and are summed up at once.
     """
     defs = definitions.withColumn("category", F.explode("categories"))
     if seen is None:
         defs = defs.withColumn("seen_at", F.lit(None).cast("timestamp"))
     else:
-        defs = defs.join(F.broadcast(seen), "key", "left")
+        defs = defs.join(seen, "key", "left")
     since = instant(as_of) - F.make_dt_interval(days=F.col("days"))
     fits = F.col("published_at").isNull() | (F.col("published_at") >= since)
-    # ``defs`` is a checked registry (see sources.registry), hence the broadcast.
     counted = (canonical(articles).select("category", "published_at", "ingested_at")
-               .join(F.broadcast(defs.select("key", "category", "days", "seen_at")), "category")
+               .join(defs.select("key", "category", "days", "seen_at"), "category")
                .groupBy("key").agg(
                    F.count_if(fits).alias("count"),
                    F.count_if(fits & (F.col("ingested_at") > F.col("seen_at"))).alias("new_count"),

@@ -10,43 +10,69 @@ from wirefold.functions.text import map_of
 from wirefold.functions.times import in_days
 from wirefold.functions.urls import domain
 from wirefold.operators.dedupe import deal_dedupe
-from wirefold.sources.registry import MAX_ROWS, SITE_VIAS, VIA_LABELS, firm_reads
+from wirefold.sources.registry import SITE_VIAS, VIA_LABELS, firm_reads
 
-LITERAL_FIRMS = 500
+LOOSE_ALIASES = 10_000    # aliases without a literal word that may be broadcast; more are refused
 ORIGINS = ("site", "added", "search", "news")     # also who wins when a deal is seen twice
+# Labels of the reads.
 READ_LABELS = {
     "rss": "own website feed", "html": "own website news page", "sitemap": "own website sitemap",
     "scrape": "own website, via Firecrawl", "map": "own website, via Firecrawl",
     "search": "news search, via Firecrawl"}
 
 
-def alias_patterns(firms: DataFrame) -> DataFrame:
-    """(firm, firm_label, pattern): one case-insensitive alternation per firm."""
-    return (firms.where(F.size("aliases") > 0).select(
-        F.col("key").alias("firm"), F.col("label").alias("firm_label"),
-        F.concat(F.lit("(?i)(?:"), F.array_join("aliases", ")|(?:"), F.lit(")")).alias("pattern")))
+def _pieces(run: Column) -> Column:
+    return F.when(F.length(run) >= 4, F.substring(run, 1, 4)).otherwise(F.substring(run, 1, 3))
+
+
+def alias_keys(firms: DataFrame) -> DataFrame:
+    """(firm, firm_label, alias, piece): every alias with the rarest piece of text it needs.
+
+    An alias of letters, digits, spaces and word borders contains its own words, so a text that matches
+    has their first letters somewhere; of an alias' words the one that begins the fewest others is
+    taken. Other aliases have no piece.
+    """
+    alias = firms.select(F.col("key").alias("firm"), F.col("label").alias("firm_label"),
+                         F.explode("aliases").alias("alias"))
+    bare = F.replace(F.lower("alias"), F.lit("\\b"), F.lit(""))
+    runs = F.filter(F.split(bare, "[^a-z0-9]+"), lambda r: F.length(r) >= 3)
+    plain = bare.rlike("^[a-z0-9 &'-]+$") & (F.size(runs) > 0)
+    runs = alias.where(plain).select("firm", "firm_label", "alias", F.explode(F.transform(
+        runs, _pieces)).alias("piece"))
+    often = runs.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    keyed = (runs.join(often, "piece").groupBy("firm", "firm_label", "alias")
+             .agg(F.min(F.struct("n", "piece"))["piece"].alias("piece")))
+    return keyed.unionByName(alias.where(~plain).withColumn("piece", F.lit(None).cast("string")))
 
 
 def named_firms(rounds: DataFrame, firms: DataFrame, text: Column | str = "investors") -> DataFrame:
     """One row per round and firm its investors name.
 
-    The registry is small and checked, so its patterns become literals: each is compiled once
-    and tried on every row where it lies, without a join. A registry of more than
-    ``LITERAL_FIRMS`` is matched against the distinct investor texts instead.
+    The distinct investor texts meet the aliases on a piece that the alias needs, by an equality
+    join, and only those pairs are tried. Aliases that are patterns without a literal word are
+    tried on every text; there may be LOOSE_ALIASES of them, more are refused.
     """
     text = F.col(text) if isinstance(text, str) else text
     named = rounds.withColumn("_text", text).where("_text is not null and _text != ''")
-    patterns = alias_patterns(firms)
-    few = patterns.limit(LITERAL_FIRMS + 1).collect()
-    if len(few) <= LITERAL_FIRMS:
-        found = F.array(*[F.when(F.col("_text").rlike(p.pattern), F.struct(
-            F.lit(p.firm).alias("firm"), F.lit(p.firm_label).alias("firm_label"))) for p in few])
-        return (named.withColumn("_firm", F.explode(F.array_compact(found)))
-                .select("*", "_firm.firm", "_firm.firm_label").drop("_text", "_firm"))
-    hits = (named.select("_text").distinct()
-            .join(F.broadcast(patterns.limit(MAX_ROWS)), F.expr("_text rlike pattern"))
-            .drop("pattern"))
-    return named.join(hits, "_text").drop("_text")
+    texts = named.select("_text").distinct()
+    aliases = alias_keys(firms)
+    low = F.lower("_text")
+
+    def cuts(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - size + 1, F.lit(1))),
+                           lambda i: F.substr(low, i, F.lit(size)))
+    pieces = F.filter(F.array_distinct(F.concat(cuts(3), cuts(4))), lambda g: g.rlike("^[a-z0-9]{3,4}$"))
+    tried = F.expr("_text rlike concat('(?i)(?:', alias, ')')")
+    hits = (texts.select("_text", F.explode(pieces).alias("piece"))
+            .join(aliases.where("piece is not null"), "piece").where(tried)
+            .select("_text", "firm", "firm_label"))
+    loose = aliases.where("piece is null").drop("piece")
+    if (n := loose.count()) > LOOSE_ALIASES:
+        raise ValueError(f"{n} aliases have no literal word, {LOOSE_ALIASES} are allowed")
+    if n:
+        hits = hits.unionByName(texts.join(F.broadcast(loose), tried)
+                                .select("_text", "firm", "firm_label"))
+    return named.join(hits.distinct(), "_text").drop("_text")
 
 
 def site_posts(posts: DataFrame, firms: DataFrame, added: DataFrame, include_other: bool = False
@@ -61,10 +87,10 @@ def site_posts(posts: DataFrame, firms: DataFrame, added: DataFrame, include_oth
                          F.col("url").alias("a_url"), F.col("label").alias("a_label"),
                          F.col("firm").alias("tied"))
     owner = known.select(F.col("f_key").alias("tied"), F.col("f_label").alias("tied_label"))
-    sites = sites.join(F.broadcast(owner), "tied", "left")
+    sites = sites.join(owner, "tied", "left")
     joined = (posts.where("classified_at is not null")
               .join(sites, "firm", "left")
-              .join(F.broadcast(known), F.col("firm") == F.col("f_key"), "left"))
+              .join(known, F.col("firm") == F.col("f_key"), "left"))
     is_added, tied = F.col("a_url").isNotNull(), F.col("tied_label").isNotNull()
     origin = F.when(is_added, "added").when(F.col("via").isin(*SITE_VIAS), "site").otherwise("search")
     label = F.when(is_added, domain("a_url")).otherwise(

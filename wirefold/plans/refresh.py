@@ -29,9 +29,10 @@ def ingest(state: Tables, inputs: Tables, as_of) -> Tables:
     articles = state["articles"]
     offers = (items.where("description is not null").groupBy("url")
               .agg(F.min_by("description", F.struct("feed_url", "pos")).alias("description")))
-    filled = sinks.fill_empty(articles, offers, "url", "description").withColumn(
-        "description_origin", F.coalesce("description_origin", F.when(
-            F.col("description").isNotNull(), "feed")))
+    had = F.coalesce(F.col("description"), F.lit("")) != ""
+    filled = sinks.fill_empty(articles.withColumn("_had", had), offers, "url", "description").withColumn(
+        "description_origin", F.when(~F.col("_had") & had, "feed").otherwise(
+            F.col("description_origin"))).select(articles.columns)
     fresh = sinks.insert_new(items, articles, ["url"], ["feed_url", "pos"]).select(
         url_hash("url").alias("id"), "*", instant(as_of).alias("ingested_at"))
     order = ["ingested_at", "feed_url", "pos"]

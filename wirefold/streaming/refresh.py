@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirefold.functions.text import content_hash, story_key, url_hash
@@ -41,14 +41,21 @@ def write_batch(df: DataFrame, root: str, table: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch}")
 
 
-def read_before(spark: SparkSession, root: str, table: str, batch: int, schema: str) -> DataFrame:
-    """What batches before ``batch`` wrote; the folder of any later one is pruned."""
+def _empty(column: str) -> Column:
+    return F.coalesce(F.trim(column), F.lit("")) == ""
+
+
+def read_before(spark: SparkSession, root: str, table: str, batch: int, schema: str,
+                numbered: bool = False) -> DataFrame:
+    """What batches before ``batch`` wrote; the folder of any later one is pruned. ``numbered``
+    keeps the batch."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, batch bigint" if numbered else schema)
     stored = spark.read.schema(f"{schema}, batch bigint").parquet(f"{root}/{table}")
-    return stored.where(F.col("batch") < batch).drop("batch")
+    earlier = stored.where(F.col("batch") < batch)
+    return earlier if numbered else earlier.drop("batch")
 
 
 def ingest_batch(items: DataFrame, batch: int, root: str, as_of) -> None:
@@ -69,9 +76,11 @@ def ingest_batch(items: DataFrame, batch: int, root: str, as_of) -> None:
     rows = told.withColumn("content_hash", content_hash("headline", "description"))
     columns = [c.split(" ")[0] for c in ARTICLE.split(", ")]
     write_batch(rows.select(*columns), root, "articles", batch)
-    fills = (known.where("description is not null").groupBy("url")
+    # What earlier batches lent counts as filled: the first description stays.
+    lacking = stored_articles(spark, root, batch).where(_empty("description")).select("url")
+    fills = (known.where(~_empty("description")).groupBy("url")
              .agg(F.min_by("description", "pos").alias("description"))
-             .join(stored.where("description is null").select("url"), "url", "left_semi"))
+             .join(lacking, "url", "left_semi"))
     write_batch(fills, root, "fills", batch)
     outcome = F.when(F.col("canonical_id").isNull(), "new").otherwise("duplicate")
     seen = (told.select("source", outcome.alias("outcome"))
@@ -83,10 +92,11 @@ def ingest_batch(items: DataFrame, batch: int, root: str, as_of) -> None:
 def stored_articles(spark: SparkSession, root: str, batch: int) -> DataFrame:
     """Articles up to ``batch`` with the descriptions later reads lent them."""
     rows = read_before(spark, root, "articles", batch, ARTICLE)
-    fills = read_before(spark, root, "fills", batch, "url string, description string")
-    lent = fills.groupBy("url").agg(F.first("description").alias("lent"))
-    return (rows.join(lent, "url", "left")
-            .withColumn("description", F.coalesce("description", "lent")).drop("lent"))
+    fills = read_before(spark, root, "fills", batch, "url string, description string", True)
+    lent = fills.groupBy("url").agg(F.min_by("description", "batch").alias("lent"))
+    return (rows.join(lent, "url", "left").withColumn("description", F.when(
+        _empty("description"), F.coalesce("lent", "description")).otherwise(F.col("description")))
+        .drop("lent"))
 
 
 def refresh(spark: SparkSession, parts: dict[str, Callable[[], object]]) -> DataFrame:

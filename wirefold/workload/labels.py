@@ -124,10 +124,13 @@ def chunk_repair(t: Tables) -> DataFrame:
     return search.drifted_chunks(docs, stored)
 
 
-@query(f"""WITH {DOC_SQL} SELECT lang AS request_id, 'Stories currently on screen:' || chr(10)
-  || string_agg('[' || n || '] ' || headline || CASE WHEN coalesce(description, '') <> ''
-    THEN chr(10) || '    ' || substr(description, 1, 280) ELSE '' END, chr(10) ORDER BY n)
-  || chr(10) || chr(10) || 'Summarise.' AS prompt
+FIELDS = (("", "headline"), ("about: ", "description"))
+
+
+@query(f"""WITH {DOC_SQL} SELECT lang AS request_id, 'Shown:' || chr(10)
+  || string_agg(n || '. ' || substr(headline, 1, 280) || CASE WHEN coalesce(description, '') <> ''
+    THEN chr(10) || 'about: ' || substr(description, 1, 280) ELSE '' END, chr(10) ORDER BY n)
+  || chr(10) || 'Summarise.' AS prompt
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY id DESC) AS n FROM docs) WHERE n <= 40
 GROUP BY 1""")
 def digest_prompts(t: Tables) -> DataFrame:
@@ -138,4 +141,22 @@ def digest_prompts(t: Tables) -> DataFrame:
     newest = docs.select("lang", "id", F.row_number().over(w).alias("n")).where("n <= 40")
     requests = newest.groupBy(F.col("lang").alias("request_id")).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("n", "id"))), lambda s: s["id"]).alias("ids"))
-    return labels.digest_prompts(docs, requests, "Summarise.")
+    return labels.digest_prompts(docs, requests, "Shown:", FIELDS, "Summarise.")
+
+
+@query(f"""WITH {DOC_SQL} SELECT id, 'Story:' || CASE WHEN coalesce(headline, '') <> '' THEN chr(10)
+  || substr(headline, 1, 280) ELSE '' END || CASE WHEN coalesce(description, '') <> ''
+  THEN chr(10) || 'about: ' || substr(description, 1, 280) ELSE '' END || chr(10) || 'Explain.' AS prompt
+FROM docs WHERE coalesce(headline, '') <> ''""")
+def story_prompts(t: Tables) -> DataFrame:
+    """One question per document with a headline."""
+    rows = articles(t).where("coalesce(headline, '') != ''")
+    return labels.story_prompts(rows, "Story:", FIELDS, "Explain.")
+
+
+@query("""SELECT url, 'Page:' || chr(10) || 'at: ' || url || chr(10) || substr(html, 1, 300) || chr(10)
+  || 'Answer.' AS prompt, greatest(length(html) - 300, 0) AS cut FROM pages""")
+def page_prompts(t: Tables) -> DataFrame:
+    """Raw pages as the body of a question, with what was cut."""
+    rows = t.pages.select("url", F.col("html").alias("body"))
+    return labels.page_prompts(rows, "Page:", (("at: ", "url"),), "Answer.", 300)

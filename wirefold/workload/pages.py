@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.functions import markup, text, urls
+from wirefold.functions import markup, times, text, urls
 from wirefold.operators import incremental
 from wirefold.sources import feeds
 from wirefold.workload.base import Tables, query
@@ -130,8 +130,7 @@ def sitemap_entries(t: Tables) -> DataFrame:
     array_to_string(list_filter(list_transform(string_split({_LINES}, chr(10)),
       lambda l: {_squeeze_sql('l')}), lambda l: l <> ''), chr(10)) AS text FROM pages)
 SELECT page_id, sha1(text) AS content_hash,
-  regexp_matches(text, '(?i)\\b(events?|summit|demo ?days?|meetups?|webinars?|conference|conclave|workshops?|office hours|bootcamp|hackathon|masterclass|mixer|roundtable|fireside chat|rsvp|register now)\\b')
-  AND regexp_matches(text, '(?i)\\b(\\d{{1,2}}(st|nd|rd|th)?\\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\\.?|(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\\.?\\s+\\d{{1,2}}(st|nd|rd|th)?\\b|\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{1,2}}[./]\\d{{1,2}}[./]\\d{{2,4}})')
+  regexp_matches(text, '{times.EVENT_WORDS}') AND regexp_matches(text, '{times.ANY_DATE}')
   AS worth_asking FROM p WHERE NOT seen""")
 def content_changed(t: Tables) -> DataFrame:
     """Pages whose text is not the one last read: https pages were read as they are."""

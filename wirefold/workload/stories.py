@@ -9,17 +9,65 @@ from wirefold.functions import text
 from wirefold.functions.taxonomy import WANTED_STAGES
 from wirefold.operators import dedupe
 from wirefold.workload.base import (DOC_AS_OF, DOC_SQL, ORDER_SQL, Tables, doc_articles,
-                                    order_articles, query, story_key_sql, tokens_sql)
+                                    numbers_sql, order_articles, query, story_key_sql, tokens_sql)
+
+
+# Facts of every headline, then the rule for a pair: both as sets of words. ``m`` says whether the longer
+# of two headlines covers something the other does not.
+HEADLINE_SQL = f"""facts AS (SELECT id, source, company, category, published_at AS at, headline,
+    {tokens_sql('headline')} AS w, {numbers_sql('headline')} AS nums, {story_key_sql('headline')} AS k,
+    list_filter({numbers_sql('headline')}, lambda x: NOT (length(x) = 4
+      AND x::BIGINT BETWEEN 1900 AND 2100)) AS figs,
+    regexp_matches(headline, '{text.ROUNDUP}') AS roundup,
+    list_filter(list_transform(regexp_split_to_array(headline, '[;|]'), lambda c: {tokens_sql('c')}),
+      lambda c: len(c) >= 3) AS parts FROM base)"""
+
+
+def _guard_sql(long: str, short: str) -> str:
+    return (f"({long}.roundup OR (len({long}.parts) >= 2 AND len(list_filter({long}.parts, lambda c: "
+            f"len({short}.w) = 0 OR len(list_intersect(c, {short}.w)) / least(len(c), len({short}.w)) < 0.25)) > 0))")
+
+
+# ``a`` is the earlier row: it counts as the longer one in a tie.
+PAIR_SQL = f"""CASE WHEN len(a.w) >= len(b.w) THEN {_guard_sql('a', 'b')} ELSE {_guard_sql('b', 'a')} END AS m,
+    len(list_intersect(a.w, b.w)) AS common, least(len(a.w), len(b.w)) AS small"""
+SCORE_SQL = """CASE WHEN common = 0 THEN 0 WHEN m OR small < 4 THEN common / (la + lb - common)
+    ELSE greatest(common / (la + lb - common), common / small) END"""
+
+# One walk over all rows in order: ``kept`` holds what stays, a row looks for its best match there.
+_STORY_SQL = f"""WITH RECURSIVE {DOC_SQL}, base AS (SELECT *, NULL AS company, NULL AS category FROM docs),
+{HEADLINE_SQL},
+near AS (SELECT b.id AS new, a.id AS old, a.k = b.k AS same, len(a.w) AS la, len(b.w) AS lb, {PAIR_SQL},
+    a.nums = b.nums AND a.at IS NOT NULL AND abs(epoch(a.at)
+      - epoch(coalesce(b.at, TIMESTAMP '{DOC_AS_OF}'))) <= 259200 AS close
+  FROM facts a JOIN facts b ON a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0
+    AND (a.k = b.k OR len(list_intersect(a.w, b.w)) > 0)),
+fit AS (SELECT new, old, CASE WHEN same THEN 2 ELSE {SCORE_SQL} END AS worth FROM near
+  WHERE same OR (close AND {SCORE_SQL} >= 0.6)),
+asks AS (SELECT new, row_number() OVER (ORDER BY new) AS n,
+  list({{'o': old, 'l': worth}} ORDER BY worth DESC, old) AS olds FROM fit GROUP BY new),
+walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS canonical_id, []::BIGINT[] AS gone
+  UNION ALL
+  SELECT n, id, canonical_id, CASE WHEN canonical_id IS NULL THEN gone ELSE list_append(gone, id) END
+  FROM (SELECT a.n, a.new AS id, w.gone, (list_filter(a.olds, lambda x: NOT list_contains(w.gone, x.o)))[1].o
+    AS canonical_id FROM walk w JOIN asks a ON a.n = w.n + 1)),
+told AS (SELECT f.id, f.source, f.headline, f.at AS published_at, f.k AS story_key, w.canonical_id
+  FROM facts f LEFT JOIN walk w ON w.id = f.id)"""
 
 
-@query()
+@query(_STORY_SQL + """
+SELECT id, source, story_key, canonical_id FROM told""")
 def story_dedupe(t: Tables) -> DataFrame:
     """Headline dedupe of every document, by key and by similarity within 72 hours."""
     return dedupe.story_dedupe(doc_articles(t), DOC_AS_OF, ["id"]).select(
         "id", "source", "story_key", "canonical_id")
 
 
-@query()
+@query(_STORY_SQL + """, p AS (SELECT canonical_id AS id, source, min(id) AS pos FROM told
+  WHERE canonical_id IS NOT NULL GROUP BY ALL),
+o AS (SELECT id, string_agg(source, ',' ORDER BY pos) AS s FROM p GROUP BY id)
+SELECT told.id, source, headline, published_at, coalesce(s, '') AS also_reported_by
+FROM told LEFT JOIN o USING (id) WHERE canonical_id IS NULL""")
 def feed_after_dedupe(t: Tables) -> DataFrame:
     """Stories with how many outlets told them: dedupe, then the outlets of each."""
     rows = dedupe.story_dedupe(doc_articles(t), DOC_AS_OF, ["id"])
@@ -54,7 +102,20 @@ def other_outlets(t: Tables) -> DataFrame:
         "canonical_id", F.array_join("also_reported_by", ",").alias("also_reported_by"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DOC_SQL}, base AS (SELECT *, split_part(headline, ' ', 1) AS company, lang AS category
+  FROM docs), {HEADLINE_SQL},
+near AS (SELECT b.id AS new, a.id AS old, len(a.w) AS la, len(b.w) AS lb, b.figs AS bf, {PAIR_SQL}
+  FROM facts a JOIN facts b ON lower(trim(a.company)) = lower(trim(b.company)) AND a.category = b.category
+    AND (a.at, a.id) < (b.at, b.id) AND epoch(b.at) - epoch(a.at) <= 172800
+    AND NOT (len(a.figs) > 0 AND len(b.figs) > 0 AND len(list_intersect(a.figs, b.figs)) = 0)),
+asks AS (SELECT new, row_number() OVER (ORDER BY new) AS n, list(old ORDER BY old) AS olds FROM near
+  WHERE NOT m AND (len(bf) > 0 OR {SCORE_SQL} >= 0.25) GROUP BY new),
+walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS canonical_id, []::BIGINT[] AS gone
+  UNION ALL
+  SELECT n, id, canonical_id, CASE WHEN canonical_id IS NULL THEN gone ELSE list_append(gone, id) END
+  FROM (SELECT a.n, a.new AS id, w.gone, (list_filter(a.olds, lambda x: NOT list_contains(w.gone, x)))[1]
+    AS canonical_id FROM walk w JOIN asks a ON a.n = w.n + 1))
+SELECT id, canonical_id FROM walk WHERE canonical_id IS NOT NULL""")
 def company_dedupe(t: Tables) -> DataFrame:
     """Second pass over documents: the headline's first word stands for the company."""
     rows = doc_articles(t).select(
@@ -99,9 +160,9 @@ def round_known_range_semi(t: Tables) -> DataFrame:
 @query(f"""WITH {ORDER_SQL}, s AS (SELECT *, CASE category WHEN 'Funding' THEN 'Seed'
     WHEN 'Other' THEN 'Series A' ELSE 'Other' END AS stage FROM arts),
 q AS (SELECT * FROM s WHERE canonical_id IS NULL), k AS (SELECT * FROM s WHERE canonical_id IS NOT NULL),
-o AS (SELECT *, row_number() OVER (PARTITION BY company, stage ORDER BY id) AS n FROM q)
+o AS (SELECT *, row_number() OVER (PARTITION BY company, stage, published_at IS NULL ORDER BY id) AS n FROM q)
 SELECT stage, outcome, count(*) AS n FROM (
-  SELECT stage, CASE WHEN stage = 'Other' THEN 'not a round'
+  SELECT stage, CASE WHEN stage = 'Other' THEN 'not a round' WHEN published_at IS NULL THEN 'outside range'
     WHEN n > 1 OR EXISTS (SELECT 1 FROM k WHERE k.company = o.company AND k.stage = o.stage
       AND k.published_at BETWEEN o.published_at - INTERVAL 14 DAY AND o.published_at + INTERVAL 14 DAY)
     THEN 'duplicate' ELSE 'added' END AS outcome FROM o) GROUP BY ALL""")
@@ -115,7 +176,19 @@ def search_round_outcomes(t: Tables) -> DataFrame:
     return dedupe.outcome_counts(admitted, "stage")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDER_SQL}, s AS (SELECT *, epoch(published_at) AS t FROM arts WHERE category IS NOT NULL),
+k AS (SELECT * FROM s WHERE canonical_id IS NOT NULL),
+q AS (SELECT id, company, category, t FROM s WHERE canonical_id IS NULL AND NOT EXISTS (
+  SELECT 1 FROM k WHERE k.company = s.company AND k.category = s.category
+    AND (s.t IS NULL OR abs(k.t - s.t) <= 1209600))),
+pick AS (
+  SELECT company, category, min(id) AS id, list_value(arg_min(coalesce(t, -1), id)) AS kept FROM q GROUP BY ALL
+  UNION ALL
+  SELECT p.company, p.category, min(q.id) AS id, list_append(any_value(p.kept), arg_min(q.t, q.id)) AS kept
+  FROM pick p JOIN q ON q.company = p.company AND q.category = p.category AND q.id > p.id AND q.t IS NOT NULL
+    AND len(list_filter(p.kept, lambda x: x <> -1 AND abs(x - q.t) <= 1209600)) = 0
+  GROUP BY p.company, p.category, p.id)
+SELECT id, company, category AS stage FROM pick""")
 def added_round_dedupe(t: Tables) -> DataFrame:
     """Orders as rounds from added sites, kept when new to their company and category."""
     rows = order_articles(t).withColumn("stage", F.col("category"))

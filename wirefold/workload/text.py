@@ -37,10 +37,8 @@ def story_keys(t: Tables) -> DataFrame:
 
 @query(f"""WITH {DOC_SQL}, s AS (
   SELECT id, headline AS h, {tokens_sql('headline')} AS a, {tokens_sql('description')} AS b,
-    regexp_matches(headline, '(?i)&\\s*more|and more|round-?up|this week|weekly|digest|highlights'
-      || '|top stories|ecosystem (pulse|buzz)') AS h_round,
-    regexp_matches(coalesce(description, ''), '(?i)&\\s*more|and more|round-?up|this week|weekly'
-      || '|digest|highlights|top stories|ecosystem (pulse|buzz)') AS d_round,
+    regexp_matches(headline, '{text.ROUNDUP}') AS h_round,
+    regexp_matches(coalesce(description, ''), '{text.ROUNDUP}') AS d_round,
     list_filter(list_transform(regexp_split_to_array(headline, '[;|]'), lambda c: {tokens_sql('c')}),
       lambda c: len(c) >= 3) AS h_parts,
     list_filter(list_transform(regexp_split_to_array(coalesce(description, ''), '[;|]'),
