@@ -14,6 +14,7 @@ Repeated rows are encoded alike; further columns are kept as they are.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import unicodedata
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from wirefold.llm.shared import fresh
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BATCH_CHARS = 1 << 18        # characters scanned at once; a longer text is scanned alone
-GENERATION = 100_000         # pieces per cache generation; two generations are held
+GENERATION = 150_000         # pieces per cache generation; two generations are held
 NONE = 1 << 30               # rank of a pair that is not in the vocabulary
 BLOCK = 128                  # characters composed into one function
 
@@ -308,7 +309,11 @@ def encoder(path: str):
         book = vocabulary(path)
         for batch in batches:
             texts = [t or "" for t in batch.to_pylist()]
-            ids, offsets, counts = encode_batch(texts, book)
+            gc.disable()                       # many small tuples, none of them in a cycle
+            try:
+                ids, offsets, counts = encode_batch(texts, book)
+            finally:
+                gc.enable()
             edges = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
             yield pa.StructArray.from_arrays(
                 [pa.ListArray.from_arrays(edges, pa.array(v.astype(np.int32)))
