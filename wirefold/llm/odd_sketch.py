@@ -286,7 +286,7 @@ def _groups(rows: DataFrame, signed: DataFrame, bound: Bound, scratch: Scratch)
         .select("set_id", "node", "s.*"), "classes")
     card = classes.select("node", F.struct("n", "sampled", "whole").alias("card"))
 
-    keys = classes.select("node", F.explode("bands").alias("key")).distinct()
+    keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.save(keys.join(shared, "key"), "members", True)
     crowd = members.groupBy("node").agg(F.sum("size").alias("crowd"))
