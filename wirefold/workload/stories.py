@@ -14,7 +14,7 @@ from wirefold.workload.base import (DOC_AS_OF, DOC_SQL, ORDER_SQL, Tables, doc_a
 
 # Facts of every headline, then the rule for a pair: both as sets of words. ``m`` says whether the longer
 # of two headlines covers something the other does not.
-HEADLINE_SQL = f"""facts AS (SELECT id, source, company, category, published_at AS at, headline,
+HEADLINE_SQL = f"""facts AS MATERIALIZED (SELECT id, source, company, category, published_at AS at, headline,
     {tokens_sql('headline')} AS w, {numbers_sql('headline')} AS nums, {story_key_sql('headline')} AS k,
     list_filter({numbers_sql('headline')}, lambda x: NOT (length(x) = 4
       AND x::BIGINT BETWEEN 1900 AND 2100)) AS figs,
@@ -37,14 +37,14 @@ SCORE_SQL = """CASE WHEN common = 0 THEN 0 WHEN m OR small < 4 THEN common / (la
 # One walk over all rows in order: ``kept`` holds what stays, a row looks for its best match there.
 _STORY_SQL = f"""WITH RECURSIVE {DOC_SQL}, base AS (SELECT *, NULL AS company, NULL AS category FROM docs),
 {HEADLINE_SQL},
-near AS (SELECT b.id AS new, a.id AS old, a.k = b.k AS same, len(a.w) AS la, len(b.w) AS lb, {PAIR_SQL},
+near AS MATERIALIZED (SELECT b.id AS new, a.id AS old, a.k = b.k AS same, len(a.w) AS la, len(b.w) AS lb, {PAIR_SQL},
     a.nums = b.nums AND a.at IS NOT NULL AND abs(epoch(a.at)
       - epoch(coalesce(b.at, TIMESTAMP '{DOC_AS_OF}'))) <= 259200 AS close
   FROM facts a JOIN facts b ON a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0
     AND (a.k = b.k OR len(list_intersect(a.w, b.w)) > 0)),
-fit AS (SELECT new, old, CASE WHEN same THEN 2 ELSE {SCORE_SQL} END AS worth FROM near
+fit AS MATERIALIZED (SELECT new, old, CASE WHEN same THEN 2 ELSE {SCORE_SQL} END AS worth FROM near
   WHERE same OR (close AND {SCORE_SQL} >= 0.6)),
-asks AS (SELECT new, row_number() OVER (ORDER BY new) AS n,
+asks AS MATERIALIZED (SELECT new, row_number() OVER (ORDER BY new) AS n,
   list({{'o': old, 'l': worth}} ORDER BY worth DESC, old) AS olds FROM fit GROUP BY new),
 walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS canonical_id, []::BIGINT[] AS gone
   UNION ALL
@@ -104,11 +104,11 @@ def other_outlets(t: Tables) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {DOC_SQL}, base AS (SELECT *, split_part(headline, ' ', 1) AS company, lang AS category
   FROM docs), {HEADLINE_SQL},
-near AS (SELECT b.id AS new, a.id AS old, len(a.w) AS la, len(b.w) AS lb, b.figs AS bf, {PAIR_SQL}
+near AS MATERIALIZED (SELECT b.id AS new, a.id AS old, len(a.w) AS la, len(b.w) AS lb, b.figs AS bf, {PAIR_SQL}
   FROM facts a JOIN facts b ON lower(trim(a.company)) = lower(trim(b.company)) AND a.category = b.category
     AND (a.at, a.id) < (b.at, b.id) AND epoch(b.at) - epoch(a.at) <= 172800
     AND NOT (len(a.figs) > 0 AND len(b.figs) > 0 AND len(list_intersect(a.figs, b.figs)) = 0)),
-asks AS (SELECT new, row_number() OVER (ORDER BY new) AS n, list(old ORDER BY old) AS olds FROM near
+asks AS MATERIALIZED (SELECT new, row_number() OVER (ORDER BY new) AS n, list(old ORDER BY old) AS olds FROM near
   WHERE NOT m AND (len(bf) > 0 OR {SCORE_SQL} >= 0.25) GROUP BY new),
 walk AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS canonical_id, []::BIGINT[] AS gone
   UNION ALL
