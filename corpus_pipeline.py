@@ -27,9 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates."""
+    """One document of every group of near-duplicates: a similarity of 0.8 or more on word shingles."""
     settings(spark)
-    return odd_sketch.one_of_each(docs)
+    return odd_sketch.one_of_each(docs, bound=odd_sketch.FOUR_FIFTHS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from wirefold.llm import odd_sketch
 from wirefold.llm.odd_sketch import near_groups, one_of_each, shingle_sets
 
@@ -20,7 +21,7 @@ def shingles(text):
     return frozenset(tuple(words[i:i + 5]) for i in range(len(words) - 4))
 
 
-def brute(rows):
+def brute(rows, least=85):
     sets = {i: shingles(t) for i, t in rows}
     root = {i: i for i in sets}
 
@@ -32,7 +33,7 @@ def brute(rows):
     for k, i in enumerate(ids):
         for j in ids[k + 1:]:
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if both and 100 * both >= least * (len(sets[i]) + len(sets[j]) - both):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
@@ -106,3 +107,16 @@ def test_sets_do_not_depend_on_chunks(monkeypatch, chunk):
     assert [s.tolist() for s in shingle_sets(pa.array(texts))] == whole
     assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
     assert [s.tolist() for s in shingle_sets(pa.array(["zz", *texts]).slice(1))] == whole
+
+
+def test_stage_of_the_pipeline_links_from_four_fifths_on(spark):
+    rows = []
+    for n in range(60):                                # 5 to 9 of 76 shingles differ: 0.79 to 0.88
+        base = [f"w{n}x{k}" for k in range(80)]
+        copy = base[:-(n // 12 + 5)] + [f"y{n}x{k}" for k in range(n // 12 + 5)]
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r[0] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    want = {i for i, v in brute(rows, 80).items() if v[2]}
+    assert kept == want
+    assert len(want) < len([v for v in brute(rows).values() if v[2]]) < len(rows)

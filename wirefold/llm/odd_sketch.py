@@ -12,8 +12,8 @@
    components, block by block, again sketches first. Members already known to be connected are not
    compared, so the pairs of a group are never listed.
 
-With the default bands a pair at exactly the threshold is missed by all bands with a chance
-below 3e-7; everything after the bands is exact or, for the sampled sketch, five deviations wide.
+With the bands of ``Bound()`` and FOUR_FIFTHS a pair at exactly the threshold is missed by all bands with
+a chance below 3e-7; everything after the bands is exact or, for the sampled sketch, five deviations wide.
 All state is in written tables; nothing is collected.
 
 Defined results: null and wordless texts have no shingles and are linked with nothing; a text with
@@ -113,11 +113,11 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         at = stop
 
 
-def _samples(items: np.ndarray) -> np.ndarray:
-    """MinHash samples: the smallest of every permutation."""
-    best = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def _samples(items: np.ndarray, count: int) -> np.ndarray:
+    """MinHash samples: the smallest of every one of ``count`` permutations."""
+    best = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(items), 2048):
-        part = items[i:i + 2048, None] * _SCALE + _SHIFT
+        part = items[i:i + 2048, None] * _SCALE[:count] + _SHIFT[:count]
         np.minimum(best, part.min(axis=0), out=best)
     return best
 
@@ -128,9 +128,43 @@ def _fold(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def signature_of(text: Column) -> Column:
+@dataclass(frozen=True)
+class Bound:
+    """Links hold if ``whole`` * intersection >= ``least`` * union; the bands that find them, of at
+    most BANDS * ROWS samples, and the similarity given away for the sampled sketch's spread."""
+    least: int = 85
+    whole: int = 100
+    bands: int = BANDS
+    rows: int = ROWS
+    margin: float = MARGIN
+
+    @property
+    def similarity(self) -> float:
+        return self.least / self.whole
+
+    @property
+    def samples(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def sampled_limit(self) -> int:
+        """Largest XOR count of sampled sketches that is followed up."""
+        differ = 2 * self.samples * (1 - self.similarity + self.margin)
+        return math.ceil(BITS * (1 - math.exp(-2 * differ / BITS)) / 2)
+
+    def difference_limit(self, total):
+        """Largest symmetric difference of two sets whose sizes add up to ``total``."""
+        return total * (self.whole - self.least) / (self.whole + self.least)
+
+
+# A pair at exactly 0.8 shares none of 38 bands of 5 samples with a chance of (1 - 0.8^5)^38, below 3e-7;
+# a lower similarity spreads the sampled sketch more.
+FOUR_FIFTHS = Bound(80, 100, 38, 5, 0.21)
+
+
+def signature_of(text: Column, bound: Bound = Bound()) -> Column:
     """Struct of set size, set id, band keys and both sketches of ``text``."""
-    place = np.arange(BANDS * ROWS, dtype=np.uint64)
+    place = np.arange(bound.samples, dtype=np.uint64)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -143,10 +177,10 @@ def signature_of(text: Column) -> Column:
                         part.append(np.zeros(0, np.int64))
                     continue
                 ids.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-                sample = _samples(items)
+                sample = _samples(items, bound.samples)
                 tagged = _mix(sample + place * _ODD)
-                keys = (tagged.reshape(BANDS, ROWS) * _PLACE[:ROWS]).sum(axis=1)
-                bands.append(_mix(keys + place[:BANDS]).view(np.int64))
+                keys = (tagged.reshape(bound.bands, bound.rows) * _PLACE[:bound.rows]).sum(axis=1)
+                bands.append(_mix(keys + place[:bound.bands]).view(np.int64))
                 sampled.append(_fold(tagged))
                 whole.append(_fold(items))
             yield pa.StructArray.from_arrays(
@@ -168,27 +202,6 @@ def set_of(text: Column) -> Column:
     return F.arrow_udf(run, "array<bigint>")(text)
 
 
-@dataclass(frozen=True)
-class Bound:
-    """Links hold if ``whole`` * intersection >= ``least`` * union."""
-    least: int = 85
-    whole: int = 100
-
-    @property
-    def similarity(self) -> float:
-        return self.least / self.whole
-
-    @property
-    def sampled_limit(self) -> int:
-        """Largest XOR count of sampled sketches that is followed up."""
-        differ = 2 * BANDS * ROWS * (1 - self.similarity + MARGIN)
-        return math.ceil(BITS * (1 - math.exp(-2 * differ / BITS)) / 2)
-
-    def difference_limit(self, total):
-        """Largest symmetric difference of two sets whose sizes add up to ``total``."""
-        return total * (self.whole - self.least) / (self.whole + self.least)
-
-
 def _xor_count(a: Column, b: Column) -> Column:
     parts = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)]
     return sum(parts[1:], parts[0])
@@ -271,10 +284,10 @@ def _cross_pairs(bound: Bound):
     return run
 
 
-def _signed(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+def _signed(docs: DataFrame, doc_id: str, text: str, bound: Bound, scratch: Scratch) -> DataFrame:
     return scratch.save(docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"),
-        signature_of(F.col(f"`{text}`").cast("string")).alias("s")).select("doc_id", "s.*"), "signed")
+        signature_of(F.col(f"`{text}`").cast("string"), bound).alias("s")).select("doc_id", "s.*"), "signed")
 
 
 def _groups(rows: DataFrame, signed: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
@@ -339,7 +352,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 bound: Bound = Bound()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near-groups")
-    signed = _signed(docs, doc_id, text, scratch)
+    signed = _signed(docs, doc_id, text, bound, scratch)
     return _groups(_rows(docs, doc_id, text), signed, bound, scratch)
 
 
@@ -351,7 +364,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the list of ids to drop is too long for Spark to broadcast.
     """
     scratch = Scratch(docs.sparkSession, "one-of-each")
-    signed = _signed(docs, doc_id, text, scratch)
+    signed = _signed(docs, doc_id, text, bound, scratch)
     groups = _groups(_rows(docs, doc_id, text), signed, bound, scratch)
     extra = scratch.save(groups.where("not kept").select("doc_id").distinct(), "extra", True)
     again = scratch.save(signed.where("doc_id is not null").groupBy("doc_id").count()
