@@ -82,6 +82,31 @@ def test_decontamination_edges(spark):
     assert decontam.leaks(docs.limit(0), items).count() == 0 and decontam.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_clean_takes_items_with_a_fifth_of_their_tokens_replaced(spark):
+    rnd = random.Random(8)
+    items, docs = [], []
+    for n in [*range(5, 26), 40]:
+        for k in range(8):
+            item = [f"w{n}x{k}x{j}" for j in range(n)]
+            items.append((len(items), " ".join(item)))
+            gone = rnd.sample(range(n), n // 5) if k else list(range(2, n, 5))[:n // 5]
+            docs.append((len(docs), "so it says " + " ".join("zz" if j in gone else w for j, w in enumerate(item)) + " here"))
+    items += [(900, " ".join(f"s{j}" for j in range(7))), (901, "yes we can")]
+    fine = [(1000, "s0 s1 zz s3 s4 zz s6"), (1001, "yes we can")]            # five of seven; no evidence
+    kind = "{} bigint, text string"
+    kept = decontam.clean(spark.createDataFrame(docs + fine, kind.format("doc_id")),
+                          spark.createDataFrame(items, kind.format("item_id")))
+    assert sorted(r[0] for r in kept.collect()) == [1000, 1001]
+
+
+def test_clean_reads_scripts_without_spaces_by_character(spark):
+    item = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    docs = spark.createDataFrame([(1, "他说" + item + "是古文"), (2, "他说天地玄黄宇宙洪荒日月盈"), (3, item[::-1])],
+                                 "doc_id bigint, text string")
+    kept = decontam.clean(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert sorted(r[0] for r in kept.collect()) == [2, 3]
+
+
 def test_plans_stay_in_the_jvm(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k")], "doc_id bigint, text string")
     for df in (decontam.leaks(docs, docs.withColumnRenamed("doc_id", "item_id")), pii.digest(pii.find(docs)),
