@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wirefold.llm import byte_bpe, decontam, gam, odd_sketch, pii, sharding, topk, toxicity, url_filter, wrappers
+from wirefold.llm import (byte_bpe, decontam, gam, line_dedup, odd_sketch, pii, sharding, topk, toxicity, url_filter,
+                          wrappers)
 from wirefold.llm.shared import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +82,11 @@ def op10_byte_bpe(read) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(docs))
 
 
+@query(line_dedup.SQL)
+def op11_line_dedup(read) -> DataFrame:
+    return line_dedup.digest(read("documents").select("doc_id", "text"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
