@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from wirefold.llm import (byte_bpe, decontam, gam, line_dedup, odd_sketch, periods, pii, sharding, topk,
-                          toxicity, url_filter, wrappers)
+from wirefold.llm import (byte_bpe, decontam, gam, line_dedup, odd_sketch, periods, pii, prefix_trie, sharding,
+                          topk, toxicity, url_filter, wrappers)
 from wirefold.llm.shared import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op11_line_dedup(read) -> DataFrame:
     return line_dedup.digest(read("documents").select("doc_id", "text"))
 
 
+@query(prefix_trie.SQL)
+def op12_turn_matrices(read) -> DataFrame:
+    return prefix_trie.digest(read("conversations").select("conv_id", "turn", "role", "text"))
+
+
 @query()
 def op13_block_convolution(read) -> DataFrame:
     return periods.digest(read("documents").select("doc_id", "text"))
