@@ -12,7 +12,8 @@ steps find what to drop:
    put together again in their order.
 
 Joins on a hash that very many lines share are split by Spark's skew handling: their other side has
-one row per hash. Only DataFrame functions are used.
+one row per hash and is read from a written table, as a side that is aggregated in the same stage
+could not be split. Only DataFrame functions are used.
 
 Defined results: a null text is empty, and an empty text is one empty line. Rows that repeat an id
 are one document, and all of them keep the lines that this document keeps. A row without an id is no
@@ -53,8 +54,9 @@ def long_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """id, row_a, row_b (the row's hash), pos, line_a, line_b of every line with a long enough key."""
     body = _body(text)
     a, b = _hashes(F.col(f"`{key}`"), body)
-    lines = docs.select(F.col(f"`{key}`").alias("id"), a.alias("row_a"), b.alias("row_b"),
-                        F.posexplode(F.split(_lower(body), "\n", -1)).alias("pos", "line"))
+    rows = docs.select(F.col(f"`{key}`").alias("id"), a.alias("row_a"), b.alias("row_b"),
+                       _lower(body).alias("body"))         # hashed here, so once a row, not once a line
+    lines = rows.select("id", "row_a", "row_b", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
     keyed = lines.withColumn("line", F.btrim("line", F.lit(BLANKS)))
     a, b = _hashes(F.col("line"))
     return (keyed.where(F.char_length("line") >= code_points)
@@ -68,11 +70,12 @@ def positions_to_drop(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
     lines = long_lines(docs, key, text, code_points)
     line = ["line_a", "line_b"]
-    often = lines.groupBy(*line).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= documents)
-    repeated = scratch.save(lines.join(often.select(*line), line, "left_semi"), "repeated")
-    common = (repeated.groupBy(*line)
-              .agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"))
-              .where(F.col("n") >= documents).select(*line, "keeper"))
+    often = scratch.save(lines.groupBy(*line).agg(F.count(F.lit(1)).alias("n"))
+                         .where(F.col("n") >= documents).select(*line), "often", compact=True)
+    repeated = scratch.save(lines.join(often, line, "left_semi"), "repeated")
+    common = scratch.save(repeated.groupBy(*line)
+                          .agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"))
+                          .where(F.col("n") >= documents).select(*line, "keeper"), "common", compact=True)
     return (repeated.join(common, line).where(~F.col("id").eqNullSafe(F.col("keeper")))
             .groupBy("row_a", "row_b").agg(F.collect_set("pos").alias("drop")))
 
