@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from wirefold.functions import text
 from wirefold.functions.times import instant
 from wirefold.functions.urls import trimmed
-from wirefold.operators.greedy import by_keys, cut, greedy_keep, settled
+from wirefold.operators.greedy import by_keys, cut, earlier_matches, earliest_match, greedy_keep, greedy_stars, settled
 from wirefold.operators.similarity import HOT_TOKEN_GROUPS, similar_groups
 
 STORY_HOURS, STORY_THRESHOLD = 72, 0.60
@@ -193,11 +193,24 @@ def other_outlets(rows: DataFrame, order: list[str], id_col: str = "id") -> Data
 
 
 def resolve_roots(rows: DataFrame, id_col: str = "id") -> DataFrame:
-    """``root_id``: where a chain of pointers ends. Chains are two long at most."""
-    up = rows.where("canonical_id is not null").select(
-        F.col(id_col).alias("canonical_id"), F.col("canonical_id").alias("up"))
-    return rows.join(up, "canonical_id", "left").withColumn(
-        "root_id", F.coalesce("up", "canonical_id", id_col)).drop("up")
+    """``root_id``: where a row's chain of pointers ends.
+
+    A story kept by one refresh may be folded by a later one, so chains grow by refreshes. All
+    pointers are followed at once and doubled until none moves: a chain of n takes log2(n) rounds.
+    A pointer at a row that is not here ends there. Pointers lead to earlier tellings, so there is no circle.
+    """
+    up = cut(rows.where("canonical_id is not null").select(
+        F.col(id_col).alias("row"), F.col("canonical_id").alias("up")), "roots")
+    while True:
+        further = up.select(F.col("row").alias("up"), F.col("up").alias("further"))
+        up = cut(up.join(further, "up", "left").select(
+            "row", F.coalesce("further", "up").alias("up"),
+            F.col("further").isNotNull().alias("moved")), "roots")
+        if up.where("moved").isEmpty():
+            break
+        up = up.drop("moved")
+    return (rows.join(up.select(F.col("row").alias(id_col), F.col("up").alias("root_id")), id_col, "left")
+            .withColumn("root_id", F.coalesce("root_id", id_col)))
 
 
 # --- one story, once the company is known --------------------------------------------
@@ -216,70 +229,116 @@ def time_segments(rows: DataFrame, keys: list[str], seconds: int) -> DataFrame:
     return rows.join(runs.drop("n").join(sizes, [*keys, "segment"]), [*keys, "bucket"])
 
 
-def company_dedupe(rows: DataFrame, id_col: str = "id", hours: int = COMPANY_HOURS) -> DataFrame:
+def company_dedupe(rows: DataFrame, id_col: str = "id", hours: int = COMPANY_HOURS,
+                   changed: DataFrame | None = None) -> DataFrame:
     """(id, canonical_id) of canonical rows that repeat an earlier one of the same
     company and category.
 
-    Rows that match an earlier one within ``hours`` are found first, as pairs; who stays is then
-    settled on the pairs alone, so a row waits only for earlier rows that it really matches.
-    """
-    edges = cut(_company_matches(rows, id_col, hours * 3600), "company-matches")
-    dropped = settled(edges)
-    first = (edges.join(dropped, "new", "left_semi")
-             .join(dropped.withColumnRenamed("new", "old"), "old", "left_anti")
-             .groupBy("new").agg(F.min("old").alias("first")))
-    return first.select(F.col("new.id").alias(id_col), F.col("first.id").alias("canonical_id"))
-
-
-def _company_matches(rows: DataFrame, id_col: str, span: int) -> DataFrame:
-    """(new, old): every row and the earlier rows it would repeat, both as (t, id).
+    Rows that no earlier one can match are kept and drop what they match, a few rounds long: a crowd
+    that tells one story costs each row one comparison. Only rows that are still undecided then are
+    compared in pairs, and settled on the matching pairs alone. A dropped row points at the earliest
+    kept row it matches.
 
-    A row with figures can match on a shared figure, or any row without figures. One without
-    needs COMPANY_FLOOR of the smaller headline's words, so the two share one of the smaller's
-    rarest words: all but the last few in order of frequency within the company. The company's
-    own name comes last there, and joins nothing unless a headline has hardly another word.
+    ``changed`` holds the ids of rows that are new, or newly labelled, since this ran last. Rows
+    kept then do not match each other, so only what lies within ``hours`` of a changed row of the
+    same company and category is looked at.
     """
+    slots = cut(_company_slots(rows, id_col, hours * 3600, changed), "company-rows")
+    asks, posts = _company_keys("asked"), _company_keys("posted")
+
+    def match(x: Column, y: Column, name: Column) -> Column:
+        return _told_first(x, y, name) & _same_deal(x, y, hours * 3600)
+    _, dropped, rest, hits = greedy_stars(slots, asks, posts, match)
+    edges = cut(earlier_matches(rest, rest, asks, posts, match).select(
+        F.col("ord").alias("new"), "old").distinct(), "company-matches")
+    gone = cut(settled(edges), "company-gone")
+    stay = rest.join(gone.withColumnRenamed("new", "ord"), "ord", "left_anti")
+    first = (hits.unionByName(earliest_match(dropped, stay, asks, posts, match))
+             .unionByName(edges.join(gone, "new", "left_semi")
+                          .join(gone.withColumnRenamed("new", "old"), "old", "left_anti")
+                          .select(F.col("new").alias("ord"), "old"))
+             .groupBy("ord").agg(F.min("old").alias("first")))
+    return first.select(F.col("ord.id").alias(id_col), F.col("first.id").alias("canonical_id"))
+
+
+def _company_slots(rows: DataFrame, id_col: str, span: int, changed: DataFrame | None) -> DataFrame:
+    """slots(ord, x): headline, figures, and the words with the company's rarest first."""
     base = rows.where("canonical_id is null and company is not null and published_at is not null")
-    row = cut(base.select(
-        F.struct(_seconds("published_at").alias("t"), F.col(id_col).alias("id")).alias("ord"),
-        F.struct(F.lower(text.strip("company")).alias("company"),
-                 F.coalesce("category", F.lit("")).alias("category")).alias("who"),
-        text.headline_profile("headline").alias("p"), text.figures("headline").alias("figures"))
-        .withColumn("bucket", F.floor(F.col("ord.t") / span)), "company-rows")
+    who = F.struct(F.lower(text.strip("company")).alias("company"),
+                   F.coalesce("category", F.lit("")).alias("category"))
+    base = base.select(F.col(id_col).alias("id"), "headline", who.alias("who"),
+                       _seconds("published_at").alias("t")).withColumn("bucket", F.floor(F.col("t") / span))
+    if changed is not None:
+        near = (base.join(changed.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+                .select("who", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket"))
+                .distinct())
+        base = base.join(near, ["who", "bucket"], "left_semi")
+    row = cut(base.select(F.struct("t", "id").alias("ord"), "who", "bucket",
+                          text.headline_profile("headline").alias("p"),
+                          text.figures("headline").alias("figures")), "company-facts")
     word = row.select("who", "ord", F.explode("p.tokens").alias("word"))
     often = word.groupBy("who", "word").agg(F.count(F.lit(1)).alias("n"))
     ranked = (word.join(often, ["who", "word"]).groupBy("ord")
               .agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
               .select("ord", F.transform("w", lambda x: x["word"]).alias("words")))
-    row = row.join(ranked, "ord", "left").withColumn(
-        "words", F.coalesce("words", F.array().cast("array<string>")))
-    size = F.size("words")
-    rare = F.slice("words", F.lit(1), F.greatest(
-        size - F.ceil(size * COMPANY_FLOOR).cast("int") + 1, F.lit(0)))
+    return row.join(ranked, "ord", "left").select("ord", F.struct(
+        "who", "bucket", F.col("ord.t").alias("t"), "p", "figures",
+        F.coalesce("words", F.array().cast("array<string>")).alias("words")).alias("x"))
 
-    def marked(mark: str, values: Column | str) -> Column:
+
+def _company_keys(side: str):
+    """asks or posts for a company's headlines.
+
+    A row with figures can match on a shared figure, or any row without figures. One without
+    needs COMPANY_FLOOR of the smaller headline's words, so the two share one of the smaller's
+    rarest words: all but the last few in order of frequency within the company. The company's
+    own name comes last there, and joins nothing unless a headline has hardly another word.
+    """
+    def marked(mark: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.concat(F.lit(mark), v))
-    bare, numbered = F.array(F.lit("bare")), F.size("figures") > 0
-    asked = F.when(numbered, F.concat(marked("f:", "figures"), bare)).otherwise(
-        F.concat(marked("all:", rare), marked("rare:", "words")))
-    posted = F.concat(F.when(numbered, marked("f:", "figures")).otherwise(bare),
-                      marked("all:", "words"), marked("rare:", rare))
-    facts = ["ord", "p", "figures"]
-    new = (row.select("who", "bucket", F.struct(*facts).alias("x"), F.explode(asked).alias("key"))
-           .select("who", "x", "key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket")))
-                   .alias("bucket")))
-    old = row.select("who", "bucket", F.struct(*facts).alias("y"), F.explode(posted).alias("key"))
-    x, y = F.col("x"), F.col("y")
-    alike = (F.size(x["figures"]) > 0) | (
-        text.profile_similarity(y["p"], x["p"]) >= COMPANY_FLOOR)
-    match = (~text.figures_conflict(y["figures"], x["figures"])
-             & (x["ord"]["t"] - y["ord"]["t"] <= span) & ~text.guarded(y["p"], x["p"]) & alike)
-    return (new.join(old, ["who", "bucket", "key"]).where((y["ord"] < x["ord"]) & match)
-            .select(x["ord"].alias("new"), y["ord"].alias("old")).distinct())
-
-
-def apply_company_dedupe(rows: DataFrame, id_col: str = "id", hours: int = COMPANY_HOURS) -> DataFrame:
-    merged = company_dedupe(rows, id_col, hours).withColumnRenamed("canonical_id", "merged")
+
+    def run(df: DataFrame) -> DataFrame:
+        words, figures, here = F.col("x.words"), F.col("x.figures"), F.col("x.bucket")
+        rare = F.slice(words, F.lit(1), F.greatest(
+            F.size(words) - F.ceil(F.size(words) * COMPANY_FLOOR).cast("int") + 1, F.lit(0)))
+        bare, numbered = F.array(F.lit("bare")), F.size(figures) > 0
+        if side == "asked":
+            names = F.when(numbered, F.concat(marked("f:", figures), bare)).otherwise(
+                F.concat(marked("all:", rare), marked("rare:", words)))
+            buckets = F.array(here - 1, here)
+        else:
+            names = F.concat(F.when(numbered, marked("f:", figures)).otherwise(bare),
+                             marked("all:", words), marked("rare:", rare))
+            buckets = F.array(here)
+        return (df.select("ord", "x", F.explode(names).alias("name"), buckets.alias("buckets"))
+                .select("ord", "x", "name", F.explode("buckets").alias("bucket"))
+                .select("ord", "x", F.struct("x.who", "bucket", "name").alias("key"), F.col("name").alias("hint")))
+    return run
+
+
+def _told_first(new: Column, old: Column, name: Column) -> Column:
+    """Whether ``name`` is the key a pair is judged under, of those it shares: for words, the first
+    in the smaller headline's order, so that no pair is compared once for every word."""
+    word = F.substring_index(name, ":", -1)
+
+    def first(small: Column, large: Column) -> Column:
+        before = F.slice(small["words"], F.lit(1), F.array_position(small["words"], word).cast("int") - 1)
+        return ~F.arrays_overlap(before, large["words"])
+    new_smaller = F.size(new["words"]) <= F.size(old["words"])
+    return (F.when(name.startswith("all:"), new_smaller & first(new, old))
+            .when(name.startswith("rare:"), ~new_smaller & first(old, new)).otherwise(F.lit(True)))
+
+
+def _same_deal(new: Column, old: Column, span: int) -> Column:
+    alike = (F.size(new["figures"]) > 0) | (
+        text.profile_similarity(old["p"], new["p"]) >= COMPANY_FLOOR)
+    return (~text.figures_conflict(old["figures"], new["figures"])
+            & (new["t"] - old["t"] <= span) & ~text.guarded(old["p"], new["p"]) & alike)
+
+
+def apply_company_dedupe(rows: DataFrame, id_col: str = "id", hours: int = COMPANY_HOURS,
+                         changed: DataFrame | None = None) -> DataFrame:
+    merged = company_dedupe(rows, id_col, hours, changed).withColumnRenamed("canonical_id", "merged")
     return rows.join(merged, id_col, "left").withColumn(
         "canonical_id", F.coalesce("canonical_id", "merged")).drop("merged")
 

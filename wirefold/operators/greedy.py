@@ -66,14 +66,51 @@ def greedy_keep(
             return kept
 
 
+def greedy_stars(slots: DataFrame, asks: Keyed, posts: Keyed, match,
+                 share: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(kept, dropped, undecided, hits): the rounds of ``greedy_keep`` as long as each settles ``share``
+    of what is left. ``hits(ord, old)`` has the earliest kept row that each dropped row matches.
+
+    A row meets only the kept rows of its keys, and each of them once, so a crowd around one row costs
+    one comparison each; what stays undecided are rows that wait for earlier ones they may not match.
+    """
+    undecided, left, kept, dropped, hits = slots, None, None, slots.limit(0), None
+    while True:
+        heads = posts(undecided).groupBy("key").agg(F.min("ord").alias("head"))
+        blocked = (asks(undecided).join(heads, "key").where(F.col("head") < F.col("ord"))
+                   .select("ord").distinct().withColumn("blocked", F.lit(True)))
+        marked = cut(undecided.join(blocked, "ord", "left"), "stars")
+        fresh, waiting = (marked.where(c).drop("blocked") for c in ("blocked is null", "blocked"))
+        hit = cut(earliest_match(dropped.unionByName(waiting), fresh, asks, posts, match), "stars-hit")
+        known = hit.select("ord")
+        dropped = dropped.unionByName(waiting.join(known, "ord", "left_semi"))
+        undecided = cut(waiting.join(known, "ord", "left_anti"), "stars-left")
+        kept = fresh if kept is None else kept.unionByName(fresh)
+        hits = hit if hits is None else hits.unionByName(hit)
+        before, left = left, undecided.count()
+        if left == 0 or (before is not None and left > before * (1 - share)):
+            return kept, cut(dropped, "stars-dropped"), undecided, hits
+
+
+def earliest_match(rows: DataFrame, kept: DataFrame, asks: Keyed, posts: Keyed, match) -> DataFrame:
+    """(ord, old): the first of the ``kept`` rows before it that a row matches."""
+    return earlier_matches(rows, kept, asks, posts, match).groupBy("ord").agg(F.min("old").alias("old"))
+
+
+def earlier_matches(rows: DataFrame, others: DataFrame, asks: Keyed, posts: Keyed, match) -> DataFrame:
+    """(ord, old): rows and the earlier ``others`` they match, once for every key that they share and
+    ``match`` accepts."""
+    old = posts(others).select("key", F.col("ord").alias("old"), F.col("x").alias("old_x"))
+    new = asks(rows)
+    hint = F.col("hint") if "hint" in new.columns else F.lit(None)
+    return (new.join(old, "key")
+            .where((F.col("old") < F.col("ord")) & match(F.col("x"), F.col("old_x"), hint))
+            .select("ord", "old"))
+
+
 def _without_matched(undecided: DataFrame, kept: DataFrame, asks: Keyed, posts: Keyed,
                      match) -> DataFrame:
-    old = posts(kept).select("key", F.col("ord").alias("old_ord"), F.col("x").alias("old_x"))
-    new = asks(undecided)
-    hint = F.col("hint") if "hint" in new.columns else F.lit(None)
-    dropped = (new.join(old, "key")
-               .where((F.col("old_ord") < F.col("ord")) & match(F.col("x"), F.col("old_x"), hint))
-               .select("ord").distinct())
+    dropped = earlier_matches(undecided, kept, asks, posts, match).select("ord").distinct()
     return undecided.join(dropped, "ord", "left_anti")
 
 

@@ -7,9 +7,11 @@ Among the shorter side's ``n - o + 2`` rarest tokens two must therefore be share
 That gives the join keys:
 
 * a token found in few groups of any one time bucket is a key of its own;
-* tokens found in many groups of a bucket (hot) only form keys two at a time;
-* a headline with very many hot tokens is reached by single hot tokens instead,
-  in a name space of its own, so that no headline emits a quadratic number of keys.
+* hot tokens, found in many groups of a bucket, are refined. Their keys are the first tokens two
+  headlines share, rarest first: one token to begin with, and where more than ``hot`` headlines are
+  found under a key, the next shared token is added. That goes on until the list is short, or no
+  token is left that a pair would still need, or all the tokens a pair must share are in the key.
+  So only headlines that really share enough words meet in a long list.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.functions import text
-from wirefold.functions.text import let
+from wirefold.operators.greedy import cut
 
 HOT_TOKEN_GROUPS = 150
-WIDE_HOT_TOKENS = 48
 
 
 def rank_tokens(groups: DataFrame, hot: int) -> DataFrame:
@@ -39,39 +40,79 @@ def rank_tokens(groups: DataFrame, hot: int) -> DataFrame:
                 t["token"].alias("token"), (t["df"] > hot).alias("hot"))).alias("ranked")))
 
 
-def _pairs(tokens: Column) -> Column:
-    return F.flatten(F.transform(tokens, lambda a, i: F.transform(
-        F.slice(tokens, i + 2, F.greatest(F.size(tokens) - i - 1, F.lit(0))),
-        lambda b: F.concat_ws(" ", F.array_sort(F.array(a, b))))))
-
-
 def overlap_needed(n: Column, threshold: float) -> Column:
     return F.ceil(n * threshold - 1e-9).cast("int")
 
 
-def _placed(names: Column) -> Column:
-    """Keys made of several tokens have no place of their own; 0 passes every test."""
-    return F.transform(names, lambda k: F.struct(k.alias("key"), F.lit(0).alias("pos")))
-
-
-def _keys(ranked: Column, threshold: float, small: bool) -> Column:
-    """array<struct(key, pos)>: the keys a headline is looked up by, or can be found under."""
+def _cold_keys(ranked: Column, threshold: float, small: bool) -> Column:
+    """array<struct(key, pos)>: the rare tokens a headline is looked up by, or can be found under."""
     n = F.size(ranked)
-    prefix = n - overlap_needed(n, threshold) + 2
-    scope = F.slice(ranked, 1, prefix) if small else ranked
+    scope = F.slice(ranked, 1, n - overlap_needed(n, threshold) + 2) if small else ranked
     at = F.transform(scope, lambda t, i: F.struct(
         t["token"].alias("key"), i.alias("pos"), t["hot"].alias("hot")))
-    cold = F.transform(F.filter(at, lambda t: ~t["hot"]),
+    return F.transform(F.filter(at, lambda t: ~t["hot"]),
                        lambda t: F.struct(t["key"].alias("key"), t["pos"].alias("pos")))
 
-    def with_hot(hot: Column) -> Column:
-        wide = F.transform(hot, lambda t: F.concat(F.lit("w:"), t))
-        if small:
-            return _placed(F.concat(_pairs(hot), wide))
-        return _placed(F.when(F.size(hot) > WIDE_HOT_TOKENS, wide).otherwise(_pairs(hot)))
 
-    hot = F.transform(F.filter(scope, lambda t: t["hot"]), lambda t: t["token"])
-    return F.concat(cold, let(hot, with_hot))
+LIST = ["key", "numbers", "bucket"]
+
+
+def _from(first: Column, last: Column) -> Column:
+    """The positions first..last, none if there are none."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _refined(wide: DataFrame, threshold: float, hot: int) -> DataFrame | None:
+    """(s, l) candidate rows whose first shared token is a hot one; None without any.
+
+    Position p of the shorter side can hold the j-th shared token only up to n - need + j - 1, as the
+    ones still needed come after it.
+    """
+    n, cold = F.size("tokens"), F.size(F.filter("ranked", lambda t: ~t["hot"]))
+    rows = (wide.withColumn("tokens", F.transform("ranked", lambda t: t["token"])).withColumn("cold", cold)
+            .where(F.col("cold") < n))
+    held = ["gid", "cls", "numbers", "as_new", "as_old", "bucket", "tokens"]
+
+    def begin(df: DataFrame, last: Column) -> DataFrame:
+        return (df.withColumn("pos", F.explode(_from(F.col("cold"), last)))
+                .withColumn("key", F.get("tokens", F.col("pos"))).drop("cold"))
+
+    def go_on(df: DataFrame, last: Column) -> DataFrame:
+        return (df.withColumn("pos", F.explode(_from(F.col("pos") + 1, last)))
+                .withColumn("key", F.concat_ws(" ", "key", F.get("tokens", F.col("pos")))))
+    need = overlap_needed(n, threshold)
+    s = begin(rows.select(*held, "cold", need.alias("need")), n - F.col("need"))
+    l = begin(rows.select(*held, "cold"), n - 1).withColumn("bucket", F.explode(F.array(
+        F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    level, found = 1, None
+    while True:
+        s = cut(s, "story-hot")
+        if s.isEmpty():
+            return found
+        l = cut(l.join(s.select(*LIST).distinct(), LIST, "left_semi"), "story-hot-lists")
+        lists = l.groupBy(*LIST).agg(F.count(F.lit(1)).alias("held"))
+        s = cut(s.join(lists, LIST), "story-hot-asked")
+        done = (F.col("held") <= hot) | (F.col("need") <= level)
+        met = (s.where(done).alias("s").join(l.alias("l"), LIST)
+               .where(F.size("l.tokens") - F.col("l.pos") > F.col("s.need") - level)
+               .select("s.gid", "s.cls", "s.as_new", "s.as_old", F.size("s.tokens").alias("n"),
+                       F.struct("l.gid", "l.cls", "l.as_new", "l.as_old",
+                                F.size("l.tokens").alias("n")).alias("l")))
+        found = met if found is None else found.unionByName(met)
+        more = s.where(~done).drop("held")
+        s = go_on(more, n - F.col("need") + level)
+        l = go_on(l.join(more.select(*LIST).distinct(), LIST, "left_semi"), n - 1)
+        level += 1
+
+
+def _may_match(s: str, l: str, threshold: float) -> Column:
+    """The shorter side and the longer one are of a size, of two classes, and one may be the earlier."""
+    def of(side: str, name: str) -> Column:
+        return F.col(f"{side}.{name}")
+    fits = (of(s, "n") >= text.MIN_TOKENS_FOR_CONTAINMENT) | (of(s, "n") >= of(l, "n") * threshold - 1e-9)
+    shorter = (of(s, "n") < of(l, "n")) | ((of(s, "n") == of(l, "n")) & (of(s, "gid") < of(l, "gid")))
+    useful = (of(s, "as_new") & of(l, "as_old")) | (of(l, "as_new") & of(s, "as_old"))
+    return shorter & fits & useful & (of(s, "cls") != of(l, "cls"))
 
 
 def similar_groups(groups: DataFrame, threshold: float,
@@ -82,34 +123,34 @@ def similar_groups(groups: DataFrame, threshold: float,
     flagged ``as_new`` are the later side, only ``as_old`` ones the earlier. Pairs of
     one class, of differing numbers or more than one bucket apart are left out.
     """
-    wide = groups.select("gid", "pid", "cls", "numbers", "bucket", "as_new", "as_old").join(
-        rank_tokens(groups, hot), "pid").where(F.size("ranked") >= 2)
+    wide = cut(groups.select("gid", "pid", "cls", "numbers", "bucket", "as_new", "as_old").join(
+        rank_tokens(groups, hot), "pid").where(F.size("ranked") >= 2), "story-ranked")
     n = F.size("ranked")
     base = ["gid", "cls", "numbers", "as_new", "as_old", n.alias("n")]
     small = wide.select(
         *base, "bucket", overlap_needed(n, threshold).alias("need"),
         F.exists(F.slice("ranked", 1, n - overlap_needed(n, threshold) + 2),
                  lambda t: t["hot"]).alias("has_hot"),
-        F.explode(_keys(F.col("ranked"), threshold, True)).alias("k"))
+        F.explode(_cold_keys(F.col("ranked"), threshold, True)).alias("k"))
     large = (wide.select(*base, "bucket", F.explode(
-                 _keys(F.col("ranked"), threshold, False)).alias("k"))
+                 _cold_keys(F.col("ranked"), threshold, False)).alias("k"))
              .withColumn("bucket", F.explode(F.array(
                  F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))))
     s, l = small.alias("s"), large.alias("l")
-    fits = (F.col("s.n") >= text.MIN_TOKENS_FOR_CONTAINMENT) | (
-        F.col("s.n") >= F.col("l.n") * threshold - 1e-9)
-    shorter = (F.col("s.n") < F.col("l.n")) | (
-        (F.col("s.n") == F.col("l.n")) & (F.col("s.gid") < F.col("l.gid")))
     # From the second shared token on, all but one of the needed tokens are still to come.
     room = F.col("l.n") - F.col("l.k.pos") >= F.col("s.need") - 1
-    useful = (F.col("s.as_new") & F.col("l.as_old")) | (F.col("l.as_new") & F.col("s.as_old"))
     candidates = (s.join(l, (F.col("s.k.key") == F.col("l.k.key"))
                          & (F.col("s.numbers") == F.col("l.numbers"))
                          & (F.col("s.bucket") == F.col("l.bucket"))
-                         & shorter & fits & room & useful & (F.col("s.cls") != F.col("l.cls")))
+                         & _may_match("s", "l", threshold) & room)
                   .groupBy(F.col("s.gid").alias("a"), F.col("l.gid").alias("b"))
                   .agg(F.count("*").alias("shared"), F.first("s.has_hot").alias("has_hot"))
                   .where("shared >= 2 or has_hot").select("a", "b"))
+    refined = _refined(wide, threshold, hot)
+    if refined is not None:
+        met = refined.alias("s").where(_may_match("s", "l", threshold))
+        candidates = candidates.unionByName(
+            met.select(F.col("gid").alias("a"), F.col("l.gid").alias("b"))).distinct()
     side = groups.select("gid", "profile", "as_new", "as_old")
     pair = (candidates
             .join(side.select(F.col("gid").alias("a"), F.struct(*side.columns).alias("ga")), "a")

@@ -124,6 +124,18 @@ def company_dedupe(t: Tables) -> DataFrame:
     return dedupe.company_dedupe(rows)
 
 
+@query(f"""WITH RECURSIVE {DOC_SQL}, p AS (SELECT id, CASE WHEN id % 7 > 0 AND id > id % 5 THEN id - 1 - id % 5 END
+    AS up FROM docs),
+walk AS (SELECT id, id AS here, up, 0 AS steps FROM p UNION ALL
+  SELECT walk.id, p.id, p.up, steps + 1 FROM walk JOIN p ON p.id = walk.up)
+SELECT id, arg_max(here, steps) AS root_id FROM walk GROUP BY id""")
+def story_roots(t: Tables) -> DataFrame:
+    """Roots of pointers that grew over many refreshes: chains as long as the ids allow."""
+    rows = doc_articles(t).select("id", F.when((F.col("id") % 7 > 0) & (F.col("id") > F.col("id") % 5), F.col(
+        "id") - 1 - F.col("id") % 5).alias("canonical_id"))
+    return dedupe.resolve_roots(rows).select("id", "root_id")
+
+
 def _deals(t: Tables) -> DataFrame:
     return order_articles(t).select(
         "id", F.col("source").alias("firm"), "company", "published_at", "category")
