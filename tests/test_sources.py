@@ -301,3 +301,34 @@ def test_registry(spark):
         registry.checked_firms(spark, [{"key": "b", "site": {"via": "fax", "url": "u"}}])
     with pytest.raises(ValueError, match="no reason"):
         registry.checked_firms(spark, [{"key": "b"}])
+
+
+@pytest.mark.parametrize("html,left", [
+    ("<nav><nav>x</nav><a href='/a'>menu</a></nav><p>y</p>", "<p>y</p>"),
+    ("<div><form><p>a</p></div><p>b</p>", "<div></div><p>b</p>"),
+    ("<ul><li>a<nav><li>b<li>c</nav></b><li>d</ul>", "<ul><li>a</b><li>d</ul>"),
+    ("a<script>if (a<b) '</nav>'</script>b<!-- <nav> -->c", "abc"),
+    ("a<nav/>b<img><br/>c<footer>d", "ab<img><br/>c"),
+    ("<NAV>a</nav >b<style>c", "b"),
+    ("a</nav>b<navx>c</navx>", "a</nav>b<navx>c</navx>"),
+    ("1 < 2 <nav>x</nav> & 3", "1 < 2  & 3"),
+    ("", ""), (None, None)])
+def test_dropped_elements(spark, html, left):
+    assert value(spark, markup.drop_tags(F.lit(html).cast("string"), markup.TEXT_DROP_TAGS)) == left
+
+
+def test_dropping_elements_of_a_long_page(spark):
+    page = "<div><nav><nav>x</nav>m</nav><p>y</p></div>" * 4000
+    assert value(spark, F.length(markup.drop_tags(F.lit(page), markup.TEXT_DROP_TAGS))) == len("<div><p>y</p></div>") * 4000
+
+
+def test_feed_markup_in_cdata(spark):
+    body = ("<rss><channel><item><title>A story told</title><link>https://s.co/a</link><description><![CDATA[one </item> two &amp; "
+            "three]]></description></item><!-- <item><title>no</title></item> --><item><title><![CDATA[B]]> &amp; C</title>"
+            "<link>https://s.co/b</link><description><![CDATA[open</description></item></channel></rss>")
+    df = spark.createDataFrame([("https://s.co/feed", "s", body)], "url string, source string, body string")
+    got = [(r.url, r.headline, r.description) for r in feeds.parse_feeds(df).orderBy("pos").collect()]
+    assert got[0] == ("https://s.co/a", "A story told", "one two & three") and len(got) == 1
+    maps = spark.createDataFrame([("m", "s", "<urlset><url><loc><![CDATA[ https://s.co/x?a=1&b=2 ]]></loc><lastmod>2026-01-02</lastmod>"
+                                   "</url><url ><loc>https://s.co/y&amp;z</loc></url></urlset>")], "url string, source string, body string")
+    assert {r.url for r in feeds.sitemap_posts(maps).collect()} == {"https://s.co/x?a=1&b=2", "https://s.co/y&z"}

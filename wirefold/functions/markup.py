@@ -1,13 +1,8 @@
-"""Reading HTML and XML with patterns, one row per page.
-
-Patterns stand in for a tree parser, so unclosed elements run to the end of the page
-at most as far as the pattern says; see README for the limits.
-"""
+"""Reading HTML and XML without a tree, one row per page: pieces by patterns, elements by a walk over
+the tags; see README for the limits."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +31,69 @@ COMMENT = r"(?s)<!--.*?-->"
 ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
 
 
+# Elements that have no content, so no end.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
+             "source", "track", "wbr")
+# A comment, an element whose content is no markup, a tag, a text. What is not ended runs to the end.
+PIECES = (r"(?is)(<!--.*?(?:-->|\z)|<(?:script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z))"
+          r"|<[A-Za-z/!?][^>]*>|[^<]+|<)")
+
+
 def drop_tags(html: Column | str, tags) -> Column:
-    """Elements removed with everything in them, comments too."""
-    body = F.regexp_replace(col(html), COMMENT, "")
-    return F.regexp_replace(body, rf"(?is)<({'|'.join(tags)})\b[^>]*>.*?</\1\s*>", "")
+    """Elements removed with everything in them, comments too.
+
+    The tags of a page are walked once with the stack of open elements. An end tag closes the last
+    element of its name and all that is open inside, so a nested element does not end its outer one,
+    and an element that is never closed goes on to the end of its parent. End tags of nothing open
+    do nothing.
+    """
+    wanted = F.array(*[F.lit(t) for t in tags])
+    no_gap = F.array().cast("array<struct<first: int, last: int>>")
+
+    def walked(pieces: Column) -> Column:
+        def seen(p: Column, i: Column) -> Column:
+            name = F.lower(F.regexp_extract(p, r"^<(/?[A-Za-z][A-Za-z0-9:-]*)", 1))
+            whole = p.rlike(r"(?is)/>$|^<(?:script|style)\b")
+            return F.struct(i.alias("at"), F.when(p.startswith("<!--"), F.lit("!")).otherwise(name).alias("name"),
+                            (whole | name.isin(*VOID_TAGS)).alias("whole"))
+
+        def step(acc: Column, t: Column) -> Column:
+            stack, root, start, gaps = acc["stack"], acc["root"], acc["start"], acc["gaps"]
+            depth, name = F.size(stack), t["name"]
+            found = F.array_position(F.reverse(stack), F.substring(name, 2, 100)).cast("int")
+            place = F.when(found > 0, depth - found + 1).otherwise(0)     # the element it ends
+            drop = (root == 0) & F.array_contains(wanted, name)
+
+            def now(stack: Column, root: Column, start: Column, gaps: Column) -> Column:
+                return F.struct(stack.alias("stack"), root.cast("int").alias("root"),
+                                start.cast("int").alias("start"), gaps.alias("gaps"))
+
+            def gap(first: Column, last: Column) -> Column:
+                return F.concat(gaps, F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"))))
+            return (F.when((name == "!") | t["whole"], F.when((root == 0) & ((name == "!") | drop), now(
+                        stack, root, start, gap(t["at"], t["at"]))).otherwise(acc))
+                    .when(~name.startswith("/"), now(
+                        F.concat(stack, F.array(name)), F.when(drop, depth + 1).otherwise(root),
+                        F.when(drop, t["at"]).otherwise(start), gaps))
+                    .when(place == 0, acc)
+                    .otherwise(now(
+                        F.slice(stack, F.lit(1), place - 1), F.when(place <= root, 0).otherwise(root), start,
+                        F.when((root > 0) & (place <= root), gap(start, F.when(
+                            place == root, t["at"]).otherwise(t["at"] - 1))).otherwise(gaps))))
+        tagged = F.filter(F.transform(pieces, seen), lambda t: t["name"] != "")
+        begin = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).alias("root"),
+                         F.lit(0).alias("start"), no_gap.alias("gaps"))
+        last = F.size(pieces) - 1
+        return F.aggregate(tagged, begin, step, lambda acc: F.when(acc["root"] > 0, F.concat(
+            acc["gaps"], F.array(F.struct(acc["start"].alias("first"), last.alias("last"))))).otherwise(acc["gaps"]))
+
+    def kept(pieces: Column) -> Column:
+        gone = F.flatten(F.transform(walked(pieces), lambda g: F.sequence(g["first"], g["last"])))
+        return let(gone, lambda g: F.array_join(F.transform(F.array_except(
+            F.sequence(F.lit(0), F.size(pieces) - 1), g), lambda i: F.get(pieces, i)), ""))
+    body = col(html)
+    touched = body.rlike(rf"(?i)<(?:!--|(?:{'|'.join(tags)})\b)")
+    return F.when(touched, let(F.regexp_extract_all(body, F.lit(PIECES), F.lit(1)), kept)).otherwise(body)
 
 
 def strip_tags(html: Column | str) -> Column:
@@ -174,18 +228,22 @@ def clean_page(html: Column | str, base: Column | str,
         c["truncated"].alias("truncated")))
 
 
-def xml_text(c: Column | str) -> Column:
-    """An element's text: CDATA as it is, anything else decoded."""
-    return let(c, lambda t: F.when(t.contains("<![CDATA["), F.regexp_replace(
-        t, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")).otherwise(unescape(t)))
-
-
 def xml_field(block: Column | str, *names: str) -> Column:
-    """Decoded text of the first of the elements that is there and not empty."""
-    return F.coalesce(*[let(F.trim(xml_text(F.regexp_extract(
+    """Decoded text of the first of the elements that is there and not empty; see ``plain_cdata``."""
+    return F.coalesce(*[let(F.trim(unescape(F.regexp_extract(
         col(block), rf"(?is)<{n}\b[^>]*(?<!/)>(.*?)</{n}\s*>", 1))), blank_to_null)
         for n in names])
 
 
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def plain_cdata(body: Column | str) -> Column:
+    """CDATA sections as escaped text, so that what looks like markup in them is none."""
+    def inside(part: Column) -> Column:
+        end = F.instr(part, "]]>")
+        text = F.when(end > 0, F.substring(part, F.lit(1), end - 1)).otherwise(part)
+        rest = F.when(end > 0, F.substring(part, end + 3, F.length(part))).otherwise("")
+        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(char), F.lit(name))
+        return F.concat(text, rest)
+    parts = F.split(col(body), r"<!\[CDATA\[", -1)
+    return let(parts, lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(
+        F.slice(p, F.lit(2), F.size(p)), inside), "")))

@@ -19,6 +19,8 @@ MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?"
 WRITTEN_DATE = (rf"(?i)\b(?:{MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}"
                 rf"|\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTH},?\s+\d{{4}})\b")
 _ZONED = r"(?i)(z|gmt|utc|[+-]\d{2}:?\d{2})$"
+READ_MORE = r"(?i)\bread more( about)?\b|\b\d+\s+mins?( read)?\b|\bopen in a new tab\b"
+CARD_DATE = rf"(?i)^\s*{MONTH}\s+\d{{1,2}}\s*\\"
 EVENT_WORDS = (
     r"(?i)\b(events?|summit|demo ?days?|meetups?|webinars?|conference|conclave|workshops?|"
     r"office hours|bootcamp|hackathon|masterclass|mixer|roundtable|fireside chat|"
@@ -166,11 +168,10 @@ def date_in_text(c: Column | str) -> Column:
 
 def tidy_title(c: Column | str) -> Column:
     """A card's link text without its date and its "read more"."""
-    text = F.regexp_replace(col(c), rf"(?i)^\s*{MONTH}\s+\d{{1,2}}\s*\\", " ")
+    text = F.regexp_replace(col(c), CARD_DATE, " ")
     text = F.replace(text, F.lit("\\"), F.lit(" "))
     text = F.regexp_replace(text, WRITTEN_DATE, " ")
-    text = F.regexp_replace(
-        text, r"(?i)\bread more( about)?\b|\b\d+\s+mins?( read)?\b|\bopen in a new tab\b", " ")
+    text = F.regexp_replace(text, READ_MORE, " ")
     return F.substring(F.btrim(squeeze(text), F.lit(" -|·,.")), 1, 300)
 
 

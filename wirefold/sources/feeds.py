@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wirefold.functions.markup import attribute, xml_field, xml_text
-from wirefold.functions.text import blank_to_null, col, feed_text
+from wirefold.functions.markup import COMMENT, attribute, plain_cdata, xml_field
+from wirefold.functions.text import blank_to_null, col, feed_text, unescape
 from wirefold.functions.times import read_time
 from wirefold.functions.urls import is_web, slug_title
 
@@ -34,15 +34,20 @@ def _terms(block: Column) -> Column:
         block, F.lit(r"(?is)(<category\b[^>]*/>|<category\b[^>]*>.*?</category\s*>)"), F.lit(1))
     names = F.transform(tags, lambda t: F.coalesce(
         blank_to_null(F.trim(attribute(F.regexp_extract(t, r"(?s)^<[^>]*>", 0), "term"))),
-        F.trim(xml_text(F.regexp_replace(t, r"(?is)^<category\b[^>]*>|</category\s*>$", "")))))
+        F.trim(unescape(F.regexp_replace(t, r"(?is)^<category\b[^>]*>|</category\s*>$", "")))))
     return F.filter(names, lambda n: n != "")
 
 
+def _markup(body: str) -> Column:
+    """The payload with CDATA escaped and comments gone: what is left of < is markup."""
+    return F.regexp_replace(plain_cdata(body), COMMENT, "")
+
+
 def parse_feeds(payloads: DataFrame) -> DataFrame:
     """Items of RSS and Atom payloads: feed_url, pos, url, headline, description,
     published_at, source, feed_categories. Items without a link or title are left out."""
     blocks = F.regexp_extract_all(
-        F.col("body"), F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)\s*>"), F.lit(1))
+        _markup("body"), F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)\s*>"), F.lit(1))
     b = F.col("block")
     stamps = [xml_field(b, n) for n in ("pubDate", "published", "issued", "updated", "dc:date",
                                         "modified")]
@@ -68,15 +73,13 @@ def feed_posts(payloads: DataFrame, limit: int = ITEMS_PER_READ) -> DataFrame:
 
 
 def _entries(payloads: DataFrame) -> DataFrame:
-    blocks = F.regexp_extract_all(
-        F.col("body"), F.lit(r"(?is)(<(?:url|sitemap)>.*?</(?:url|sitemap)>)"), F.lit(1))
-    loc = F.regexp_extract("block", r"(?i)<loc>\s*(?:<!\[CDATA\[)?\s*([^<\s\]]+)", 1)
-    mod = blank_to_null(F.regexp_extract("block", r"(?i)<lastmod>\s*([^<\s]+)", 1))
-    return (payloads.select("url", F.posexplode(blocks).alias("pos", "block"))
-            .select(F.col("url").alias("map_url"), "pos",
-                    F.lower(F.regexp_extract("block", "<([A-Za-z]+)>", 1)).alias("kind"),
-                    loc.alias("url"), read_time(mod)["ts"].alias("published_at"))
-            .where("url != ''"))
+    block = r"(?is)<(url|sitemap)\s*>(.*?)</(?:url|sitemap)\s*>"
+    blocks = F.transform(F.regexp_extract_all(_markup("body"), F.lit(f"({block})"), F.lit(1)), lambda b: F.struct(
+        F.lower(F.regexp_extract(b, block, 1)).alias("kind"), F.regexp_extract(b, block, 2).alias("in")))
+    return (payloads.select("url", F.posexplode(blocks).alias("pos", "b"))
+            .select(F.col("url").alias("map_url"), "pos", "b.kind", xml_field("b.in", "loc").alias("url"),
+                    read_time(xml_field("b.in", "lastmod"))["ts"].alias("published_at"))
+            .where("url is not null"))
 
 
 def _newest(entries: DataFrame, limit: int) -> DataFrame:

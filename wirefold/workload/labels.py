@@ -154,9 +154,9 @@ def story_prompts(t: Tables) -> DataFrame:
     return labels.story_prompts(rows, "Story:", FIELDS, "Explain.")
 
 
-@query("""SELECT url, 'Page:' || chr(10) || 'at: ' || url || chr(10) || substr(html, 1, 300) || chr(10)
-  || 'Answer.' AS prompt, greatest(length(html) - 300, 0) AS cut FROM pages""")
+@query(f"""SELECT url, 'Page:' || chr(10) || 'at: ' || url || chr(10) || substr(html, 1, {labels.PAGE_PROMPT_CHARS})
+  || chr(10) || 'Answer.' AS prompt, greatest(length(html) - {labels.PAGE_PROMPT_CHARS}, 0) AS cut FROM pages""")
 def page_prompts(t: Tables) -> DataFrame:
     """Raw pages as the body of a question, with what was cut."""
     rows = t.pages.select("url", F.col("html").alias("body"))
-    return labels.page_prompts(rows, "Page:", (("at: ", "url"),), "Answer.", 300)
+    return labels.page_prompts(rows, "Page:", (("at: ", "url"),), "Answer.")

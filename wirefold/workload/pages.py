@@ -141,3 +141,54 @@ def content_changed(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("error"), F.lit("2024-01-01").cast("timestamp").alias("started_at"),
         F.when(F.col("url").startswith("https"), F.sha1("text")).otherwise("old").alias("content_hash"))
     return incremental.changed_pages(rows, reads).select("page_id", "content_hash", "worth_asking")
+
+
+_LINE_SQL = """l AS (SELECT doc_id, regexp_replace(regexp_replace(line, '[<>&\\[\\]]', '', 'g'), '\\s+', ' ', 'g') AS line, pos
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents))"""
+
+
+@query(f"""WITH {_LINE_SQL}
+SELECT doc_id, coalesce(string_agg(nullif(trim(line), ''), chr(10) ORDER BY pos)
+  FILTER (pos % 6 IN (0, 3) AND trim(line) <> ''), '') AS text FROM l GROUP BY doc_id""")
+def nested_page_text(t: Tables) -> DataFrame:
+    """Documents as pages of nested menus, unclosed forms, scripts with tags and stray end tags around
+    every third line."""
+    line = F.transform(F.split("text", "\n"), lambda x, i: F.struct(
+        i.alias("i"), F.regexp_replace(x, r"[<>&\[\]]", "").alias("x")))
+    shown = F.transform(line, lambda s: F.when(s["i"] % 6 == 0, F.concat(F.lit("<p>"), s["x"], F.lit("</p></b>")))
+                        .when(s["i"] % 6 == 1, F.concat(F.lit("<nav><ul><li>a<nav>x</nav><li>"), s["x"], F.lit("</ul></nav>")))
+                        .when(s["i"] % 6 == 2, F.concat(F.lit("<div><form action=x><p>"), s["x"], F.lit("</div>")))
+                        .when(s["i"] % 6 == 3, F.concat(F.lit("<SECTION>"), s["x"], F.lit("<br></SECTION>")))
+                        .when(s["i"] % 6 == 4, F.concat(F.lit("<script>if (a) '<nav>' </script><!-- <nav> "), s["x"], F.lit("-->")))
+                        .otherwise(F.concat(F.lit("<div><iframe/><footer><footer>f</footer><img src=y>"), s["x"], F.lit("</footer></div>"))))
+    made = t.documents.select("doc_id", F.concat(F.lit("<html><body>"), F.array_join(shown, "\n")).alias("html"))
+    return made.select("doc_id", markup.page_text("html", F.lit("https://d.example/")).alias("text"))
+
+
+@query("""SELECT doc_id AS item, 'https://f.example/' || (doc_id % 9) AS feed_url, 'https://d.example/?a=1&d=' || doc_id AS url,
+  'Story </item> ' || doc_id || ' & more' AS headline, 'about <' || source || '> &amp; ' || lang AS plain,
+  TIMESTAMP '2026-01-01' + to_minutes(doc_id) AS published_at, lang || ',' || source AS categories FROM documents""")
+def feed_channels(t: Tables) -> DataFrame:
+    """Feeds of many items, RSS and Atom by turns: markup in CDATA, escaped twice, commented out."""
+    number = F.col("doc_id").cast("string")
+    stamp = F.timestamp_seconds(F.lit(1767225600) + F.col("doc_id") * 60)
+    about = F.concat(F.lit("about &lt;"), "source", F.lit("&gt; &amp;amp; "), "lang")
+    rss = F.concat(F.lit("<!-- <item></item> --><item><title><![CDATA[Story &lt;/item> "), number, F.lit(
+        " & more]]></title><link>https://d.example/?a=1&amp;d="), number, F.lit("</link><description><![CDATA[<p>"), about, F.lit(
+        "</p><b></item></b>]]></description><category>"), "lang", F.lit("</category><category><![CDATA["), "source", F.lit(
+        "]]></category><pubDate>"), F.date_format(stamp, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
+    atom = F.concat(F.lit('<entry><title type="html">Story &amp;lt;/item> '), number, F.lit(
+        ' &amp;amp; more</title><link rel="self" href="/self"/><link rel="alternate" href="https://d.example/?a=1&amp;d='), number, F.lit(
+        '"/><summary type="html">'), F.replace(about, F.lit("&"), F.lit("&amp;")), F.lit('</summary><category term="'), "lang", F.lit(
+        '"/><category term="'), "source", F.lit('"/><updated>'), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry>"))
+    kind = F.col("doc_id") % 9 % 2
+    made = (t.documents.select((F.col("doc_id") % 9).alias("feed"), (F.floor(F.col("doc_id") / 90)).alias("part"), F.when(
+        kind == 0, rss).otherwise(atom).alias("item"), kind.alias("kind")).groupBy("feed", "part", "kind")
+        .agg(F.array_join(F.collect_list("item"), "\n").alias("items"))
+        .select(F.concat(F.lit("https://f.example/"), F.col("feed").cast("string")).alias("url"), F.lit("s").alias("source"),
+                F.when(F.col("kind") == 0, F.concat(F.lit('<?xml version="1.0"?><rss><channel><title>T</title>'), "items", F.lit(
+                    "</channel></rss>"))).otherwise(F.concat(F.lit("<feed><title>T</title>"), "items", F.lit("</feed>"))).alias("body")))
+    return feeds.parse_feeds(made).select(
+        F.regexp_extract("url", r"d=(\d+)$", 1).cast("bigint").alias("item"), "feed_url", "url", "headline",
+        F.col("description").alias("plain"), "published_at", F.array_join("feed_categories", ",").alias("categories"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirefold.functions import times
 from wirefold.operators import labels
 from wirefold.sources import pages, payloads, registry
 from wirefold.workload.base import (DOC_AS_OF, DOC_SQL, ORDER_SQL, READ_AS_OF, Tables, doc_articles,
@@ -15,35 +16,35 @@ _SQ = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 # --- page and listing payloads ---------------------------------------------------------
 
-def _lines():
-    return F.split("text", "\n")
-
-
-def _posts_sql(line: str, fits: str = "true") -> str:
+def _posts_sql(raw: str) -> str:
+    """Posts of a document whose lines are cards; ``raw`` is what a card says for its ``line``."""
     return f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-t AS (SELECT doc_id, pos, trim({_SQ.format(line)}, ' -|·,.') AS title FROM l
-  WHERE {fits} AND NOT regexp_matches(line, '[<>&()\\[\\]`#*_\\\\\\d]')),
-v AS (SELECT doc_id, pos, substr(title, 1, 300) AS title FROM t
-  WHERE length(title) >= 25 AND len(string_split(title, ' ')) >= 4)
+r AS (SELECT doc_id, pos, {raw} AS raw FROM l WHERE line <> ''),
+t AS (SELECT doc_id, pos, regexp_replace(regexp_replace(replace(regexp_replace(raw, '{times.CARD_DATE}', ' '),
+  '\\', ' '), '{times.WRITTEN_DATE}', ' ', 'g'), '{times.READ_MORE}', ' ', 'g') AS title FROM r),
+v AS (SELECT doc_id, pos, substr(trim({_SQ.format('title')}, ' -|·,.'), 1, 300) AS title FROM t)
 SELECT doc_id, 'https://d.example/' || doc_id || '/' || pos AS url, title,
-  row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM v QUALIFY rank <= 30"""
+  row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM v
+WHERE length(title) >= 25 AND len(string_split(title, ' ')) >= 4 QUALIFY rank <= 30"""
 
 
-def _plain():
-    """Lines without markup or digits, so that the page built from them is well formed."""
-    lines = F.transform(_lines(), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
-    return F.filter(lines, lambda s: ~s["line"].rlike(r"[<>&()\[\]`#*_\\\d]"))
+def _cards(made):
+    """One card for every line that is not empty; ``made(line, number)`` writes it."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(
+        i.cast("string").alias("pos"), x.alias("line"))), lambda s: s["line"] != "")
+    return F.array_join(F.transform(lines, lambda s: made(s["line"], s["pos"])), "\n")
 
 
-@query(_posts_sql("line"))
+@query(_posts_sql(_SQ.format("line")))
 def page_posts(t: Tables) -> DataFrame:
-    """Every document as a news page whose lines are links, menus around them."""
-    link = F.transform(_plain(), lambda s: F.concat(
-        F.lit('<li><a class="card" href="'), s["pos"].cast("string"), F.lit('#top"><span>'), s["line"],
-        F.lit("</span> </a></li>")))
-    body = F.concat(F.lit('<nav><a href="/menu">A menu entry with many words</a></nav><ul>'),
-                    F.array_join(link, "\n"), F.lit("</ul>"))
+    """Every document as a news page whose lines are links, nested menus around them."""
+    def card(line, pos):
+        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            line = F.replace(line, F.lit(char), F.lit(name))
+        return F.concat(F.lit('<li><a class="card" href="'), pos, F.lit('#top"><span>'), line, F.lit("</span> </a></li>"))
+    body = F.concat(F.lit('<nav><nav><b>Menu</b></nav><a href="/menu">A menu entry with many words</a></nav><ul>'),
+                    _cards(card), F.lit("</ul>"))
     made = t.documents.select(F.concat(F.lit("https://d.example/"), F.col("doc_id").cast("string"),
                                        F.lit("/")).alias("url"), body.alias("body"))
     return pages.html_posts(made).select(
@@ -51,15 +52,18 @@ def page_posts(t: Tables) -> DataFrame:
         F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(_posts_sql("replace(line, '|', ' ')", "length(line) <= 500"))
+_CARD = _SQ.format("regexp_replace(translate(line, '[]', '()'), '(^|\s)#{1,6}\s+|\*\*|__|`|\|', ' ', 'g')")
+
+
+@query(_posts_sql(f"CASE WHEN length({_CARD}) > 600 THEN regexp_replace(substr({_CARD}, 1, 600), ' [^ ]*$', '') || '…'"
+                  f" ELSE {_CARD} END"))
 def markdown_posts(t: Tables) -> DataFrame:
-    """The same from markdown, lines that fit a card."""
-    short = F.filter(_plain(), lambda s: (F.length(s["line"]) <= 500) & (s["line"] != ""))
-    link = F.transform(short, lambda s: F.concat(
-        F.lit("* ["), s["line"], F.lit("]("), s["pos"].cast("string"), F.lit(' "t")')))
+    """The same from markdown, where a card's text cannot hold brackets."""
+    def card(line, pos):
+        return F.concat(F.lit("* ["), F.translate(line, "[]", "()"), F.lit("]("), pos, F.lit(' "t")'))
     made = t.documents.select(
         F.concat(F.lit("https://d.example/"), F.col("doc_id").cast("string"), F.lit("/")).alias("url"),
-        F.concat(F.lit("![logo](/l.png)\n"), F.array_join(link, "\n")).alias("body"))
+        F.concat(F.lit("![logo](/l.png)\n"), _cards(card)).alias("body"))
     return pages.markdown_posts(made).select(
         F.regexp_extract("page_url", r"(\d+)/$", 1).cast("bigint").alias("doc_id"), "url", "title",
         F.col("rank").cast("bigint").alias("rank"))
@@ -107,11 +111,12 @@ def listing_links(t: Tables) -> DataFrame:
 @query(f"""WITH {DOC_SQL} SELECT id, 'https://d.example/' || id AS url,
   CASE WHEN length(s) > 300 THEN regexp_replace(substr(s, 1, 300), ' [^ ]*$', '') || '…' ELSE s END
     AS headline, date_trunc('day', published_at) - INTERVAL 330 MINUTE AS published_at FROM (
-  SELECT *, {_SQ.format("replace(replace(replace(headline, '&quot;', '\"'), '&amp;', '&'), '<', '<')")} AS s
-  FROM docs) WHERE s <> '' AND NOT regexp_matches(headline, '[<>&]')""")
+  SELECT *, {_SQ.format("replace(replace(replace(replace(regexp_replace(headline, '<[^>]+>', ' ', 'g'), '&quot;', '\"'), "
+                        "'&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS s
+  FROM docs) WHERE s <> ''""")
 def listing_answers(t: Tables) -> DataFrame:
     """Headlines as listing answers in every wrapping seen: fenced, wrapped, cut short."""
-    docs = doc_articles(t).where("not headline rlike '[<>&]'")
+    docs = doc_articles(t)
     row = F.to_json(F.struct("headline", F.concat(F.lit("/"), F.col("id").cast("string")).alias("url"),
                              F.date_format("published_at", "d MMM yyyy").alias("published")))
     kind = F.col("id") % 4

@@ -89,15 +89,14 @@ def read_schedule(t: Tables) -> DataFrame:
 @query(f"""WITH {READ_SQL}, m AS (SELECT source_id, max(started_at) + INTERVAL 1 SECOND AS since FROM reads
   WHERE started_at < TIMESTAMP '2024-01-20' AND source_id < 100 GROUP BY 1),
 f AS (SELECT r.*, since, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC) AS n
-  FROM reads r LEFT JOIN m USING (source_id) WHERE started_at >= TIMESTAMP '2024-01-15')
+  FROM reads r LEFT JOIN m USING (source_id))
 SELECT id, source_id FROM f WHERE started_at >= since OR (since IS NULL AND n <= 20)""")
 def new_posts_since(t: Tables) -> DataFrame:
     """Accounts up to 100 were read until the 20th; the others give their newest twenty."""
     rows = read_log(t).withColumn("posted_at", F.col("started_at")).withColumn("pos", F.col("id"))
     stored = rows.where("posted_at < timestamp'2024-01-20' and source_id < 100")
     marks = incremental.high_watermark(rows.select("source_id").distinct(), stored)
-    found = rows.where("posted_at >= timestamp'2024-01-15'")
-    return incremental.new_posts(found, marks).select("id", "source_id")
+    return incremental.new_posts(rows, marks).select("id", "source_id")
 
 
 _COST = "CAST(value / 10000 AS DECIMAL(28, 9))"
@@ -157,30 +156,30 @@ def refresh_totals(t: Tables) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT user_id AS uid, max_by(value, event_id) AS value, min(ts) AS found_at FROM events
-    WHERE event_type = 'click' AND user_id < 100 GROUP BY 1),
+    WHERE event_type = 'click' GROUP BY 1),
 i AS (SELECT user_id AS uid, max_by(value, event_id) AS value FROM events WHERE event_type = 'view'
-    AND user_id >= 50 GROUP BY 1)
+    GROUP BY 1)
 SELECT coalesce(c.uid, i.uid) AS uid, coalesce(i.value, c.value) AS value,
   CASE WHEN c.uid IS NULL THEN TIMESTAMP '2024-01-31' ELSE found_at END AS found_at,
   CASE WHEN i.uid IS NOT NULL THEN TIMESTAMP '2024-01-31' ELSE found_at END AS updated_at
 FROM c FULL OUTER JOIN i ON c.uid = i.uid""")
 def upsert_events(t: Tables) -> DataFrame:
     newest = F.max_by("value", "event_id").alias("value")
-    known = (t.events.where("event_type = 'click' and user_id < 100")
+    known = (t.events.where("event_type = 'click'")
              .groupBy(F.col("user_id").alias("uid")).agg(newest, F.min("ts").alias("found_at"))
              .withColumn("updated_at", F.col("found_at")))
-    incoming = (t.events.where("event_type = 'view' and user_id >= 50")
+    incoming = (t.events.where("event_type = 'view'")
                 .groupBy(F.col("user_id").alias("uid")).agg(newest))
     return sinks.upsert(known, incoming, "uid", READ_AS_OF)
 
 
 @query("""SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey FROM orders o
-WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders f WHERE f.o_orderstatus = 'F'
+WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders f WHERE f.o_orderstatus <> 'O'
   AND f.o_custkey = o.o_custkey AND f.o_orderpriority = o.o_orderpriority) GROUP BY 1, 2""")
 def insert_if_new(t: Tables) -> DataFrame:
     keys = ["o_custkey", "o_orderpriority"]
     rows = t.orders.select(*keys, "o_orderkey", "o_orderstatus")
-    new = sinks.insert_new(rows.where("o_orderstatus = 'O'"), rows.where("o_orderstatus = 'F'"), keys,
+    new = sinks.insert_new(rows.where("o_orderstatus = 'O'"), rows.where("o_orderstatus != 'O'"), keys,
                            ["o_orderkey"])
     return new.drop("o_orderstatus")
 
