@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +183,30 @@ def test_masking_and_edges(spark):
     assert digest[1]["spans"] == "email:9:17,phone:19:34,ip:38:45" and digest[2]["n_email"] == 0
     assert pii.digest(pii.find(docs.limit(0))).count() == 0
     assert pii.find(docs).select(F.size("spans")).count() == 5
+
+
+def test_many_hits_in_one_text(spark):
+    """50,000 hits in one text, found and masked in linear time."""
+    bit = "write to a@b.cd or 1.2.3.4, "
+    text = bit * 25_000
+    docs = spark.createDataFrame([(1, text), (2, "é" * 5000 + " a@b.cd " + "é" * 9000)], "doc_id bigint, text string")
+    start = time.time()
+    found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
+    assert time.time() - start < 60
+    want = [(n * len(bit) + a, n * len(bit) + b) for n in range(25_000) for a, b in ((9, 15), (19, 26))]
+    assert [(s["start"], s["end"]) for s in found[1]] == want
+    assert masked[1] == "write to [EMAIL] or [IP], " * 25_000 and masked[2] == "é" * 5000 + " [EMAIL] " + "é" * 9000
+
+
+def test_masking_overlaps(spark):
+    rnd = random.Random(2)
+    text = "".join(rnd.choice("abc é😀") for _ in range(9000))
+    spans = sorted((a, a + rnd.randrange(1, 900), rnd.choice(["x", "y"])) for a in rnd.sample(range(8000), 40))
+    out, at = "", 0
+    for a, b, kind in spans:
+        if a >= at:
+            out += text[at:a] + f"[{kind.upper()}]"
+        at = max(at, b)
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start: int, end: int, kind: string>>")
+    assert df.select(pii.masked(F.col("t"), F.col("s")).alias("m")).first()["m"] == out + text[at:]

@@ -22,11 +22,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirefold.functions.text import let
 from wirefold.llm.shared import fresh
 
 PROPOSED, CONFIRMED, CONTEXT, THRESHOLD = 0.4, 0.4, 0.2, 0.6
 NEARBY = 24                                  # characters before a span that are read for context
 
+BLOCK = 256                                # elements folded into one array
+PIECE = 4096                               # code points of a text that are walked at once
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
@@ -76,34 +79,50 @@ def _test(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _running(values: Column, step, none: str = "int") -> Column:
+    """``step`` folded over the array ``values``, every result on the way. A block is folded at a time,
+    then the blocks' last results: appending to one array for the whole would copy it for every element."""
+    kind = f"array<{none}>"
+
+    def along(some: Column) -> Column:
+        return F.aggregate(some, F.array().cast(kind), lambda out, x: F.concat(out, F.array(
+            F.when(F.size(out) == 0, x).otherwise(step(F.get(out, F.size(out) - 1), x)))))
+
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: along(
+            F.slice(v, i * BLOCK + 1, BLOCK)))
+
+    def joined(parts: Column) -> Column:
+        lasts = along(F.transform(parts, lambda p: F.get(p, F.size(p) - 1)))
+        return let(lasts, lambda last: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(
+            F.transform(p, lambda x: step(F.get(last, i - 1), x))))))
+    return F.when(F.size(values) == 0, F.array().cast(kind)).otherwise(let(values, lambda v: let(blocks(v), joined)))
+
+
 def _spans_of(kind: Kind, rank: int, text: Column) -> Column:
     """The kept spans of one kind, in order; ``text`` is not null."""
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     pieces = F.split(text, kind.pattern, -1)
-    # A match goes with the piece before it; the last piece has none.
-    pairs = F.filter(F.arrays_zip(pieces.alias("gap"), hits.alias("hit")),
-                     lambda p: p["hit"].isNotNull())
     checked = kind.name not in ("email", "secret")
 
-    def step(state: Column, pair: Column) -> Column:
+    def spans(pairs: Column) -> Column:
+        ends = _running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["hit"])), lambda a, b: a + b)
+        return F.zip_with(pairs, ends, span)
+
+    def span(pair: Column, stop: Column) -> Column:
         hit, gap = pair["hit"], pair["gap"]
-        start = state["at"] + F.length(gap)
-        stop = start + F.length(hit)
         near = F.lower(F.right(gap, F.lit(NEARBY))).rlike(kind.context)
         score = (F.lit(PROPOSED + (CONFIRMED if checked else 0.0))
                  + F.when(near, CONTEXT).otherwise(0.0))
         good = _test(kind.name, hit)
         if not kind.base:
             good = good & (score >= THRESHOLD)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("end"),
-                        F.lit(kind.name).alias("kind"), score.alias("score"))
-        return F.struct(stop.alias("at"),
-                        F.when(good, F.concat(state["out"], F.array(span)))
-                        .otherwise(state["out"]).alias("out"))
-
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(
-        "array<struct<start: int, rank: int, end: int, kind: string, score: double>>").alias("out"))
-    return F.aggregate(pairs, none, step, lambda s: s["out"])
+        return F.when(good, F.struct((stop - F.length(hit)).alias("start"), F.lit(rank).alias("rank"), stop.alias("end"),
+                                     F.lit(kind.name).alias("kind"), score.alias("score")))
+    none = F.array().cast("array<struct<start: int, rank: int, end: int, kind: string, score: double>>")
+    # A match goes with the piece before it; the last piece has none.
+    pairs = F.filter(F.arrays_zip(pieces.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
+    return F.when(F.size(hits) == 0, none).otherwise(F.filter(let(pairs, spans), lambda s: s.isNotNull()))
 
 
 def find(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -115,19 +134,29 @@ def find(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with every stretch covered by spans replaced by the kind of its first span."""
-    def step(state: Column, span: Column) -> Column:
-        over = span["start"] < state["at"]
-        gap = F.substr(text, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(over, state["out"]).otherwise(F.concat(
-                state["out"], F.array(F.concat(gap, F.lit("["), F.upper(span["kind"]), F.lit("]")))))
-            .alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rebuilt = F.aggregate(spans, start, step, lambda s: F.concat(
-        F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(rebuilt)
+    """``text`` with every stretch covered by spans replaced by the kind of its first span.
+
+    The text is read in pieces of PIECE code points, so that a stretch far inside costs no walk from
+    the beginning.
+    """
+    def between(pieces: Column, start: Column, stop: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor((stop - 1) / PIECE).cast("int")
+        held = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.substr(held, start - first * PIECE + 1, F.greatest(stop - start, F.lit(0)))
+
+    def rebuilt(v: Column) -> Column:
+        pieces, found, reach = v["pieces"], v["spans"], v["reach"]
+
+        def part(span: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.get(reach, i - 1))
+            return F.when(span["start"] < before, "").otherwise(F.concat(
+                between(pieces, before, span["start"]), F.lit("["), F.upper(span["kind"]), F.lit("]")))
+        return F.concat(F.array_join(F.transform(found, part), ""),
+                        between(pieces, F.get(reach, F.size(reach) - 1), F.length(text)))
+    reach = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(
+        pieces.alias("pieces"), spans.alias("spans"), reach.alias("reach")), rebuilt))
 
 
 def mask(df: DataFrame, text: str = "text") -> DataFrame:
