@@ -1,6 +1,7 @@
 """Quality, toxicity and url models: held-out accuracy, folds, edges."""
 
 import os
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,11 @@ def test_quality_on_the_held_out_fold(spark):
 def test_toxicity_on_the_held_out_fold(spark):
     rows = QUERIES["op5_lexicon"](spark, FOLDER).collect()
     assert len(rows) == 1000 and accuracy(spark, rows, "toxic", 5, 0) > 0.93
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic = 1").collect()}
+    known = {r["doc_id"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in known]
+    hit = sum(r["predicted"] for r in held if r["doc_id"] in toxic)
+    assert hit >= 0.6 * sum(r["doc_id"] in toxic for r in held) and hit >= 0.9 * sum(r["predicted"] for r in held)
 
 
 def test_features_by_hand():
@@ -132,3 +138,69 @@ def test_boosted_trees_follow_their_labels(spark):
     new = spark.createDataFrame([("http://c.org/news/7",), ("http://d.org/es/9?a=3&b=4&c=999",)], "url string")
     assert [r["verdict"] for r in url_filter.judge(new, model).orderBy("url").collect()] == ["allow", "block"]
     assert url_filter.train(pages.where(F.col("url").contains(".com"))).constant == "allow"
+
+
+def test_scores_are_sums_of_table_entries():
+    """The additive model against one row and one table at a time."""
+    rnd = np.random.default_rng(4)
+    texts = ["".join(rnd.choice(list("ab C1|!.\n"), rnd.integers(0, 200))) for _ in range(400)]
+    rows = gam.features(pa.array(texts))
+    model = gam.fit(rows, (rnd.random(400) < 0.3 + 0.4 * (rows[:, 2] > np.median(rows[:, 2]))).astype(float))
+    assert model.pairs
+    for row, score in zip(rows, model.score(rows)):
+        total = model.intercept
+        for x, cut, table in zip(row, model.cuts, model.tables):
+            total += table[sum(x >= c for c in cut)]
+        for a, b, table in model.pairs:
+            total += table[sum(row[a] >= c for c in model.coarse[a])][sum(row[b] >= c for c in model.coarse[b])]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def weigh_naively(text, lexicon):
+    """Every term at every place, against every exception phrase at every place."""
+    signs = {**toxicity.SIGNS, "l": "i"}
+    plain = toxicity.folded(text)
+
+    def places(word, hay):
+        for i in range(len(hay) - len(word) + 1):
+            if hay.startswith(word, i) and not (i and plain[i - 1].isalnum()) and not plain[i + len(word):i + len(word) + 1].isalnum():
+                yield i, i + len(word)
+    total = 0.0
+    for altered in (False, True):
+        def shape(w):
+            return "".join(signs.get(c, c) for c in w) if altered else w
+        hay = shape(plain)
+        spared = [p for e in lexicon.exceptions for p in places(shape(e), hay)]
+        weights = {}
+        for term, weight in lexicon.terms:
+            word = shape(toxicity.folded(term))
+            weights[word] = max(weight, weights.get(word, 0.0))
+        for word, weight in weights.items():
+            for a, b in places(word, hay) if word not in [shape(e) for e in lexicon.exceptions] else ():
+                if altered and not any(c in toxicity.SIGNS for c in plain[a:b]):
+                    continue
+                if not any(s <= a and b <= e for s, e in spared):
+                    total += weight
+    return total
+
+
+def test_lexicon_against_a_naive_matcher():
+    rnd = np.random.default_rng(5)
+    bits = ["idiot", "1diot", "clown", "fish", "car", "circus", "trash", "can", "tr4sh", "c4n", "scum", "pond", "s0ap", "-", "", "!", "x", "ＳＣＵＭ"]
+    lexicon = toxicity.Lexicon(terms=(("idiot", 2.0), ("clown", 1.0), ("trash", 3.5), ("scum", 1.25), ("can", 0.5), ("fish x", 4.0)))
+    for _ in range(600):
+        text = "".join(rnd.choice(bits) + rnd.choice([" ", " ", ""]) for _ in range(rnd.integers(0, 14)))
+        assert toxicity.weigh(text, lexicon)[0] == pytest.approx(weigh_naively(text, lexicon)), text
+
+
+def test_many_hits_and_exceptions_in_one_text():
+    start = time.time()
+    assert toxicity.weigh("clown fish, idiot " * 50_000, toxicity.Lexicon())[0] == 50_000 * toxicity.CORE_WEIGHT
+    assert time.time() - start < 10
+
+
+def test_rows_that_repeat_a_labelled_id_stay_bounded(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(3000)] + [(9, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 1, 0), (9, 0, 0)], "doc_id bigint, quality int, toxic int")
+    got = gam.labelled(docs, labels, "quality", 3, F.lit(True), rows=100).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in got) == [(0, 1), (1, 0), (2, 1), (9, 0)]

@@ -244,14 +244,16 @@ def score_of(text: Column, model: Additive) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, keep: Column,
              rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, label) of at most ``rows`` labelled documents whose id's fold satisfies ``keep``,
-    a condition on the column ``fold``."""
+    a condition on the column ``fold``. Of rows that repeat an id one stands for all."""
     some = (labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("label"))
             .where("doc_id is not null and label in (0, 1)")
             .withColumn("fold", remainder(F.col("doc_id"), parts)).where(keep)
             .groupBy("doc_id").agg(F.max("label").alias("label")))
-    return (docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
-                        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-            .join(F.broadcast(bounded(some, F.col("doc_id"), rows)), "doc_id"))
+    found = (docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
+                         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+             .join(F.broadcast(bounded(some, F.col("doc_id"), rows)), "doc_id"))
+    return (found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+            .select("doc_id", "t.text", "label"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additive:

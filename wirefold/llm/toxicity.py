@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -113,14 +115,20 @@ def _hits(machine, haystack: str, plain: str, altered: bool) -> float:
             spared.append((start, last))
         elif not altered or any(c in SIGNS for c in plain[start:last + 1]):
             found.append((start, last, weight))
-    return sum(w for a, b, w in found if not any(s <= a and b <= e for s, e in spared))
+    spared.sort()
+    starts, reach = [s for s, _ in spared], list(accumulate((e for _, e in spared), max))
 
+    def outside(first: int, last: int) -> bool:              # of all phrases that start at or before it
+        at = bisect_right(starts, first)
+        return not at or reach[at - 1] < last
+    return sum(w for a, b, w in found if outside(a, b))
 
-def weigh(text: str, lexicon: Lexicon) -> tuple[float, int]:
-    """(summed weights of the hits, number of words) of one text."""
+
+def weigh(text: str, lexicon: Lexicon, automata: tuple | None = None) -> tuple[float, int]:
+    """(summed weights of the hits, number of words) of one text; ``automata`` are the lexicon's own."""
     if not text:
         return 0.0, 0
-    direct, skeleton = _automata(lexicon.terms, lexicon.exceptions)
+    direct, skeleton = automata or _automata(lexicon.terms, lexicon.exceptions)
     plain = folded(text)
     total = _hits(direct, plain, plain, False)
     if any(c in plain for c in SIGNS):
@@ -137,7 +145,8 @@ def weights_of(text: Column, lexicon: Lexicon) -> Column:
     """struct(total, words) of ``text``."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            pairs = [weigh(t, lexicon) for t in batch.to_pylist()]
+            automata = _automata(lexicon.terms, lexicon.exceptions)
+            pairs = [weigh(t, lexicon, automata) for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.float64()),
                                               pa.array([p[1] for p in pairs], pa.int64())],
                                              ["total", "words"])
@@ -207,7 +216,8 @@ def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", score: str = "
     """``docs`` with the score of every row."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            pairs = np.array([weigh(t, lexicon) for t in batch.to_pylist()], float).reshape(-1, 2)
+            automata = _automata(lexicon.terms, lexicon.exceptions)
+            pairs = np.array([weigh(t, lexicon, automata) for t in batch.to_pylist()], float).reshape(-1, 2)
             yield pa.array(_score(pairs[:, 0], pairs[:, 1], lexicon.power, lexicon.cut), pa.float64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
