@@ -321,12 +321,21 @@ def _groups(rows: DataFrame, signed: DataFrame, bound: Bound, scratch: Scratch)
 
     labelled = (members.join(roots, "node", "left")
                 .select("key", "size", "node", F.coalesce("root", "node").alias("label")))
-    mixed = (labelled.where("size > 2").groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    # Members of a bucket's largest component are only compared with those of others, so they are
+    # repeated for every block of the others; these few are repeated for every block.
+    mixed = (labelled.where("size > 2").groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("most"),
+                                 F.sum("n").alias("all"))
+             .where(F.col("all") > F.col("most"))
+             .select("key", "major", F.ceil(F.col("most") / BLOCK).alias("majors"),
+                     F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("minors")))
+    major, hashed = F.col("label") == F.col("major"), F.xxhash64("node")
+    last = F.col("majors") + F.col("minors") - 1
     dealt = (labelled.join(mixed, "key").join(card, "node")
-             .withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+             .withColumn("own", F.when(major, F.pmod(hashed, F.col("majors"))).otherwise(
+                 F.col("majors") + F.pmod(hashed, F.col("minors"))))
+             .withColumn("other", F.explode(F.sequence(F.when(major, F.col("majors")).otherwise(
+                 F.lit(0).cast("bigint")), last)))
              .groupBy("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
              .agg(F.collect_list(F.struct("node", "label", "card.n", "card.sampled", "card.whole"))
                   .alias("members")))
