@@ -3,6 +3,10 @@
 Every stage takes all that the one before kept and decides on that alone. A stage is written as
 Parquet in the shared checkpoint folder and read again by the next one; the table before it is
 removed then.
+
+Defined results: a null or empty text is scored like any text and, if it stays, has no tokens; rows
+without an id are never compared and stay in near-duplicates; of rows that repeat an id one stays there.
+An empty table gives no rows. The first four stages return the columns that ``docs`` came with.
 """
 
 from __future__ import annotations

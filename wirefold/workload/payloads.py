@@ -52,7 +52,7 @@ def page_posts(t: Tables) -> DataFrame:
         F.col("rank").cast("bigint").alias("rank"))
 
 
-_CARD = _SQ.format("regexp_replace(translate(line, '[]', '()'), '(^|\s)#{1,6}\s+|\*\*|__|`|\|', ' ', 'g')")
+_CARD = _SQ.format(r"regexp_replace(translate(line, '[]', '()'), '(^|\s)#{1,6}\s+|\*\*|__|`|\|', ' ', 'g')")
 
 
 @query(_posts_sql(f"CASE WHEN length({_CARD}) > 600 THEN regexp_replace(substr({_CARD}, 1, 600), ' [^ ]*$', '') || '…'"
