@@ -15,7 +15,7 @@ supplied = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="supplied tables
 def test_all_operators_are_registered():
     import __spark_entry__
     known = __spark_entry__.queries()
-    assert "pipeline" in known and len([k for k in known if k.startswith("op")]) == 10
+    assert "pipeline" in known and len([k for k in known if k.startswith("op")]) == 13
     assert set(SQL) <= set(__spark_entry__.oracle_sql())
 
 

@@ -7,7 +7,6 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from wirefold.llm import (byte_bpe, decontam, gam, line_dedup, odd_sketch, periods, pii, prefix_trie, sharding,
                           topk, toxicity, url_filter, wrappers)
 from wirefold.llm.shared import settings
@@ -95,8 +94,3 @@ def op12_turn_matrices(read) -> DataFrame:
 @query()
 def op13_block_convolution(read) -> DataFrame:
     return periods.digest(read("documents").select("doc_id", "text"))
-
-
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
