@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 # Compared with loops or made-up tables in the other test files, as SQL does not express them.
-WITHOUT_SQL = {"firm_activity", "stemmed_search", "apply_added_answers", "stream_refresh"}
+WITHOUT_SQL = {"firm_activity", "stemmed_search", "apply_added_answers"}
 
 
 def test_only_known_queries_lack_sql():

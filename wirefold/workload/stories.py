@@ -35,7 +35,7 @@ SCORE_SQL = """CASE WHEN common = 0 THEN 0 WHEN m OR small < 4 THEN common / (la
     ELSE greatest(common / (la + lb - common), common / small) END"""
 
 # One walk over all rows in order: ``kept`` holds what stays, a row looks for its best match there.
-_STORY_SQL = f"""WITH RECURSIVE {DOC_SQL}, base AS (SELECT *, NULL AS company, NULL AS category FROM docs),
+STORY_SQL = f"""WITH RECURSIVE {DOC_SQL}, base AS (SELECT *, NULL AS company, NULL AS category FROM docs),
 {HEADLINE_SQL},
 near AS MATERIALIZED (SELECT b.id AS new, a.id AS old, a.k = b.k AS same, len(a.w) AS la, len(b.w) AS lb, {PAIR_SQL},
     a.nums = b.nums AND a.at IS NOT NULL AND abs(epoch(a.at)
@@ -55,7 +55,7 @@ told AS (SELECT f.id, f.source, f.headline, f.at AS published_at, f.k AS story_k
   FROM facts f LEFT JOIN walk w ON w.id = f.id)"""
 
 
-@query(_STORY_SQL + """
+@query(STORY_SQL + """
 SELECT id, source, story_key, canonical_id FROM told""")
 def story_dedupe(t: Tables) -> DataFrame:
     """Headline dedupe of every document, by key and by similarity within 72 hours."""
@@ -63,7 +63,7 @@ def story_dedupe(t: Tables) -> DataFrame:
         "id", "source", "story_key", "canonical_id")
 
 
-@query(_STORY_SQL + """, p AS (SELECT canonical_id AS id, source, min(id) AS pos FROM told
+@query(STORY_SQL + """, p AS (SELECT canonical_id AS id, source, min(id) AS pos FROM told
   WHERE canonical_id IS NOT NULL GROUP BY ALL),
 o AS (SELECT id, string_agg(source, ',' ORDER BY pos) AS s FROM p GROUP BY id)
 SELECT told.id, source, headline, published_at, coalesce(s, '') AS also_reported_by

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from wirefold.plans.status import spend_windows as windows
 from wirefold.session import checkpoint_dir
 from wirefold.streaming import refresh
-from wirefold.workload.base import DOC_AS_OF, Tables, doc_articles, query
+from wirefold.workload.base import DOC_AS_OF, DOC_SQL, Tables, doc_articles, query
+from wirefold.workload.stories import STORY_SQL
+
+SECOND = 1_000_000_000_000           # what the oracle adds to the ids of the second batch
 
 
 def _scratch(t: Tables, name: str) -> str:
@@ -59,20 +62,49 @@ def stream_spend_windows(t: Tables) -> DataFrame:
     return t.spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
-@query()
-def stream_refresh(t: Tables) -> DataFrame:
-    """All documents through a full ingest: known links, dedupe, tables and the read log."""
-    root = _scratch(t, "refresh")
-    landed = _landed(t, "documents")
+# Documents in two batches: even ids first, those of four without description; then odd ids, and again those
+# of four, which are known by then and lend what they have. An id tells the place in that order.
+_BATCHES_SQL = STORY_SQL.replace(DOC_SQL, DOC_SQL.replace(
+    "SELECT doc_id AS id", f"SELECT doc_id % 2 * {SECOND} + doc_id AS id"))
 
-    def each(df: DataFrame, batch: int) -> None:
-        view = Tables(t.spark, t.folder)
-        view.__dict__["documents"] = df
-        items = doc_articles(view).select(
-            F.concat(F.lit("https://d.example/"), F.col("id").cast("string")).alias("url"), "source",
-            "headline", "description", "published_at", F.col("id").alias("pos"))
-        refresh.ingest_batch(items, batch, root, DOC_AS_OF)
 
-    refresh.run_available(landed, each, f"{root}/checkpoint")
+def _two_batches(t: Tables) -> str:
+    """The store after both batches, each landed as files and read as a stream."""
+    root = _scratch(t, "refresh")
+    rows = doc_articles(t).select(
+        F.concat(F.lit("https://d.example/"), F.col("id").cast("string")).alias("url"), "source",
+        "headline", "description", "published_at", F.col("id").alias("pos"))
+    four = F.col("pos") % 4 == 0
+    first = rows.where("pos % 2 = 0").withColumn("description", F.when(~four, F.col("description")))
+    for batch, made in enumerate((first, rows.where(four | F.expr("pos % 2 = 1")))):
+        made.write.parquet(f"{root}/landed/{batch}")
+        refresh.run_available(
+            t.spark.readStream.schema(rows.schema).parquet(f"{root}/landed/*"),
+            lambda df, i: refresh.ingest_batch(df, i, root, DOC_AS_OF), f"{root}/checkpoint")
+    return root
+
+
+@query(_BATCHES_SQL + f""", seen AS (
+  SELECT id // {SECOND} AS batch, source, CASE WHEN canonical_id IS NULL THEN 'new' ELSE 'dup' END AS o FROM told
+  UNION ALL SELECT 1, source, 'known' FROM documents WHERE doc_id % 4 = 0)
+SELECT batch, source, count(*) AS items_seen, count(*) FILTER (o = 'new') AS items_new,
+  count(*) FILTER (o = 'dup') AS items_duplicate FROM seen GROUP BY 1, 2""")
+def stream_refresh(t: Tables) -> DataFrame:
+    """All documents through two ingests: known links, dedupe, tables; the read log of both."""
     stats = "source string, items_seen bigint, items_new bigint, items_duplicate bigint"
-    return refresh.read_before(t.spark, root, "reads", 1, stats)
+    return refresh.read_before(t.spark, _two_batches(t), "reads", 2, stats, True)
+
+
+@query(_BATCHES_SQL + f""", d AS (SELECT id AS doc_id, description FROM (WITH {DOC_SQL} SELECT * FROM docs))
+SELECT d.doc_id, told.story_key, told.canonical_id % {SECOND} AS canonical_doc, told.published_at,
+  d.doc_id % 4 = 0 AND trim(coalesce(description, '')) <> '' AS lent,
+  md5(CASE WHEN d.doc_id % 4 <> 0 OR trim(description) <> '' THEN description END) AS described
+FROM told JOIN d ON d.doc_id = told.id % {SECOND}""")
+def stream_stories(t: Tables) -> DataFrame:
+    """The stored stories after both ingests: what each repeats and the description it has or was lent."""
+    rows = refresh.stored_articles(t.spark, _two_batches(t), 2)
+    first = rows.select(F.col("id").alias("canonical_id"), F.col("pos").alias("canonical_doc"))
+    empty = F.coalesce(F.trim("description"), F.lit("")) == ""
+    return rows.join(first, "canonical_id", "left").select(
+        F.col("pos").alias("doc_id"), "story_key", "canonical_doc", "published_at",
+        ((F.col("pos") % 4 == 0) & ~empty).alias("lent"), F.md5("description").alias("described"))
