@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.functions.taxonomy import round_label
+from wirefold.functions.patterns import needed_runs
 from wirefold.functions.text import map_of
 from wirefold.functions.times import in_days
 from wirefold.functions.urls import domain
 from wirefold.operators.dedupe import deal_dedupe
+from wirefold.operators.greedy import cut
 from wirefold.sources.registry import SITE_VIAS, VIA_LABELS, firm_reads
 
-LOOSE_ALIASES = 10_000    # aliases without a literal word that may be broadcast; more are refused
+PIECE = 4         # letters of a run by which texts and aliases meet
+SALTS = 32        # keys that the texts of a common piece are spread over
 ORIGINS = ("site", "added", "search", "news")     # also who wins when a deal is seen twice
 # Labels of the reads.
 READ_LABELS = {
@@ -21,57 +23,56 @@ READ_LABELS = {
     "search": "news search, via Firecrawl"}
 
 
-def _pieces(run: Column) -> Column:
-    return F.when(F.length(run) >= 4, F.substring(run, 1, 4)).otherwise(F.substring(run, 1, 3))
-
-
 def alias_keys(firms: DataFrame) -> DataFrame:
-    """(firm, firm_label, alias, piece): every alias with the rarest piece of text it needs.
+    """(firm, firm_label, alias, piece): every alias with pieces of text, one of which it needs.
 
-    An alias of letters, digits, spaces and word borders contains its own words, so a text that matches
-    has their first letters somewhere; of an alias' words the one that begins the fewest others is
-    taken. Other aliases have no piece.
+    Of the sets of runs that an alias needs (patterns.needed_runs) the one with the longest, then rarest
+    beginnings among all aliases is taken; a piece is the first PIECE letters of a run. An alias that needs no
+    run at all has the empty piece, which is in every text.
     """
     alias = firms.select(F.col("key").alias("firm"), F.col("label").alias("firm_label"),
-                         F.explode("aliases").alias("alias"))
-    bare = F.replace(F.lower("alias"), F.lit("\\b"), F.lit(""))
-    runs = F.filter(F.split(bare, "[^a-z0-9]+"), lambda r: F.length(r) >= 3)
-    plain = bare.rlike("^[a-z0-9 &'-]+$") & (F.size(runs) > 0)
-    runs = alias.where(plain).select("firm", "firm_label", "alias", F.explode(F.transform(
-        runs, _pieces)).alias("piece"))
-    often = runs.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    keyed = (runs.join(often, "piece").groupBy("firm", "firm_label", "alias")
-             .agg(F.min(F.struct("n", "piece"))["piece"].alias("piece")))
-    return keyed.unionByName(alias.where(~plain).withColumn("piece", F.lit(None).cast("string")))
+                         F.explode("aliases").alias("alias")).where("alias is not null").distinct()
+    sets = F.transform(needed_runs(F.col("alias")), lambda runs: F.array_distinct(
+        F.transform(runs, lambda r: F.substring(r, 1, PIECE))))
+    owned = alias.select("*", F.posexplode(F.when(F.size(sets) > 0, sets).otherwise(
+        F.array(F.array(F.lit(""))))).alias("n_set", "pieces"))
+    single = owned.select("firm", "firm_label", "alias", "n_set", F.explode("pieces").alias("piece"))
+    often = single.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    key = ["firm", "firm_label", "alias"]
+    best = (single.join(often, "piece").groupBy(*key, "n_set")
+            .agg(F.min(F.length("piece")).alias("short"), F.sum("n").alias("n"), F.collect_list("piece").alias("pieces"))
+            .groupBy(*key).agg(F.min(F.struct(-F.col("short"), "n", "n_set", "pieces"))["pieces"].alias("pieces")))
+    return best.select(*key, F.explode("pieces").alias("piece"))
 
 
 def named_firms(rounds: DataFrame, firms: DataFrame, text: Column | str = "investors") -> DataFrame:
-    """One row per round and firm its investors name.
+    """One row per round and firm its investors name. Null aliases and null or empty texts name nobody.
 
     The distinct investor texts meet the aliases on a piece that the alias needs, by an equality
-    join, and only those pairs are tried. Aliases that are patterns without a literal word are
-    tried on every text; there may be LOOSE_ALIASES of them, more are refused.
+    join, and only those pairs are tried. Pieces under three letters, and the empty one of aliases that need no
+    letters, are common in texts: their texts are spread over SALTS keys, each with the aliases.
     """
     text = F.col(text) if isinstance(text, str) else text
     named = rounds.withColumn("_text", text).where("_text is not null and _text != ''")
     texts = named.select("_text").distinct()
-    aliases = alias_keys(firms)
+    aliases = cut(alias_keys(firms), "aliases")
+    sizes = [r.n for r in aliases.select(F.length("piece").alias("n")).distinct().collect()]   # PIECE + 1 at most
     low = F.lower("_text")
 
     def cuts(size: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - size + 1, F.lit(1))),
+        if size == 0:
+            return F.array(F.lit(""))
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - size + 1, F.lit(1))),
                            lambda i: F.substr(low, i, F.lit(size)))
-    pieces = F.filter(F.array_distinct(F.concat(cuts(3), cuts(4))), lambda g: g.rlike("^[a-z0-9]{3,4}$"))
+        return F.filter(F.array_distinct(made), lambda g: g.rlike(f"^[a-z0-9]{{{size}}}$"))
+    common = F.length("piece") < 3
+    asked = (texts.select("_text", F.explode(F.concat(*[cuts(n) for n in sizes] or [F.array().cast("array<string>")]))
+                          .alias("piece"))
+             .withColumn("salt", F.when(common, F.pmod(F.xxhash64("_text"), F.lit(SALTS))).otherwise(0)))
+    posted = aliases.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(common, SALTS - 1)
+                                                            .otherwise(0).cast("bigint"))))
     tried = F.expr("_text rlike concat('(?i)(?:', alias, ')')")
-    hits = (texts.select("_text", F.explode(pieces).alias("piece"))
-            .join(aliases.where("piece is not null"), "piece").where(tried)
-            .select("_text", "firm", "firm_label"))
-    loose = aliases.where("piece is null").drop("piece")
-    if (n := loose.count()) > LOOSE_ALIASES:
-        raise ValueError(f"{n} aliases have no literal word, {LOOSE_ALIASES} are allowed")
-    if n:
-        hits = hits.unionByName(texts.join(F.broadcast(loose), tried)
-                                .select("_text", "firm", "firm_label"))
+    hits = asked.join(posted, ["piece", "salt"]).where(tried).select("_text", "firm", "firm_label")
     return named.join(hits.distinct(), "_text").drop("_text")
 
 
@@ -169,7 +170,3 @@ def added_sources(sources: DataFrame, shown: DataFrame, reads: DataFrame) -> Dat
     return (sources.withColumn("source_id", F.col("id")).join(counts, "source_id", "left")
             .join(last, "source_id", "left")
             .withColumn("shown", F.coalesce("n", F.lit(0))).drop("n", "source_id"))
-
-
-def tidy_rounds(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("round", round_label("round"))
