@@ -6,7 +6,7 @@ Nothing here calls a model. One side writes prompts; the other reads a table of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -179,6 +179,51 @@ def read_answers(answers: DataFrame) -> DataFrame:
             .where("number is not null"))
 
 
+REFUSALS = ("unreadable", "empty", "not an object", "unnumbered", "out of range", "repeated")
+
+
+def judge_answers(packed: DataFrame, answers: DataFrame) -> DataFrame:
+    """(batch, pos, id, number, item, entry, refused): every entry of every answer(batch, body).
+
+    ``refused`` is null for the entry that is applied to record ``id`` and else one of REFUSALS. An
+    answer without a JSON list is one row, unreadable, and a list without entries one row, empty. Of entries with
+    one number the last counts, and the greatest text of several in one place (a batch answered twice).
+    """
+    part = let(json_part("body"), lambda p: F.when(p.startswith("["), p))
+    lists = answers.select("batch", F.from_json(part, "array<string>").alias("items"))
+    entries = (lists.select("batch", F.col("items").isNull().alias("unreadable"), F.size("items").alias("n"),
+                            F.posexplode_outer("items").alias("pos", "item"))
+               .withColumn("entry", F.when(F.col("item").startswith("{"), F.from_json("item", "map<string,string>")))
+               .withColumn("number", F.col("entry")["i"].try_cast("double").cast("int")))
+    known = packed.select("batch", "number", "id", F.lit(True).alias("known"))
+    # Only entries with a record are compared; the others have a place of their own.
+    places = Window.partitionBy("batch", "number", F.when(F.col("known").isNull(), F.col("pos"))).orderBy(F.col("pos").desc(), F.col("item").desc())
+    found = entries.join(known, ["batch", "number"], "left").withColumn("place", F.row_number().over(places))
+    refused = (F.when(F.col("unreadable"), "unreadable").when(F.col("n") == 0, "empty")
+               .when(F.col("entry").isNull(), "not an object").when(F.col("number").isNull(), "unnumbered")
+               .when(F.col("known").isNull(), "out of range").when(F.col("place") > 1, "repeated"))
+    return found.select("batch", "pos", "id", "number", "item", "entry", refused.alias("refused"))
+
+
+def store_answers(judged: DataFrame, path: str) -> dict[str, int]:
+    """Write judged entries under ``path``, applied ones apart from each kind of refused ones, and give the
+    counts: ``read``, ``applied`` and each refusal. They are observed by the job that writes.
+    """
+    counts = Observation()
+    out = judged.observe(counts, F.count(F.lit(1)).alias("read"), F.count_if(F.col("refused").isNull()).alias("applied"),
+                         *[F.count_if(F.col("refused") == r).alias(r) for r in REFUSALS])
+    out.withColumn("refused", F.coalesce("refused", F.lit("applied"))).write.mode("overwrite").partitionBy(
+        "refused").parquet(path)
+    return counts.get
+
+
+def stored_answers(judged: DataFrame, path: str, refused: bool = False) -> DataFrame:
+    """The entries that were applied, or those refused with their reason; the other folders are not read."""
+    rows = judged.sparkSession.read.schema(judged.schema).parquet(path)
+    applied = F.col("refused") == "applied"
+    return rows.where(~applied) if refused else rows.where(applied).drop("refused")
+
+
 def _last(entries: DataFrame) -> DataFrame:
     return entries.groupBy("batch", "number").agg(F.max_by("entry", "pos").alias("entry"))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.operators import sinks
+from wirefold.operators import labels, sinks
 from wirefold.plans import events, firms, rounds, social
 from wirefold.sources.registry import FIRMS, as_table
-from wirefold.workload.base import READ_AS_OF, ORDER_SQL, Tables, query, read_log
+from wirefold.workload.base import ORDER_SQL, Tables, query, read_log
 from wirefold.workload.rounds import funding, searched
 
 
@@ -265,5 +265,21 @@ def social_funding(t: Tables) -> DataFrame:
     return social.funding_rounds(social_shown(t)).select("id", "stage", "source_label")
 
 
-def now():
-    return READ_AS_OF
+@query(f"""WITH {_SOCIAL_SQL} SELECT count(*) FILTER (kind = 'Funding') AS funding,
+  count(*) FILTER (kind = 'News') AS news, count(*) FILTER (kind = 'Other') AS other FROM q WHERE conv_id = 30""")
+def social_kinds_of_account(t: Tables) -> DataFrame:
+    """The same counts once an account is picked."""
+    return social.kind_counts(social_shown(t), source=30)
+
+
+@query("""WITH o AS (SELECT conv_id, arg_min(role || '-' || turn, turn) AS own FROM conversations
+  WHERE role <> 'assistant' GROUP BY 1), a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT conv_id AS id, CASE WHEN conv_id % 2 = 0 AND own IS NOT NULL THEN own ELSE 'Account ' || conv_id END AS label,
+  conv_id % 2 = 0 AND own IS NULL AS label_auto FROM a LEFT JOIN o USING (conv_id)""")
+def account_names(t: Tables) -> DataFrame:
+    """Accounts of even id were named after their link and take the name their first own post gives."""
+    made, accounts = account_posts(t)
+    posts = made.withColumn("pos", F.col("id") % 1000).withColumn("author", F.concat_ws("-", "author", F.col(
+        "pos").cast("string")))
+    sources = accounts.withColumn("label_auto", F.col("id") % 2 == 0)
+    return labels.name_from_posts(sources, posts)

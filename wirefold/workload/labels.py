@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirefold.functions import text
 from wirefold.operators import labels, search
 from wirefold.operators.greedy import cut
+from wirefold.session import checkpoint_dir
 from wirefold.workload.base import DOC_AS_OF, DOC_SQL, Tables, doc_articles, query
 
 _LINE = """headline || CASE WHEN coalesce(description, '') <> ''
@@ -160,3 +164,65 @@ def page_prompts(t: Tables) -> DataFrame:
     """Raw pages as the body of a question, with what was cut."""
     rows = t.pages.select("url", F.col("html").alias("body"))
     return labels.page_prompts(rows, "Page:", (("at: ", "url"),), "Answer.")
+
+
+# Records by id: answered twice, as a bare word, without number, or with a number that no record has.
+_ODD = "CASE id % 7 WHEN 0 THEN 'twice' WHEN 1 THEN 'word' WHEN 2 THEN 'bare' WHEN 3 THEN 'far' ELSE 'fine' END"
+
+
+def _odd_answers(rows: DataFrame) -> DataFrame:
+    """One answer for each batch of ``rows``: every fifth is no JSON, every seventh an empty list."""
+    kind, number = F.col("id") % 7, F.col("number").cast("string")
+    entry = F.concat(F.lit('{"i": '), F.when(kind == 3, F.concat(number, F.lit("000"))).otherwise(number), F.lit(
+        ', "company": '), F.to_json(F.struct(F.col("source").alias("s"))).substr(F.lit(6), F.lit(1000)))
+    said = (F.when(kind == 0, F.concat(F.lit('{"i": "'), number, F.lit('", "company": "first"},'), entry))
+            .when(kind == 1, F.lit('"word"')).when(kind == 2, F.lit('{"company": "bare"}')).otherwise(entry))
+    bodies = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("number", said.alias("said")))).alias("s"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("s", lambda s: s["said"]), ","), F.lit("]"))
+    return bodies.select("batch", F.when(F.col("batch") % 5 == 4, "Sorry, I cannot.").when(
+        F.col("batch") % 7 == 6, "[]").otherwise(listed).alias("body"))
+
+
+@query(f"""WITH {_PACKED}, k AS (SELECT batch, {_ODD} AS kind, batch % 5 = 4 AS no_json,
+  batch % 5 <> 4 AND batch % 7 = 6 AS bare FROM packed),
+c AS (SELECT batch, no_json, bare, count(*) AS n, count(*) FILTER (kind = 'twice') AS twice,
+  count(*) FILTER (kind = 'word') AS word, count(*) FILTER (kind = 'bare') AS unnumbered,
+  count(*) FILTER (kind = 'far') AS far FROM k GROUP BY ALL),
+e AS (SELECT *, no_json OR bare AS nothing FROM c)
+SELECT batch, CASE WHEN nothing THEN 1 ELSE n + twice END AS "read",
+  CASE WHEN nothing THEN 0 ELSE n - word - unnumbered - far END AS applied, no_json::BIGINT AS unreadable,
+  bare::BIGINT AS empty, CASE WHEN nothing THEN 0 ELSE word END AS not_object,
+  CASE WHEN nothing THEN 0 ELSE unnumbered END AS unnumbered, CASE WHEN nothing THEN 0 ELSE far END AS out_of_range,
+  CASE WHEN nothing THEN 0 ELSE twice END AS repeated FROM e""")
+def answers_judged(t: Tables) -> DataFrame:
+    """Answers of every document's batch, stored once: what was applied and what refused, for each batch."""
+    rows = cut(packed(t), "packed")
+    judged = labels.judge_answers(rows, _odd_answers(rows))
+    path = f"{checkpoint_dir(t.spark)}/answers-{uuid.uuid4().hex}"
+    labels.store_answers(judged, path)
+    both = labels.stored_answers(judged, path, refused=True).unionByName(
+        labels.stored_answers(judged, path).withColumn("refused", F.lit(None).cast("string")))
+    return both.groupBy("batch").agg(
+        F.count(F.lit(1)).alias("read"), F.count_if(F.col("refused").isNull()).alias("applied"),
+        *[F.count_if(F.col("refused") == r).alias({"not an object": "not_object"}.get(r, r.replace(" ", "_")))
+          for r in labels.REFUSALS])
+
+
+@query(f"""WITH {_PACKED} SELECT id, source FROM packed
+WHERE batch % 5 <> 4 AND batch % 7 <> 6 AND id % 7 NOT IN (1, 2, 3)""")
+def answers_applied(t: Tables) -> DataFrame:
+    """The entries of the same answers that reach a document, the later one where it has two."""
+    rows = cut(packed(t), "packed")
+    judged = labels.judge_answers(rows, _odd_answers(rows))
+    return judged.where("refused is null").select("id", F.col("entry")["company"].alias("source"))
+
+
+_STEER = text.STEER_WORDS.replace("(?i)", "")
+
+
+@query(f"""WITH {DOC_SQL}, q AS (SELECT id, trim(regexp_replace(headline, '\s+', ' ', 'g')) AS q FROM docs)
+SELECT id, CASE WHEN q <> '' AND NOT regexp_matches(q, '{_STEER}', 'i') THEN q || ' startup news' ELSE q END AS query
+FROM q""")
+def steered_queries(t: Tables) -> DataFrame:
+    """Every headline as a bare query."""
+    return doc_articles(t).select("id", text.steer_query("headline").alias("query"))

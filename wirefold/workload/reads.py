@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirefold.functions import times
 from wirefold.operators import dedupe, incremental, sinks
 from wirefold.plans import firms
 from wirefold.plans import status as health
@@ -214,3 +215,16 @@ def read_stats(t: Tables) -> DataFrame:
 def first_per_key(t: Tables) -> DataFrame:
     return dedupe.first_per_key(t.events, ["event_type"], ["ts", "event_id"]).select(
         "event_type", "event_id", "ts")
+
+
+@query("""WITH h AS (SELECT event_id AS id, (epoch(TIMESTAMP '2024-01-31') - epoch(ts)) / 3600 AS h FROM events)
+SELECT id, CASE WHEN h < 1 THEN 'read just now' WHEN h < 48 THEN 'read ' || CAST(round(h) AS INTEGER) || 'h ago'
+    ELSE 'read ' || CAST(round(h / 24) AS INTEGER) || ' days ago' END AS read_text,
+  CASE WHEN h < 1 THEN 'Refreshed ' || greatest(1, CAST(round(h * 60) AS INTEGER)) || ' min ago'
+    WHEN h < 24 THEN 'Refreshed ' || CAST(round(h) AS INTEGER) || 'h ago'
+    ELSE 'Refreshed ' || CAST(floor(h / 24) AS INTEGER) || ' day' || CASE WHEN floor(h / 24) > 1 THEN 's' ELSE '' END
+      || ' ago (expected every 6h)' END AS refreshed FROM h""")
+def read_ages(t: Tables) -> DataFrame:
+    """How long ago every read was, in words."""
+    return t.events.select(F.col("event_id").alias("id"), times.read_ago("ts", READ_AS_OF).alias("read_text"),
+                           times.refreshed_ago("ts", READ_AS_OF, 6).alias("refreshed"))
