@@ -220,7 +220,7 @@ def answers_applied(t: Tables) -> DataFrame:
 _STEER = text.STEER_WORDS.replace("(?i)", "")
 
 
-@query(f"""WITH {DOC_SQL}, q AS (SELECT id, trim(regexp_replace(headline, '\s+', ' ', 'g')) AS q FROM docs)
+@query(f"""WITH {DOC_SQL}, q AS (SELECT id, trim(regexp_replace(headline, '\\s+', ' ', 'g')) AS q FROM docs)
 SELECT id, CASE WHEN q <> '' AND NOT regexp_matches(q, '{_STEER}', 'i') THEN q || ' startup news' ELSE q END AS query
 FROM q""")
 def steered_queries(t: Tables) -> DataFrame:
