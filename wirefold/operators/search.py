@@ -134,8 +134,8 @@ def ranked(index: DataFrame, query: str, docs: int | None = None, stemming: bool
            limit: int | None = None) -> DataFrame:
     """(id, score, matched) by BM25 over all fields, best first.
 
-    The query's few words become a filter on the index, so only their postings are read;
-    document lengths are summed from the index for matching documents' statistics.
+    For an index that is at hand as a table: lengths are summed from all its postings. An index
+    that is stored and kept in step is ``term_index``, whose lookups read the files of their words alone.
     """
     words = sorted({stem(w) if stemming else w for w in query_terms(query)})
     lengths = index.groupBy("id").agg(F.sum("tf").alias("length"))
