@@ -50,7 +50,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, as_of,
 
 
 def rewrite_partitions(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Replace only the partitions ``df`` has rows for. The source must be another path."""
+    """Replace only the partitions ``df`` has rows for, all at the commit of the job."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
 

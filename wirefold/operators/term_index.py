@@ -101,7 +101,7 @@ def lookup(spark: SparkSession, root: str, query: str, batches: int, limit: int
     postings, found = stored(spark, root, batches, sorted(set(query_terms(query))), id_type)
     hits = postings.groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
     # One row, and a row per word of the query.
-    size = totals(spark, root, batches).select(F.col("docs").alias("n"), (F.col("words") / F.col("docs")).alias("average"))
+    size = totals(spark, root, batches).select(F.col("docs").alias("n"), F.try_divide("words", "docs").alias("average"))
     idf = F.greatest(F.log((F.col("n") - F.col("docs") + 0.5) / (F.col("docs") + 0.5)), F.lit(MIN_IDF))
     worth = found.join(F.broadcast(size)).select("term", "average", idf.alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirefold.functions import times
 from wirefold.operators import dedupe, incremental, sinks
+from wirefold.operators.greedy import cut
+from wirefold.operators.stored import Store
 from wirefold.plans import firms
 from wirefold.plans import status as health
+from wirefold.plans.refresh import LAYOUTS
+from wirefold.session import checkpoint_dir
 from wirefold.workload.activity import event_pages
 from wirefold.workload.base import (ORDER_SQL, READ_AS_OF, READ_SQL, Tables, order_articles, query,
                                     read_log)
@@ -156,22 +162,40 @@ def refresh_totals(t: Tables) -> DataFrame:
     return health.refresh_summary(totals).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
-@query("""WITH c AS (SELECT user_id AS uid, max_by(value, event_id) AS value, min(ts) AS found_at FROM events
+_UPSERT_SQL = """WITH c AS (SELECT user_id AS uid, max_by(value, event_id) AS value, min(ts) AS found_at FROM events
     WHERE event_type = 'click' GROUP BY 1),
 i AS (SELECT user_id AS uid, max_by(value, event_id) AS value FROM events WHERE event_type = 'view'
     GROUP BY 1)
 SELECT coalesce(c.uid, i.uid) AS uid, coalesce(i.value, c.value) AS value,
   CASE WHEN c.uid IS NULL THEN TIMESTAMP '2024-01-31' ELSE found_at END AS found_at,
   CASE WHEN i.uid IS NOT NULL THEN TIMESTAMP '2024-01-31' ELSE found_at END AS updated_at
-FROM c FULL OUTER JOIN i ON c.uid = i.uid""")
-def upsert_events(t: Tables) -> DataFrame:
+FROM c FULL OUTER JOIN i ON c.uid = i.uid"""
+
+
+def _clicks_and_views(t: Tables) -> tuple[DataFrame, DataFrame]:
     newest = F.max_by("value", "event_id").alias("value")
     known = (t.events.where("event_type = 'click'")
              .groupBy(F.col("user_id").alias("uid")).agg(newest, F.min("ts").alias("found_at"))
              .withColumn("updated_at", F.col("found_at")))
     incoming = (t.events.where("event_type = 'view'")
                 .groupBy(F.col("user_id").alias("uid")).agg(newest))
-    return sinks.upsert(known, incoming, "uid", READ_AS_OF)
+    return known, incoming
+
+
+@query(_UPSERT_SQL)
+def upsert_events(t: Tables) -> DataFrame:
+    return sinks.upsert(*_clicks_and_views(t), "uid", READ_AS_OF)
+
+
+@query(_UPSERT_SQL)
+def upsert_stored(t: Tables) -> DataFrame:
+    """The same into a stored table, of which the days of changed and new rows are rewritten."""
+    known, incoming = _clicks_and_views(t)
+    store = Store(t.spark, f"{checkpoint_dir(t.spark)}/upsert-{uuid.uuid4().hex}", {"events": LAYOUTS["events"]})
+    store.create("events", known)
+    held = store.read("events").join(incoming.select("uid"), "uid", "left_semi").select(known.columns)
+    store.merge("events", cut(sinks.upsert(held, incoming, "uid", READ_AS_OF), "upserted"))
+    return store.read("events")
 
 
 @query("""SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey FROM orders o

@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirefold.operators import labels
+from wirefold.operators.stored import Layout, Store, day
+from wirefold.plans.refresh import full_refresh
 from wirefold.plans.status import spend_windows as windows
 from wirefold.session import checkpoint_dir
 from wirefold.streaming import refresh
@@ -108,3 +111,51 @@ def stream_stories(t: Tables) -> DataFrame:
     return rows.join(first, "canonical_id", "left").select(
         F.col("pos").alias("doc_id"), "story_key", "canonical_doc", "published_at",
         ((F.col("pos") % 4 == 0) & ~empty).alias("lent"), F.md5("description").alias("described"))
+
+
+_STORED = ("id string, url string, source string, headline string, description string, description_origin string, "
+           "published_at timestamp, ingested_at timestamp, company string, category string, summary string, "
+           "enriched_at timestamp, canonical_id string, story_key string, content_hash string, feed_url string, "
+           "pos bigint")
+
+
+@query(_BATCHES_SQL + f""", d AS (SELECT id AS doc_id, source AS src, description FROM (WITH {DOC_SQL} SELECT * FROM docs))
+SELECT d.doc_id, told.story_key, told.canonical_id % {SECOND} AS canonical_doc,
+  md5(CASE WHEN d.doc_id % 4 <> 0 OR description <> '' THEN description END) AS described,
+  CASE WHEN a.doc_id IS NOT NULL THEN 'Src ' || src END AS company,
+  CASE WHEN a.quality = 1 THEN 'Product Launch' WHEN a.quality = 0 THEN 'Other' END AS category
+FROM told JOIN d ON d.doc_id = told.id % {SECOND}
+LEFT JOIN labels a ON a.doc_id = d.doc_id AND a.doc_id % 2 = 0 AND told.canonical_id IS NULL""")
+def refreshed_stories(t: Tables) -> DataFrame:
+    """Two refreshes of one store, of which each rewrites the days it changes: stories of even ids, then
+    the rest with lent descriptions, and the label table as answers about the canonical ones of the first."""
+    store = Store(t.spark, _scratch(t, "store"), {"articles": Layout(("id",), day("published_at"))})
+    store.create("articles", t.spark.createDataFrame([], _STORED))
+    rows = doc_articles(t).select(
+        F.lit("").alias("feed_url"), F.concat(F.lit("https://d.example/"), F.col("id").cast("string")).alias("url"),
+        "source", "headline", "description", "published_at", F.col("id").alias("pos"))
+    four = F.col("pos") % 4 == 0
+    first = rows.where("pos % 2 = 0").withColumn("description", F.when(~four, F.col("description")))
+
+    def run(inputs: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        state, outcome = full_refresh(t.spark, {}, inputs, DOC_AS_OF, store=store, parts=("ingest", "label"))
+        failed = outcome.where("error is not null").collect()            # a row for each part
+        if failed:
+            raise RuntimeError(f"{failed[0].part}: {failed[0].error}")
+        return state
+    state = run({"feed_items": first})
+    packed = labels.pack(labels.pending_articles(state["articles"]), labels.ENRICH_BATCH,
+                         labels.story_line(labels.ENRICH_CHARS), F.col("pos").asc())
+    answer = F.to_json(F.struct(
+        F.col("number").alias("i"), F.concat(F.lit(" Src "), "source", F.lit(". ")).alias("company"),
+        F.when(F.col("quality") == 1, "product launch").otherwise("nonsense").alias("category")))
+    answers = (packed.join(t.labels, F.col("pos") == F.col("doc_id")).groupBy("batch")
+               .agg(F.to_json(F.transform(F.collect_list(answer), lambda a: F.from_json(a, "map<string,string>")))
+                    .alias("body")))
+    state = run({"feed_items": rows.where(four | F.expr("pos % 2 = 1")), "enrich_packed": packed,
+                 "enrich_answers": answers})
+    told = state["articles"]
+    canonical = told.select(F.col("id").alias("canonical_id"), F.col("pos").alias("canonical_doc"))
+    return told.join(canonical, "canonical_id", "left").select(
+        F.col("pos").alias("doc_id"), "story_key", "canonical_doc", F.md5("description").alias("described"),
+        "company", "category")
