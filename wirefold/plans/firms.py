@@ -22,6 +22,8 @@ READ_LABELS = {
     "scrape": "own website, via Firecrawl", "map": "own website, via Firecrawl",
     "search": "news search, via Firecrawl"}
 
+ADDED_LABELS = {"rss": "its feed", "html": "its news page", "scrape": "its page, via Firecrawl"}
+
 
 def alias_keys(firms: DataFrame) -> DataFrame:
     """(firm, firm_label, alias, piece): every alias with pieces of text, one of which it needs.
@@ -128,12 +130,22 @@ def news_posts(rounds: DataFrame, firms: DataFrame) -> DataFrame:
         "source_label")
 
 
+def checked_firm(firm: str | None, firms: DataFrame, added: DataFrame) -> str | None:
+    """``firm`` if it is the key of a tracked firm or of an added site, None if none is picked."""
+    if not firm:
+        return None
+    known = firms.select("key").unionByName(added.select(F.concat(F.lit("pasted-"), "id").alias("key")))
+    if known.where(F.col("key") == firm).isEmpty():
+        raise ValueError(f"unknown firm {firm!r}")
+    return firm
+
+
 def firm_activity(posts: DataFrame, news: DataFrame, start=None, end=None,
-                  origin: str | None = None) -> DataFrame:
-    """All rows of all firms, one per deal, newest first.
+                  origin: str | None = None, firm: str | None = None) -> DataFrame:
+    """All rows of all firms, one per deal, newest first, or those of one firm (checked_firm).
 
     Deals are merged before the window and origin filters, so what wins does not depend
-    on what is looked at.
+    on what is looked at; the firm is picked last.
     """
     if origin and origin not in ORIGINS:
         raise ValueError("origin is site, added, search or news")
@@ -143,6 +155,8 @@ def firm_activity(posts: DataFrame, news: DataFrame, start=None, end=None,
     shown = kept.where(in_days("published_at", start, end))
     if origin:
         shown = shown.where(F.col("origin") == origin)
+    if firm:
+        shown = shown.where(F.col("firm") == firm)
     return shown.orderBy(F.col("published_at").desc_nulls_last(), "place", "row_id", "id")
 
 
@@ -152,14 +166,28 @@ def latest_reads(reads: DataFrame, *by: str) -> DataFrame:
         *by, F.col("r.started_at").alias("last_read"), F.col("r.error").alias("last_error"))
 
 
-def firm_counts(activity: DataFrame, firms: DataFrame, reads: DataFrame) -> DataFrame:
-    """Every firm and read with the firm's row count (taken before a firm is picked) and health."""
+def firm_counts(activity: DataFrame, firms: DataFrame, reads: DataFrame, added: DataFrame | None = None
+                ) -> DataFrame:
+    """Every firm and read with the firm's row count (taken before a firm is picked) and health.
+
+    ``added``: the sites that readers added, as added_sources gives them. One tied to a tracked firm is a
+    further read of it, any other is listed as a firm of its own.
+    """
     counts = activity.groupBy("firm").agg(F.count("*").alias("n"))
     ways = firm_reads(firms).withColumn("is_site", F.col("via").isin(*SITE_VIAS)).withColumn(
         "read_label", F.try_element_at(map_of(READ_LABELS), F.col("via")))
     health = ways.join(latest_reads(reads, "firm", "via"), ["firm", "via"], "left")
-    return (firms.select(F.col("key").alias("firm"), "label", "home", "no_site")
-            .join(counts, "firm", "left").join(health, "firm", "left")
+    listed = firms.select(F.col("key").alias("firm"), "label", "home", "no_site")
+    if added is not None:
+        sites = added.join(firms.select(F.col("key").alias("tied")), F.col("firm") == F.col("tied"), "left").select(
+            F.coalesce("tied", F.concat(F.lit("pasted-"), "id")).alias("firm"), "label", F.col("url").alias("home"),
+            F.col("tied").isNull().alias("own"), "via", F.lit(True).alias("is_site"),
+            F.concat(F.lit("added by you, from "), F.coalesce(
+                F.try_element_at(map_of(ADDED_LABELS), F.col("via")), F.col("via"))).alias("read_label"),
+            "last_read", "last_error")
+        health = health.unionByName(sites.select(health.columns))
+        listed = listed.unionByName(sites.where("own").select("firm", "label", "home", F.lit(None).cast("string").alias("no_site")))
+    return (listed.join(counts, "firm", "left").join(health, "firm", "left")
             .withColumn("count", F.coalesce("n", F.lit(0))).drop("n"))
 
 

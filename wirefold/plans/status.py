@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -120,3 +120,74 @@ def refresh_summary(totals: DataFrame, what: str = "post") -> DataFrame:
                     F.when(F.col("failed") > 0, F.format_string("; %d failed", "failed"))
                     .otherwise(""), F.lit("."))
     return totals.withColumn("summary", text)
+
+
+# --- what a refresh by hand did, in a sentence ------------------------------------------------
+# The wording of the sentences.
+
+def _noun(c: str, one: str, many: str) -> Column:
+    return F.when(F.col(c) == 1, one).otherwise(many)
+
+
+def _said(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _when(cond: Column, *parts: Column | str) -> Column:
+    return F.when(F.coalesce(cond, F.lit(False)), _said(*parts)).otherwise(F.lit(""))
+
+
+def _failed() -> Column:
+    return _when(F.col("failed") > 0, "; ", F.col("failed"), " failed")
+
+
+def _new(one: str, many: str) -> tuple[Column | str, ...]:
+    return F.col("new"), " new ", _noun("new", one, many)
+
+
+def feed_sentence() -> Column:
+    """Over new, rounds, firm_new, added_reads, added_new, events_new, social_reads, social_new and the
+    array ``unread`` of sources. A part that did not run is null (its reads 0 or null)."""
+    c = F.col
+    return _said(
+        "Refreshed: ", *_new("story", "stories"),
+        _when(c("rounds").isNotNull(), ", ", c("rounds"), " funding ", _noun("rounds", "round", "rounds"), " read"),
+        _when(c("firm_new").isNotNull(), ", ", c("firm_new"), " new VC firm posts"),
+        _when(c("added_reads") > 0, ", ", c("added_new"), " new from the websites you added"),
+        _when(c("events_new").isNotNull(), ", ", c("events_new"), " new ", _noun("events_new", "event", "events")),
+        _when(c("social_reads") > 0, ", ", c("social_new"), " new LinkedIn ", _noun("social_new", "post", "posts")),
+        _when(F.size("unread") > 0, ". Could not read ", F.array_join("unread", ", ")), ".")
+
+
+def firms_sentence(hours: int) -> Column:
+    """Over new, reads, added_reads, added_new, skipped, failed; paid reads are ``hours`` apart."""
+    c = F.col
+    return _said(
+        "Refreshed VC firms: ", *_new("post", "posts"), " from ", c("reads"), " reads",
+        _when(c("added_reads") > 0, ", ", c("added_new"), " from the websites you added"),
+        _when(c("skipped") > 0, "; ", c("skipped"), f" Firecrawl reads skipped, as they ran in the last {hours}h"),
+        _failed(), ".")
+
+
+def events_sentence(hours: int) -> Column:
+    """Over new, reads, failed."""
+    return F.when(F.col("reads") == 0, f"Events are up to date: every source was read in the last {hours}h.").otherwise(
+        _said("Refreshed events: ", *_new("event", "events"), " from ", F.col("reads"), " reads", _failed(), "."))
+
+
+def social_sentence(hours: int) -> Column:
+    """Over new, reads (one per account), skipped, failed and ``sorted``, the waiting posts that were read."""
+    c = F.col
+    idle = _said(f"LinkedIn is up to date: every account was read in the last {hours}h",
+                 F.when(c("sorted") > 0, _said("; ", c("sorted"), " waiting posts read.")).otherwise("."))
+    return F.when(c("reads") == 0, idle).otherwise(_said(
+        "Refreshed LinkedIn: ", *_new("post", "posts"), " from ", c("reads"), " ", _noun("reads", "account", "accounts"),
+        _when(c("skipped") > 0, "; ", c("skipped"), f" read in the last {hours}h, skipped"), _failed(), "."))
+
+
+def overview(articles: DataFrame, runs: DataFrame, ledger: DataFrame, as_of, every_hours: int) -> DataFrame:
+    """One row: the corpus, the last and the next refresh, and the spend."""
+    due = F.col("last_refresh") + F.make_dt_interval(hours=F.lit(every_hours))
+    # Both sides are one row.
+    return (status(articles, runs, as_of).withColumn("next_refresh", F.greatest(due, instant(as_of)))
+            .join(F.broadcast(spend(ledger, as_of))))

@@ -94,12 +94,97 @@ def hidden_other(t: Tables) -> DataFrame:
     return firms.hidden_other(posts(t), nations_as_firms(t), added_sites(t))
 
 
-@query()
+def _deals_sql(sites: str) -> str:
+    """``shown``: all posts and rounds, one row per deal. ``sites``: SQL for the posts of parts of type SMALL."""
+    return f"""{ORDER_SQL}, {_POST_SQL}, st(source, stage) AS (VALUES ('BUILDING', 1), ('MACHINERY', 1),
+  ('AUTOMOBILE', 1), ('HOUSEHOLD', 1), ('FURNITURE', 1)),
+own AS (SELECT 'site-' || id AS id, id AS row_id, firm, n_name AS firm_label, kind, company, 'Seed' AS round,
+    published_at, origin, source_label FROM posts JOIN nation ON firm = 'n-' || n_nationkey WHERE kind <> 'Other'
+  {sites}),
+told AS (SELECT 'news-' || id AS id, id AS row_id, company, 'Pre-Seed' AS round, published_at, source AS source_label,
+    'Nation ' || nation || '; Shared Fund' AS investors FROM arts JOIN st USING (source)
+    WHERE canonical_id IS NULL AND category = 'Funding' AND price > 100000
+  UNION ALL SELECT 'web-' || ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey),
+    (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey, 'Supplier ' || l_suppkey, 'Seed', l_shipdate, 'news.example',
+    'Nation ' || l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
+every AS (SELECT *, CASE origin WHEN 'site' THEN 1 WHEN 'added' THEN 2 ELSE 3 END AS place FROM own
+  UNION ALL SELECT id || '-n-' || n_nationkey, row_id, 'n-' || n_nationkey, n_name, 'Investment', company, round,
+    published_at, 'news', source_label, 4 FROM told JOIN nation ON regexp_matches(investors,
+    '(?i)(\\bnation ' || n_nationkey || '\\b)|(^shared fund ' || n_nationkey || ')')),
+r AS (SELECT id, firm, lower(trim(company)) AS k, epoch(published_at) AS t,
+  row_number() OVER (PARTITION BY firm, lower(trim(company)) ORDER BY place, row_id, id) AS n FROM every),
+pick AS (SELECT firm, k, 1::BIGINT AS n, list_value(coalesce(t, -1)) AS kept FROM r WHERE n = 1
+  UNION ALL SELECT p.firm, p.k, min(r.n), list_append(any_value(p.kept), arg_min(r.t, r.n))
+  FROM pick p JOIN r ON r.firm = p.firm AND r.k = p.k AND r.n > p.n AND r.t IS NOT NULL AND p.kept[1] <> -1
+    AND len(list_filter(p.kept, lambda x: abs(x - r.t) <= 1209600)) = 0 GROUP BY p.firm, p.k, p.n),
+shown AS (SELECT every.* FROM every JOIN r USING (id, firm) JOIN pick USING (firm, k, n))"""
+
+
+_ROWS_SQL = f"""WITH RECURSIVE {_deals_sql('')} SELECT id, firm, firm_label, kind, company, round, published_at, origin,
+  source_label FROM shown WHERE published_at >= TIMESTAMP '1999-02-28 18:30:00'
+  AND published_at < TIMESTAMP '2000-08-31 18:30:00'"""
+_ROWS = ("id", "firm", "firm_label", "kind", "company", "round", "published_at", "origin", "source_label")
+
+
+def _activity(t: Tables, firm: str | None = None) -> DataFrame:
+    registry, added = nations_as_firms(t), added_sites(t)
+    own = firms.site_posts(posts(t), registry, added)
+    return firms.firm_activity(own, firms.news_posts(news(t), registry), "1999-03-01", "2000-08-31",
+                               firm=firms.checked_firm(firm, registry, added)).select(*_ROWS)
+
+
+@query(_ROWS_SQL)
 def firm_activity(t: Tables) -> DataFrame:
     """Posts and rounds of all firms, one row per deal."""
-    registry = nations_as_firms(t)
-    own = firms.site_posts(posts(t), registry, added_sites(t))
-    return firms.firm_activity(own, firms.news_posts(news(t), registry), "1999-03-01", "2000-08-31")
+    return _activity(t)
+
+
+@query(_ROWS_SQL + " AND firm = 'n-3'")
+def firm_activity_picked(t: Tables) -> DataFrame:
+    """The rows of one firm, picked after deals were merged."""
+    return _activity(t, "n-3")
+
+
+_OWN_SITE = """UNION ALL SELECT 'site-' || p_partkey, p_partkey, 'pasted-2', 'Own site',
+    ['Investment', 'Portfolio news', 'Other'][1 + p_size % 3], p_name, 'Seed',
+    TIMESTAMP '1999-01-01' + to_days(CAST(p_partkey AS INTEGER)), 'added', 'own.example'
+  FROM part WHERE p_type = 'SMALL' AND p_size % 3 <> 2"""
+
+
+@query(f"""WITH RECURSIVE {_deals_sql(_OWN_SITE)}, reads AS (SELECT user_id, event_id AS id, ts,
+    CASE event_type WHEN 'view' THEN 'search' ELSE 'rss' END AS via,
+    CASE event_type WHEN 'error' THEN 'code' ELSE '' END AS error FROM events),
+last AS (SELECT 'n-' || (user_id % 25) AS firm, via, arg_max(ts, id) AS last_read, arg_max(error, id) AS last_error
+  FROM reads GROUP BY ALL),
+site AS (SELECT user_id, arg_max(ts, id) AS last_read, arg_max(error, id) AS last_error FROM reads
+  WHERE user_id IN (1, 2) GROUP BY 1),
+ways AS (SELECT firm, label, 'https://n.example' AS home, read_label, last_read, last_error FROM
+    (SELECT 'n-' || n_nationkey AS firm, n_name AS label, 'rss' AS via, 'own website feed' AS read_label FROM nation
+      UNION ALL SELECT 'n-' || n_nationkey, n_name, 'search', 'news search, via Firecrawl' FROM nation WHERE n_nationkey < 5)
+    LEFT JOIN last USING (firm, via)
+  UNION ALL SELECT 'n-3', n_name, 'https://n.example', 'added by you, from its feed', site.last_read, site.last_error
+    FROM nation LEFT JOIN site ON user_id = 1 WHERE n_nationkey = 3
+  UNION ALL SELECT 'pasted-2', 'Own site', 'https://own.example/x', 'added by you, from its news page', site.last_read,
+    site.last_error FROM (SELECT 2 AS u) LEFT JOIN site ON user_id = u),
+n AS (SELECT firm, count(*) AS count FROM shown GROUP BY 1)
+SELECT firm, label, home, read_label, coalesce(count, 0) AS count, last_read, nullif(last_error, '') AS last_error
+FROM ways LEFT JOIN n USING (firm)""")
+def firm_list(t: Tables) -> DataFrame:
+    """Every firm with its merged rows and the health of its reads: sites readers added are reads of the firm
+    they are tied to, or firms of their own."""
+    registry, reads = nations_as_firms(t), read_log(t).withColumn(
+        "error", F.when(F.col("error").isNotNull(), "code")).withColumn(
+        "firm", F.concat(F.lit("n-"), (F.col("source_id") % 25).cast("string"))).withColumn(
+        "via", F.when(F.col("kind") == "view", "search").otherwise("rss"))
+    sites = t.spark.createDataFrame(
+        [(1, "https://www.site.example/x", "A site", "n-3", "rss"), (2, "https://own.example/x", "Own site", None, "html")],
+        "id long, url string, label string, firm string, via string")
+    mine = posts(t).withColumn("firm", F.when(F.col("firm") == "gone", "pasted-2").otherwise(F.col("firm")))
+    own = firms.site_posts(mine, registry, sites)
+    rows = firms.firm_activity(own, firms.news_posts(news(t), registry))
+    shown = own.where("firm = 'pasted-2'").select(F.lit(2).alias("source_id"))
+    return firms.firm_counts(rows, registry, reads, firms.added_sources(sites, shown, reads)).select(
+        "firm", "label", "home", "read_label", "count", "last_read", "last_error")
 
 
 @query(f"""WITH {_POST_SQL}, reads AS (SELECT 'n-' || (user_id % 25) AS firm,

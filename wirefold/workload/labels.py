@@ -270,3 +270,18 @@ FROM q""")
 def steered_queries(t: Tables) -> DataFrame:
     """Every headline as a bare query."""
     return doc_articles(t).select("id", text.steer_query("headline").alias("query"))
+
+
+@query(f"""SELECT url, 'List the events.' || chr(10) || 'Today is 2026-01-31' || chr(10) || 'Page: ' || url || chr(10)
+  || 'From: Host ' || (page_id % 3) || CASE WHEN page_id % 3 = 0 THEN chr(10) || 'Only here.' ELSE '' END || chr(10)
+  || substr(html, 1, {labels.PAGE_PROMPT_CHARS}) || chr(10) || 'JSON only.' AS prompt,
+  greatest(length(html) - {labels.PAGE_PROMPT_CHARS}, 0) AS cut FROM pages WHERE page_id % 4 <> 3""")
+def event_page_prompts(t: Tables) -> DataFrame:
+    """Raw pages of three hosts as event pages, one host's with the region rule; a fourth host is unknown."""
+    hosts = t.spark.createDataFrame([("h0", "Host 0", True), ("h1", "Host 1", False), ("h2", "Host 2", None)],
+                                    "source_key string, organiser string, india_only boolean")
+    known = F.when(F.col("page_id") % 4 != 3, F.concat(F.lit("h"), (F.col("page_id") % 3).cast("string")))
+    rows = t.pages.select(known.alias("source_key"), "url", F.col("html").alias("body"))
+    pages = labels.event_pages(rows, hosts, DOC_AS_OF, "Only here.")
+    fields = (("Today is ", "today"), ("Page: ", "url"), ("From: ", "label"), ("", "rule"))
+    return labels.page_prompts(pages, "List the events.", fields, "JSON only.")

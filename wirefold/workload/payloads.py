@@ -310,11 +310,22 @@ def apply_firm_answers(t: Tables) -> DataFrame:
         "id", "kind", "company", "round_label")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDER_SQL}, r AS (
+  SELECT id, company AS k, epoch(published_at) AS t FROM arts WHERE category = 'Funding'),
+pick AS (
+  SELECT k, min(id) AS id, list_value(arg_min(t, id)) AS kept FROM r WHERE t IS NOT NULL GROUP BY k
+  UNION ALL
+  SELECT p.k, min(r.id), list_append(any_value(p.kept), arg_min(r.t, r.id))
+  FROM pick p JOIN r ON r.k = p.k AND r.id > p.id AND r.t IS NOT NULL
+    AND len(list_filter(p.kept, lambda x: abs(x - r.t) <= 1209600)) = 0
+  GROUP BY p.k, p.id),
+first AS (SELECT min(id) AS id, arg_min(coalesce(t, -1), id) AS t FROM r GROUP BY k)
+SELECT id, company, 'Seed' AS stage, id IN (SELECT id FROM pick) OR id IN (SELECT id FROM first WHERE t = -1) AS kept
+FROM arts""")
 def apply_added_answers(t: Tables) -> DataFrame:
     """Orders as added-site posts: answered, and kept when their raise is new."""
     none = F.lit(None).cast("string")
-    rows = order_articles(t).where("category is not null").select(
+    rows = order_articles(t).select(
         "id", "company", F.lit(1).alias("source_id"), "headline", F.col("description").alias("snippet"),
         "published_at", F.col("category").alias("said"), none.alias("stage"), none.alias("round_label"),
         none.alias("amount"), none.alias("investors"), F.lit(None).cast("timestamp").alias("extracted_at"),

@@ -252,3 +252,60 @@ def read_ages(t: Tables) -> DataFrame:
     """How long ago every read was, in words."""
     return t.events.select(F.col("event_id").alias("id"), times.read_ago("ts", READ_AS_OF).alias("read_text"),
                            times.refreshed_ago("ts", READ_AS_OF, 6).alias("refreshed"))
+
+
+_DAY_SQL = f"""{READ_SQL}, d AS (SELECT CAST(started_at AS DATE) AS day, count(*) FILTER (kind <> 'signup') AS reads,
+  CAST(sum(items_new) FILTER (kind = 'view') % 3 AS BIGINT) AS new, count(error) AS failed,
+  count(*) FILTER (kind = 'signup') AS skipped, count(*) FILTER (kind = 'purchase') % 4 AS few,
+  list_sort(list_distinct(list(source) FILTER (error IS NOT NULL))) AS unread FROM reads GROUP BY 1)"""
+
+
+@query(f"""WITH {_DAY_SQL} SELECT day,
+  'Refreshed: ' || new || ' new ' || CASE new WHEN 1 THEN 'story' ELSE 'stories' END
+    || CASE WHEN few > 0 THEN ', ' || few || ' funding ' || CASE few WHEN 1 THEN 'round' ELSE 'rounds' END || ' read'
+      ELSE '' END || ', ' || skipped || ' new VC firm posts'
+    || CASE WHEN few > 1 THEN ', ' || failed || ' new from the websites you added' ELSE '' END
+    || ', ' || new || ' new ' || CASE new WHEN 1 THEN 'event' ELSE 'events' END
+    || CASE WHEN few > 2 THEN ', ' || new || ' new LinkedIn ' || CASE new WHEN 1 THEN 'post' ELSE 'posts' END ELSE '' END
+    || CASE WHEN failed > 0 THEN '. Could not read ' || array_to_string(unread, ', ') ELSE '' END || '.' AS feed,
+  'Refreshed VC firms: ' || new || ' new ' || CASE new WHEN 1 THEN 'post' ELSE 'posts' END || ' from ' || reads || ' reads'
+    || CASE WHEN few > 0 THEN ', ' || skipped || ' from the websites you added' ELSE '' END
+    || CASE WHEN skipped > 0 THEN '; ' || skipped || ' Firecrawl reads skipped, as they ran in the last 24h' ELSE '' END
+    || CASE WHEN failed > 0 THEN '; ' || failed || ' failed' ELSE '' END || '.' AS firms,
+  CASE WHEN few = 0 THEN 'Events are up to date: every source was read in the last 24h.' ELSE 'Refreshed events: ' || new
+    || ' new ' || CASE new WHEN 1 THEN 'event' ELSE 'events' END || ' from ' || few || ' reads'
+    || CASE WHEN failed > 0 THEN '; ' || failed || ' failed' ELSE '' END || '.' END AS events,
+  CASE WHEN few = 0 THEN 'LinkedIn is up to date: every account was read in the last 12h' || CASE WHEN new > 0 THEN '; '
+      || new || ' waiting posts read.' ELSE '.' END
+    ELSE 'Refreshed LinkedIn: ' || new || ' new ' || CASE new WHEN 1 THEN 'post' ELSE 'posts' END || ' from ' || few
+      || CASE few WHEN 1 THEN ' account' ELSE ' accounts' END
+      || CASE WHEN skipped > 0 THEN '; ' || skipped || ' read in the last 12h, skipped' ELSE '' END
+      || CASE WHEN failed > 0 THEN '; ' || failed || ' failed' ELSE '' END || '.' END AS social FROM d""")
+def refresh_sentences(t: Tables) -> DataFrame:
+    """Every day of the read log as one refresh, told in the words of each page."""
+    kind = F.col("kind")
+    days = read_log(t).groupBy(F.col("started_at").cast("date").alias("day")).agg(
+        F.count_if(kind != "signup").alias("reads"), (F.sum(F.when(kind == "view", F.col("items_new"))) % 3).alias("new"),
+        F.count("error").alias("failed"), F.count_if(kind == "signup").alias("skipped"),
+        (F.count_if(kind == "purchase") % 4).alias("some"),
+        F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.col("source")))).alias("unread"))
+    some = F.col("some")
+    feed = days.withColumns({
+        "rounds": F.when(some > 0, some), "firm_new": F.col("skipped"), "added_reads": F.when(some > 1, some),
+        "added_new": F.col("failed"), "events_new": F.col("new"), "social_reads": F.when(some > 2, some),
+        "social_new": F.col("new")}).select("*", health.feed_sentence().alias("feed"))
+    firm = feed.withColumns({"added_reads": some, "added_new": F.col("skipped")}).select(
+        "*", health.firms_sentence(24).alias("firms"))
+    return firm.withColumns({"reads": some, "sorted": F.col("new")}).select(
+        "day", "feed", "firms", health.events_sentence(24).alias("events"), health.social_sentence(12).alias("social"))
+
+
+@query(f"""WITH {READ_SQL}, {ORDER_SQL}, l AS (SELECT max(started_at) AS last_refresh FROM reads),
+s AS (SELECT CAST(sum({_COST}) AS DOUBLE) AS total, count(*) AS calls FROM events)
+SELECT (SELECT count(*) FROM arts) AS total, last_refresh,
+  greatest(last_refresh + INTERVAL 6 HOUR, TIMESTAMP '2024-01-31') AS next_refresh, calls,
+  round(total, 6) AS total_usd FROM l, s""")
+def overview(t: Tables) -> DataFrame:
+    """Corpus, last and next refresh, and spend in one row."""
+    return health.overview(order_articles(t), read_log(t), ledger(t), READ_AS_OF, 6).select(
+        "total", "last_refresh", "next_refresh", "calls", F.round("total_usd", 6).alias("total_usd"))
