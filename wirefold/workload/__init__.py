@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("feed", "text", "stories", "rounds", "activity", "pages", "labels", "payloads", "reads",
-           "streams")
+           "streams", "collected")
 
 
 def load() -> dict:
