@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wirefold.llm import sharding, topk
 from wirefold.llm.sharding import Leaf, digest, place, tree, with_slots
@@ -118,3 +119,21 @@ def test_chunks_do_not_matter_for_slots(spark, monkeypatch):
     for shard in range(40):
         slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
         assert slots == list(range(len(slots)))
+
+
+def test_hot_keys_and_copies_are_split(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 64)
+    rows = [(None, f"text {i}") for i in range(900)] + [(None, None)] * 700 + [(5, "same")] * 300 + [(i, "x") for i in range(400)]
+    got = digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    assert Counter((r["doc_id"], r["size"]) for r in got)[None, 16] == 700
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) == 1
+    # The null id's rows lie in many parts of its chunk: no window holds more than a few of them.
+    docs = spark.createDataFrame([(None, i) for i in range(5000)], "doc_id bigint, size bigint").withColumn("shard", F.lit(0))
+    part = sharding._hash(F.col("size").cast("string")) % sharding.CHUNKS
+    assert docs.groupBy(part).count().agg({"count": "max"}).first()[0] < 25
+    assert sorted(r["slot"] for r in with_slots(docs, ties=("size",)).collect()) == list(range(5000))

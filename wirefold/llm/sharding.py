@@ -10,8 +10,9 @@ rows with another one.
 
 The law is ``key``: the key and the leaves decide, whatever else the table holds. Draws are JVM
 functions of the row; nothing is shuffled to place a row. Slots number the rows of a shard without
-one task per shard: rows are counted by (shard, chunk of the key's hash), a running sum over the
-chunk counts gives offsets, and rows are numbered inside their chunk.
+one task per shard: rows are counted by (shard, chunk of the key's hash, part of the chunk by the other
+columns), a running sum over these counts gives offsets, and rows are numbered inside their part. Rows
+that are equal in all columns are one row with a count there, so no key and no group of copies is hot.
 
 Defined results: a null key is placed like the empty string; a null text has size ``overhead`` and
 checksum 0; rows that repeat a key go to one shard and take slots of their own.
@@ -29,7 +30,8 @@ from pyspark.sql.window import Window
 from wirefold.llm.shared import Scratch, fresh
 
 SHARDS, RACK, REGION = 40, 5, 2            # leaves; leaves of a rack; racks of a region
-CHUNKS = 1024                              # chunks that a shard is numbered by
+CHUNKS = 1024                              # chunks that a shard is numbered by, and parts of a chunk
+BLOCK = 65536                              # equal rows that one task numbers at a time
 OVERHEAD = 16                              # bytes a row takes besides its text
 
 
@@ -100,32 +102,50 @@ def place(df: DataFrame, leaves: list[Leaf], key: str = "doc_id", shard: str = "
 
 
 def with_slots(placed: DataFrame, key: str = "doc_id", shard: str = "shard", slot: str = "slot",
-               ties: tuple[str, ...] = ()) -> DataFrame:
-    """``placed`` with consecutive numbers from 0 inside every shard. ``placed`` is read twice."""
-    chunk = fresh(placed, "_chunk")
-    rows = placed.withColumn(chunk, _hash(F.coalesce(
-        F.col(f"`{key}`").cast("string"), F.lit(""))) % CHUNKS)
-    before = Window.partitionBy(shard).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offset, size = fresh(rows, "_offset"), fresh(rows, "_size")
-    sizes = rows.groupBy(shard, chunk).agg(F.count(F.lit(1)).alias(size))
-    offsets = sizes.select(shard, chunk, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(offset))
-    inside = Window.partitionBy(shard, chunk).orderBy(key, *ties)
-    return (rows.withColumn(slot, F.row_number().over(inside))
-            .join(offsets, [shard, chunk])
-            .select(*[F.col(f"`{c}`") for c in placed.columns],
-                    (F.col(slot) - 1 + F.col(offset)).alias(slot)))
+               ties: tuple[str, ...] = (), copies: str | None = None) -> DataFrame:
+    """``placed`` with consecutive numbers from 0 inside every shard. ``placed`` is read twice.
+
+    A chunk of keys is split again by a hash of ``ties``, so that rows of one key, or of none, do not meet in one
+    task. ``copies`` names a column with the number of equal rows that a row stands for: it takes as many numbers,
+    and ``slot`` is the first of them.
+    """
+    names = [fresh(placed, n) for n in ("_chunk", "_part", "_offset", "_size")]
+    chunk, part, offset, size = names
+
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    many = F.col(f"`{copies}`") if copies else F.lit(1).cast("bigint")
+    rows = placed.withColumn(chunk, _hash(text(key)) % CHUNKS).withColumn(
+        part, _hash(F.concat_ws(":", *[text(c) for c in ties])) % CHUNKS)
+    earlier = (Window.unboundedPreceding, -1)
+    # A shard has CHUNKS * CHUNKS parts at most.
+    before = Window.partitionBy(shard).orderBy(chunk, part).rowsBetween(*earlier)
+    sizes = rows.groupBy(shard, chunk, part).agg(F.sum(many).alias(size))
+    offsets = sizes.select(shard, chunk, part, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(offset))
+    inside = Window.partitionBy(shard, chunk, part).orderBy(key, *ties).rowsBetween(*earlier)
+    return (rows.withColumn(slot, F.coalesce(F.sum(many).over(inside), F.lit(0)))
+            .join(offsets, [shard, chunk, part])
+            .select(*[F.col(f"`{c}`") for c in placed.columns], (F.col(slot) + F.col(offset)).alias(slot)))
 
 
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document.
+
+    Documents alike in all of these are counted first, wherever they lie, and get their numbers back in blocks.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.select("doc_id", (F.octet_length(text).cast("bigint") + OVERHEAD).alias("size"),
                         F.crc32(text.cast("binary")).alias("text_crc32"))
+    alike = sized.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     placed = Scratch(docs.sparkSession, "sharding").save(
-        place(sized, tree(shards), grown=("grown_shard", tree(shards + 1))), "placed")
-    numbered = with_slots(placed, ties=("size", "text_crc32"))
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-                           F.col("slot").cast("bigint").alias("slot"), "grown_shard")
+        place(alike, tree(shards), grown=("grown_shard", tree(shards + 1))), "placed")
+    numbered = with_slots(placed, ties=("size", "text_crc32"), copies="n")
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {BLOCK}")))
+    blocks = numbered.withColumn("block", block).repartition("doc_id", "size", "text_crc32", "block")
+    first, last = F.col("block") * BLOCK, F.least(F.col("n"), (F.col("block") + 1) * BLOCK) - 1
+    return blocks.withColumn("i", F.explode(F.sequence(first, last))).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        (F.col("slot") + F.col("i")).cast("bigint").alias("slot"), "grown_shard")
 
 
 _H = "('0x' || substr(md5({}), 1, 13))::BIGINT"
@@ -146,7 +166,8 @@ draws AS (SELECT row_id, k, s, -ln(({_H.format("k || ':' || s")} + 0.5) / 450359
 placed AS (SELECT row_id, arg_min(s, w) FILTER (s < {SHARDS}) AS shard, arg_min(s, w) AS grown_shard
   FROM draws GROUP BY row_id),
 sized AS (SELECT doc_id, strlen(body) + {OVERHEAD} AS size, text_crc32, shard, grown_shard,
-  {_H.format("k")} % {CHUNKS} AS chunk FROM d JOIN sums USING (row_id) JOIN placed USING (row_id))
+  {_H.format("k")} % {CHUNKS} AS chunk,
+  {_H.format(f"(strlen(body) + {OVERHEAD}) || ':' || text_crc32")} % {CHUNKS} AS part FROM d JOIN sums USING (row_id) JOIN placed USING (row_id))
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY chunk, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+  row_number() OVER (PARTITION BY shard ORDER BY chunk, part, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
   grown_shard::INT AS grown_shard FROM sized"""
