@@ -18,10 +18,12 @@ of rows for it.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wirefold.session import checkpoint_dir
 
@@ -121,21 +123,66 @@ def by_keys(keys: Callable[[Column], Column]) -> Keyed:
     return run
 
 
-def settled(edges: DataFrame) -> DataFrame:
+WALK_EDGES = 1_000_000    # edges of one owner that a task walks in one piece
+
+
+def settled(edges: DataFrame, piece_edges: int = WALK_EDGES) -> DataFrame:
     """(new): the rows dropped when every row is kept unless it matches an earlier kept row.
 
-    ``edges(new, old)`` are the matching pairs, ``old`` before ``new``. Each round keeps the rows
-    no undecided earlier row of which matches them, and drops what those match; there are as many
-    rounds as the longest chain of rows that match one after the other, however many
-    rows there are.
+    ``edges(who, new, old)`` are the matching pairs, ``old`` before ``new``, both structs that begin with ``t`` and
+    hold a unique ``id``; pairs lie within one ``who``. An owner's edges are cut into pieces by time, and a
+    round walks every piece in order (_walk), so there are as many rounds as pieces that hang on the piece before, not
+    as many as rows that match one after the other. What hangs on an open row of an earlier piece, and is
+    decided by no other, waits for the next round.
     """
-    live, dropped = edges, edges.select("new").limit(0)
+    before = Window.partitionBy("who").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    place = (edges.groupBy("who", (F.floor(F.col("new.t") / 86400) * 86400.0).alias("t"))
+             .agg(F.count(F.lit(1)).alias("n"))
+             .select("who", "t", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / piece_edges).alias("piece")))
+    pieces = F.broadcast(place.groupBy("who", "piece").agg(F.min("t").alias("begin"))
+                         .where("piece > 0").groupBy("who").agg(F.sort_array(F.collect_list("begin")).alias("begins")))
+    begun = F.size(F.filter(F.coalesce("begins", F.array().cast("array<double>")), lambda b: b <= F.col("new.t")))
+    live = cut(edges.join(pieces, "who", "left").select(
+        F.struct("who", begun.alias("n")).alias("piece"), "new", "old"), "settled-live")
+    dropped = None
     while True:
-        ready = live.select("old").distinct().join(
-            live.select(F.col("new").alias("old")).distinct(), "old", "left_anti")
-        hit = cut(live.join(ready, "old").select("new").distinct(), "settled-hit")
-        dropped = dropped.unionByName(hit)
-        live = cut(live.join(hit, "new", "left_anti").join(
-            hit.withColumnRenamed("new", "old"), "old", "left_anti"), "settled-live")
+        open_rows = live.select(F.col("new").alias("old"), F.lit(True).alias("open")).distinct()
+        asked = (live.join(open_rows, "old", "left").repartition("piece")
+                 .sortWithinPartitions("new", "old")
+                 .select(F.col("new.id").alias("new"), F.col("old.id").alias("old"), F.coalesce(
+                     "open", F.lit(False)).alias("open")))
+        kind = edges.schema["new"].dataType["id"].dataType.simpleString()
+        known = cut(asked.mapInArrow(_walk, f"id {kind}, gone boolean"), "settled-hit")
+        gone = known.where("gone").select("id")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        live = cut(live.join(known.select(F.col("id").alias("_new")), F.col("new.id") == F.col("_new"), "left_anti")
+                   .join(gone.select(F.col("id").alias("_old")), F.col("old.id") == F.col("_old"), "left_anti"),
+                   "settled-live")
         if live.isEmpty():
-            return dropped
+            return edges.select("new").distinct().join(
+                dropped.withColumnRenamed("id", "_id"), F.col("new.id") == F.col("_id"), "left_semi")
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, gone) of the rows that edges(new, old, open), sorted by row, decide. ``open``: the old row is itself
+    a new one somewhere; one that is not is kept."""
+    gone: dict = {}                       # rows walked here: dropped, kept (False) or not known (None)
+
+    def decided(ids: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([gone[i] for i in ids], pa.bool_())],
+                                          ["id", "gone"])
+    now, here, waits, kind = None, False, False, None
+    for batch in batches:
+        kind, done = batch.schema.field("new").type, []
+        for new, old, is_open in zip(*(batch[c].to_pylist() for c in ("new", "old", "open"))):
+            if new != now:
+                if now is not None:
+                    gone[now] = True if here else None if waits else False
+                    done.append(now)
+                now, here, waits = new, False, False
+            state = gone.get(old) if is_open else False
+            here, waits = here or state is False, waits or state is None
+        yield decided([i for i in done if gone[i] is not None])
+    if now is not None and (here or not waits):
+        gone[now] = here
+        yield decided([now])
