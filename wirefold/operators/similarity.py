@@ -28,11 +28,11 @@ HOT_TOKEN_GROUPS = 150
 def rank_tokens(groups: DataFrame, hot: int) -> DataFrame:
     """(pid, ranked): each profile's tokens rarest first, hot ones flagged.
 
-    A token's weight is how many groups of one bucket have it at most, since that is
-    how long its longest list of candidates gets.
+    A token's weight is how many groups of one bucket that may be the earlier side have it at most, since
+    that is how many candidates it gives a headline. The undated, all in one bucket, are the later side only.
     """
-    exploded = groups.select("pid", "bucket", F.explode("profile.tokens").alias("token"))
-    df = (exploded.groupBy("token", "bucket").agg(F.count("*").alias("n"))
+    exploded = groups.select("pid", "bucket", "as_old", F.explode("profile.tokens").alias("token"))
+    df = (exploded.groupBy("token", "bucket").agg(F.count_if("as_old").alias("n"))
           .groupBy("token").agg(F.max("n").alias("df")))
     return (exploded.select("pid", "token").distinct().join(df, "token").groupBy("pid")
             .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
@@ -54,7 +54,17 @@ def _cold_keys(ranked: Column, threshold: float, small: bool) -> Column:
                        lambda t: F.struct(t["key"].alias("key"), t["pos"].alias("pos")))
 
 
-LIST = ["key", "numbers", "bucket"]
+LIST = ["key", "numbers", "bucket", "role"]
+
+
+def _role(asked: bool) -> Column:
+    """What a group may be to another, as part of the key, so that two that are both only the later side (all
+    undated ones), or both only the earlier, never meet: its own role, or those it asks for."""
+    both, new = F.col("as_new") & F.col("as_old"), F.col("as_new")
+    if not asked:
+        return F.when(both, "both").when(new, "new").otherwise("old")
+    return F.explode(F.when(both, F.array(F.lit("both"), F.lit("new"), F.lit("old")))
+                     .when(new, F.array(F.lit("both"), F.lit("old"))).otherwise(F.array(F.lit("both"), F.lit("new"))))
 
 
 def _from(first: Column, last: Column) -> Column:
@@ -81,8 +91,8 @@ def _refined(wide: DataFrame, threshold: float, hot: int) -> DataFrame | None:
         return (df.withColumn("pos", F.explode(_from(F.col("pos") + 1, last)))
                 .withColumn("key", F.concat_ws(" ", "key", F.get("tokens", F.col("pos")))))
     need = overlap_needed(n, threshold)
-    s = begin(rows.select(*held, "cold", need.alias("need")), n - F.col("need"))
-    l = begin(rows.select(*held, "cold"), n - 1).withColumn("bucket", F.explode(F.array(
+    s = begin(rows.select(*held, "cold", need.alias("need"), _role(True).alias("role")), n - F.col("need"))
+    l = begin(rows.select(*held, "cold", _role(False).alias("role")), n - 1).withColumn("bucket", F.explode(F.array(
         F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
     level, found = 1, None
     while True:
@@ -131,8 +141,8 @@ def similar_groups(groups: DataFrame, threshold: float,
         *base, "bucket", overlap_needed(n, threshold).alias("need"),
         F.exists(F.slice("ranked", 1, n - overlap_needed(n, threshold) + 2),
                  lambda t: t["hot"]).alias("has_hot"),
-        F.explode(_cold_keys(F.col("ranked"), threshold, True)).alias("k"))
-    large = (wide.select(*base, "bucket", F.explode(
+        F.explode(_cold_keys(F.col("ranked"), threshold, True)).alias("k")).withColumn("role", _role(True))
+    large = (wide.select(*base, "bucket", _role(False).alias("role"), F.explode(
                  _cold_keys(F.col("ranked"), threshold, False)).alias("k"))
              .withColumn("bucket", F.explode(F.array(
                  F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))))
@@ -141,7 +151,7 @@ def similar_groups(groups: DataFrame, threshold: float,
     room = F.col("l.n") - F.col("l.k.pos") >= F.col("s.need") - 1
     candidates = (s.join(l, (F.col("s.k.key") == F.col("l.k.key"))
                          & (F.col("s.numbers") == F.col("l.numbers"))
-                         & (F.col("s.bucket") == F.col("l.bucket"))
+                         & (F.col("s.bucket") == F.col("l.bucket")) & (F.col("s.role") == F.col("l.role"))
                          & _may_match("s", "l", threshold) & room)
                   .groupBy(F.col("s.gid").alias("a"), F.col("l.gid").alias("b"))
                   .agg(F.count("*").alias("shared"), F.first("s.has_hot").alias("has_hot"))
