@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wirefold.functions.text import blank_to_null, col, label_text, map_of, squeeze, strip
+from wirefold.functions.text import blank_to_null, col, label_text, let, map_of, squeeze, strip
 
 # --- fixed values -------------------------------------------------------------
 CATEGORIES = ("Funding", "M&A", "IPO", "Product Launch", "Policy/Regulation",
@@ -92,12 +92,15 @@ def clean_investors(names: Column | str) -> Column:
     """Names cleaned, placeholders dropped, first spelling of each kept."""
     kept = F.filter(F.transform(col(names), lambda n: label_text(n, 120)),
                     lambda n: n.isNotNull())
-    lowered = F.transform(kept, F.lower)
-    return F.filter(kept, lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)
+
+    def first_spelling(k: Column) -> Column:
+        return let(F.struct(k.alias("kept"), F.transform(k, F.lower).alias("low")), lambda s: F.filter(
+            s["kept"], lambda n, i: F.array_position(s["low"], F.lower(n)) == i + 1))
+    return let(kept, first_spelling)
 
 
 def investors_text(names: Column | str) -> Column:
-    return blank_to_null(F.array_join(clean_investors(names), "; "))
+    return let(F.array_join(clean_investors(names), "; "), blank_to_null)
 
 
 def investors_list(text: Column | str) -> Column:
