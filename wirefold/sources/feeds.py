@@ -48,17 +48,20 @@ def parse_feeds(payloads: DataFrame) -> DataFrame:
     published_at, source, feed_categories. Items without a link or title are left out."""
     blocks = F.regexp_extract_all(
         _markup("body"), F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)\s*>"), F.lit(1))
-    b = F.col("block")
-    stamps = [xml_field(b, n) for n in ("pubDate", "published", "issued", "updated", "dc:date",
-                                        "modified")]
+
+    # Finished inside the array, so that the filter sees values and no field is read twice.
+    def item(b: Column) -> Column:
+        stamps = [xml_field(b, n) for n in ("pubDate", "published", "issued", "updated", "dc:date",
+                                            "modified")]
+        return F.struct(
+            _link(b).alias("url"), feed_text(xml_field(b, "title"), 300).alias("headline"),
+            feed_text(xml_field(b, "summary", "description", "content:encoded", "content")
+                      ).alias("description"),
+            F.coalesce(*[read_time(s, "UTC")["ts"] for s in stamps]).alias("published_at"),
+            _terms(b).alias("feed_categories"))
     return (payloads.select(F.col("url").alias("feed_url"), "source",
-                            F.posexplode(blocks).alias("pos", "block"))
-            .select("feed_url", "source", "pos", _link(b).alias("url"),
-                    feed_text(xml_field(b, "title"), 300).alias("headline"),
-                    feed_text(xml_field(b, "summary", "description", "content:encoded", "content")
-                              ).alias("description"),
-                    F.coalesce(*[read_time(s, "UTC")["ts"] for s in stamps]).alias("published_at"),
-                    _terms(b).alias("feed_categories"))
+                            F.posexplode(F.transform(blocks, item)).alias("pos", "i"))
+            .select("feed_url", "source", "pos", "i.*")
             .where("url is not null and headline is not null"))
 
 
