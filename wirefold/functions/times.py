@@ -88,17 +88,19 @@ def read_time(c: Column | str, zone: str = IST) -> Column:
 
 
 def _settle(text: Column, zone: str) -> Column:
-    zoned = text.rlike(_ZONED) & text.rlike(r"\d:\d{2}")
-    iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}|$)")
+    shape = F.struct(text.alias("text"), (text.rlike(_ZONED) & text.rlike(r"\d:\d{2}")).alias("zoned"),
+                     text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}|$)").alias("iso"))
+    return let(shape, lambda s: _placed(s["text"], s["zoned"], s["iso"], zone))
+
+
+def _placed(text: Column, zoned: Column, iso: Column, zone: str) -> Column:
     iso_text = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
     clock = F.trim(F.regexp_replace(text, r"(?i)\s*(z|gmt|utc|ist|[+-]\d{2}:?\d{2})$", ""))
     offset = F.regexp_extract(text, r"([+-])(\d{2}):?(\d{2})$", 0)
     sign = F.when(offset.startswith("-"), -1).otherwise(1)
     minutes = sign * (F.substring(offset, 2, 2).try_cast("int") * 60
                       + F.regexp_extract(offset, r"(\d{2})$", 1).try_cast("int"))
-    written = F.coalesce(*[F.try_to_timestamp(clock, F.lit(p)) for p in (
-        "d MMM yyyy", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy h:mm a",
-        "d MMM yyyy h:mma", "d MMM yyyy h a", "d MMM yyyy ha")])
+    written = let(clock, _written)
     wall = F.when(iso, F.regexp_replace(iso_text, _ZONED, "").try_cast("timestamp")
                   ).otherwise(written)
 
@@ -113,6 +115,18 @@ def _settle(text: Column, zone: str) -> Column:
     return let(wall, placed)
 
 
+def _written(clock: Column) -> Column:
+    """A written day with an optional clock. A form is tried on what may be of its shape only, as
+    every form that fails costs an exception."""
+    timed, half = clock.contains(":"), clock.rlike("(?i)m$")
+    seconds = timed & clock.rlike(":.*:")
+    forms = (("d MMM yyyy", ~timed & ~half), ("d MMM yyyy HH:mm:ss", seconds), ("d MMM yyyy HH:mm", timed & ~seconds & ~half),
+             ("d MMM yyyy h:mm a", timed & ~seconds & half), ("d MMM yyyy h:mma", timed & ~seconds & half),
+             ("d MMM yyyy h a", ~timed & half), ("d MMM yyyy ha", ~timed & half))
+    tried = F.coalesce(*[F.when(fits, F.try_to_timestamp(clock, F.lit(form))) for form, fits in forms])
+    return F.when(clock.rlike(r"^[+-]?\d+ \D"), tried)
+
+
 def published_time(c: Column | str, as_of) -> Column:
     """struct(ts, approx): "3 hours ago", "yesterday" or a written date."""
     return let(squeeze(c), lambda t: _published(t, as_of))
@@ -149,16 +163,18 @@ def _published(said: Column, as_of) -> Column:
 
 def event_time(c: Column | str) -> Column:
     """struct(ts, date_only). No zone means Indian time; no clock means the whole day."""
-    text = F.substring(squeeze(c), 1, 80)
-    has_clock = text.rlike(r"(?i)\d{1,2}:\d{2}|\d\s*(am|pm)\b")
+    def said(text: Column) -> Column:
+        return F.struct(read_time(text).alias("read"), text.rlike(
+            r"(?i)\d{1,2}:\d{2}|\d\s*(am|pm)\b").alias("clock"))
 
-    def placed(read: Column) -> Column:
+    def placed(of: Column) -> Column:
+        read, has_clock = of["read"], of["clock"]
         ts = F.when(has_clock, read["ts"]).otherwise(
             F.to_utc_timestamp(read["local_day"].cast("timestamp"), IST))
         return F.struct(ts.alias("ts"), F.coalesce(read["ts"].isNotNull() & ~has_clock, F.lit(False))
                         .alias("date_only"))
 
-    return let(read_time(text), placed)
+    return let(let(F.substring(squeeze(c), 1, 80), said), placed)
 
 
 def date_in_text(c: Column | str) -> Column:
@@ -170,8 +186,15 @@ def tidy_title(c: Column | str) -> Column:
     """A card's link text without its date and its "read more"."""
     text = F.regexp_replace(col(c), CARD_DATE, " ")
     text = F.replace(text, F.lit("\\"), F.lit(" "))
-    text = F.regexp_replace(text, WRITTEN_DATE, " ")
-    text = F.regexp_replace(text, READ_MORE, " ")
+
+    # Every written date has a year, and the other phrases one of these words: most texts need no replacing.
+    def undated(t: Column) -> Column:
+        return F.when(t.rlike(r"\d{4}"), F.regexp_replace(t, WRITTEN_DATE, " ")).otherwise(t)
+
+    def unasked(t: Column) -> Column:
+        said = let(F.lower(t), lambda low: low.contains("read more") | low.contains("min") | low.contains("new tab"))
+        return F.when(said, F.regexp_replace(t, READ_MORE, " ")).otherwise(t)
+    text = let(let(text, undated), unasked)
     return F.substring(F.btrim(squeeze(text), F.lit(" -|·,.")), 1, 300)
 
 

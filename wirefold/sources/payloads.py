@@ -76,22 +76,25 @@ def page_events(answers: DataFrame) -> DataFrame:
 
     listed = let(json_part("body"), list_in)
     items = F.filter(F.from_json(listed, "array<string>"), lambda i: i.startswith("{"))
-    r = F.from_json("item", "title string, name string, start string, end string, city string, "
-                            "venue string, online string, url string, description string")
-    rows = (answers.select("source_key", "page_url", F.explode(items).alias("item"))
-            .select("source_key", "page_url", r.alias("r"))
-            .withColumn("link", web_url("r.url", "page_url")))
-    events = rows.select(
-        "source_key", F.coalesce("link", "page_url").alias("url"),
-        (F.col("link").isNotNull() & (F.coalesce("link", F.lit("")) != F.col("page_url")))
-        .alias("own_link"),
-        field_text(_some("r.title", "r.name"), 300).alias("title"),
-        event_time("r.start")["ts"].alias("starts_at"), event_time("r.end")["ts"].alias("ends_at"),
-        event_time("r.start")["date_only"].alias("date_only"),
-        F.lit(None).cast("string").alias("timezone"), field_text("r.venue", 300).alias("venue"),
-        field_text("r.city", 120).alias("city"), F.lit(None).cast("string").alias("country"),
-        _truth("r.online").alias("online"), F.lit(None).cast("string").alias("host"),
-        field_text("r.description", 400).alias("description"))
+    fields = ("title string, name string, start string, end string, city string, "
+              "venue string, online string, url string, description string")
+
+    # Finished inside the array, before items become rows, so that the filter sees values and nothing is done twice.
+    def finished(r: Column) -> Column:
+        return F.struct(
+            web_url(r["url"], "page_url").alias("link"),
+            field_text(_some(r["title"], r["name"]), 300).alias("title"), event_time(r["start"]).alias("start"),
+            event_time(r["end"])["ts"].alias("ends_at"), field_text(r["venue"], 300).alias("venue"),
+            field_text(r["city"], 120).alias("city"), _truth(r["online"]).alias("online"),
+            field_text(r["description"], 400).alias("description"))
+    events = (answers.select("source_key", "page_url", F.explode(F.transform(items, lambda i: let(
+                  F.from_json(i, fields), finished))).alias("e"))
+              .select(
+        "source_key", F.coalesce("e.link", "page_url").alias("url"),
+        (F.col("e.link").isNotNull() & (F.coalesce("e.link", F.lit("")) != F.col("page_url")))
+        .alias("own_link"), "e.title", F.col("e.start.ts").alias("starts_at"), "e.ends_at", "e.start.date_only",
+        F.lit(None).cast("string").alias("timezone"), "e.venue", "e.city", F.lit(None).cast("string").alias("country"),
+        "e.online", F.lit(None).cast("string").alias("host"), "e.description"))
     return _with_uid(events.where("title is not null and starts_at is not null"))
 
 
