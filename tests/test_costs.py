@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from wirefold.functions import taxonomy, times
+from wirefold.operators import search, term_index
 from wirefold.sources import feeds, payloads
 
 
@@ -44,3 +45,14 @@ def test_every_written_form_is_still_read(spark):
     assert [r.ts for r in df.collect()] == at
     title = spark.createDataFrame([("One Jan 5, 2026 two Read  more about 5 mins read",), ("A year 2026 stays, MIN read more",)], "s string")
     assert [r[0] for r in title.select(times.tidy_title(F.col("s"))).collect()] == ["One two Read more about", "A year 2026 stays, MIN"]
+
+
+def test_words_are_counted_and_stemmed_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "Reads reading b a b", None), (2, "", "things")], "id long, headline string, description string")
+    for stemming, want in ((True, {(1, "headline", "read", 2), (1, "headline", "b", 2), (1, "headline", "a", 1), (2, "description", "thing", 1)}),
+                           (False, {(1, "headline", "reads", 1), (1, "headline", "reading", 1), (1, "headline", "b", 2),
+                                    (1, "headline", "a", 1), (2, "description", "things", 1)})):
+        df = search.postings(docs, ("headline", "description"), stemming)
+        assert said(df, "Join") == 0 and said(df, "Aggregate") == 0
+        assert {tuple(r) for r in df.select("id", "field", "term", "tf").collect()} == want
+    assert said(term_index.counted(docs, ("headline", "description")), "Aggregate") == 0

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirefold.functions.text import chunk_body, col
-from wirefold.operators.greedy import cut
+from wirefold.functions.text import chunk_body, col, let
 
 FIELDS = ("headline", "description", "company", "summary")
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -99,25 +99,34 @@ def terms(c: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def _stemmed(df: DataFrame) -> DataFrame:
-    """``df(term, ...)`` with stems. Python only sees each distinct word once."""
-    @F.pandas_udf("string")
-    def stems(words: pd.Series) -> pd.Series:
-        return words.map(stem)
-    roots = df.select("term").distinct().withColumn("root", stems("term"))
-    return df.join(roots, "term").drop("term").withColumnRenamed("root", "term")
+_known_stem = lru_cache(1 << 16)(stem)
+
+
+def _stems(words: pd.Series) -> pd.Series:
+    """Stems of the words of texts. A task keeps the stems of the words it met last."""
+    return words.map(lambda found: [_known_stem(w) for w in found])
+
+
+def word_counts(words: Column) -> Column:
+    """array<struct(term, tf)> of a text's words, without a shuffle: a term's place is where its run in the
+    sorted words begins."""
+    def runs(w: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return let(F.struct(w.alias("w"), begins.alias("at")), lambda s: F.transform(s["at"], lambda i, n: F.struct(
+            F.get(s["w"], i).alias("term"),
+            (F.coalesce(F.get(s["at"], n + 1), F.size(s["w"])) - i).cast("bigint").alias("tf"))))
+    return let(F.array_sort(words), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(
+        F.array().cast("array<struct<term:string,tf:bigint>>")))
 
 
 def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS, stemming: bool = True) -> DataFrame:
-    """(id, field, term, tf), meant to be stored. Words are counted where the texts lie."""
+    """(id, field, term, tf), meant to be stored, of docs with one row for an id. Words are counted and
+    stemmed where the texts lie."""
     parts = F.array(*[F.struct(F.lit(f).alias("field"), terms(f).alias("terms")) for f in fields])
-    words = (docs.select("id", F.explode(parts).alias("p"))
-             .select("id", "p.field", F.explode("p.terms").alias("term")))
-    counted = words.groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
-    if not stemming:
-        return counted
-    return (_stemmed(cut(counted, "postings")).groupBy("id", "field", "term")
-            .agg(F.sum("tf").alias("tf")))
+    words = docs.select("id", F.explode(parts).alias("p")).select("id", "p.field", "p.terms")
+    if stemming:
+        words = words.withColumn("terms", F.pandas_udf(_stems, "array<string>")("terms"))
+    return words.select("id", "field", F.explode(word_counts(F.col("terms"))).alias("w")).select("id", "field", "w.*")
 
 
 def update_postings(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None,

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirefold.operators.greedy import cut
-from wirefold.operators.search import B, FIELDS, K1, MIN_IDF, query_terms, terms
+from wirefold.operators.search import B, FIELDS, K1, MIN_IDF, query_terms, terms, word_counts
 from wirefold.streaming.refresh import read_before, write_batch
 
 BUCKETS = 64        # partitions of the terms; one index keeps one number
@@ -41,8 +41,8 @@ def counted(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     length = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, p: n + F.size(p["terms"]))
     return (docs.where("id is not null").select("id", words.alias("parts"))
             .select("id", length.alias("length"), F.explode("parts").alias("p"))
-            .select("id", "length", "p.field", F.explode("p.terms").alias("term"))
-            .groupBy("term", "id", "field", "length").agg(F.count(F.lit(1)).alias("tf")))
+            .select("id", "length", "p.field", F.explode(word_counts(F.col("p.terms"))).alias("w"))
+            .select("w.term", "id", "field", "length", "w.tf"))
 
 
 def _by_bucket(df: DataFrame, root: str, table: str, batch: int) -> None:
