@@ -1,6 +1,7 @@
 """Wrappers and main text of pages."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,41 @@ def test_no_region_where_nothing_holds_nearly_all(spark):
     plain = "<body><h1>t {0}</h1><div class='lede'><p>lede {0}</p></div><div class='b'><p>" + "words {0} " * 80 + "</p></div></body>"
     pages = rows(spark, [(i, "http://h.com/", plain.format(i)) for i in range(5)])
     assert digest(pages).first()["text"].startswith("t ") and infer(pages).first()["region"] == []
+
+
+def test_wide_levels_have_the_region_that_narrow_ones_have(spark):
+    """Hundreds of siblings that differ from page to page, next to the content."""
+    def page(i, wide):
+        return ("<html><body><div class='kq'><p>teaser {0}</p></div>" + "".join(f"<x{k}y{i}></x{k}y{i}>" for k in range(wide))
+                + "<div class='sidebar zz'><h2>Title {0}</h2><p>" + "the story {0} goes on " * 30 + "</p></div></body></html>").format(f"n{i}")
+    for wide in (5, 450):
+        found = infer(rows(spark, [(i, "http://h.com/", page(i, wide)) for i in range(5)])).first()
+        assert found["region"] == ["html", "body", "div.sidebar.zz"], wide
+
+
+def test_alignment_is_the_longest_common_run():
+    """As a table of all suffixes gives it, ties decided alike."""
+    rng = random.Random(3)
+
+    def by_table(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.append([a[i], "", None, [], 0])
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                out.append([a[i], "?", None, [], 0])
+                i += 1
+            else:
+                out.append([b[j], "?", None, [], 0])
+                j += 1
+        return wrappers.fold(out + [[x, "?", None, [], 0] for x in a[i:] + b[j:]])
+    for _ in range(300):
+        a, b = ([rng.choice("pqrstuv") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        if a != b:
+            made = [[[x, "", None, [], 0] for x in side] for side in (a, b)]
+            assert wrappers.aligned(*made) == by_table(a, b)

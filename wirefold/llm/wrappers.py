@@ -6,8 +6,8 @@ an optional group, and neighbours that repeat become a repeated group. The resul
 expression, the host's wrapper. Aligning two wrappers gives a wrapper again, so every task folds the
 pages it reads, per host, and only those partial wrappers are shuffled and folded, in two
 steps so that a host with a third of all pages is never gathered in one place. A wrapper is as large as
-the host's markup is varied, not as the host is large; a level with too many different siblings
-becomes one item that stands for anything. Only the wrapper is coarser then, extraction stays whole.
+the host's markup is varied, not as the host is large. A level of very many different siblings is aligned
+like any other; only where a wrapper is shown it becomes one item that stands for anything.
 
 The wrapper says where a host keeps its content. Every text item of it knows how many characters
 the pages had there, and whether these are the same on all pages or a slot. From the root on, the
@@ -54,7 +54,7 @@ NEARLY = 0.9                 # share of the host's distinct pages that must
 MOST = 0.9                   # share of a level's characters in slots that the region must hold
 PERIOD = 4                   # longest run of siblings tried as one repeated group
 DEEPEST = 64                 # levels a wrapper tells apart; deeper markup counts for the level above
-WIDEST = 400                 # siblings a wrapper tells apart; a level that varies more becomes ANY
+WIDEST = 400                 # siblings that are shown of a level; a wider one is shown as ANY
 ANY = "~"
 
 # Elements by their role in a page.
@@ -211,7 +211,7 @@ def _both(a: str, b: str) -> str:
 
 
 def _merge(a: list, b: list) -> list:
-    return [a[0], _both(a[1], b[1]), a[2] if a[2] == b[2] else None, align(a[3], b[3]), a[4] + b[4]]
+    return [a[0], _both(a[1], b[1]), a[2] if a[2] == b[2] else None, aligned(a[3], b[3]), a[4] + b[4]]
 
 
 def _repeated(item: list) -> list:
@@ -241,32 +241,65 @@ def fold(items: list) -> list:
     return items
 
 
+def _commons(a: list, b: list) -> Iterator[int]:
+    """For the last 0, 1, .. items of ``a``, as bits: at which items of ``b``, from its end, the longest common run of
+    keys grows. One addition for each item of ``a``, however long ``b`` is."""
+    full, at = (1 << len(b)) - 1, {}
+    for place, item in enumerate(reversed(b)):
+        at[item[0]] = at.get(item[0], 0) | 1 << place
+    stay = full
+    yield 0
+    for item in reversed(a):
+        same = at.get(item[0])
+        if same:
+            met = stay & same
+            stay = ((stay + met) | (stay - met)) & full
+        yield stay ^ full
+
+
 def align(a: list, b: list) -> list:
+    """``aligned`` as it is shown."""
+    return shown(aligned(a, b))
+
+
+def shown(items: list) -> list:
+    """A wrapper to be read: levels of more than WIDEST siblings stand for anything."""
+    if len(items) > WIDEST:
+        return [[ANY, "*", None, [], 0]]
+    return [[*item[:3], shown(item[3]), item[4]] for item in items]
+
+
+def aligned(a: list, b: list) -> list:
     """One sequence that covers both: a longest common run of keys matches, the rest turns optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [_merge(x, y) for x, y in zip(a, b)]
     n, m = len(a), len(b)
-    if n > WIDEST or m > WIDEST or any(x[0] == ANY for x in (*a[:1], *b[:1])):
-        return [[ANY, "*", None, [], 0]]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = (best[i + 1][j + 1] + 1 if a[i][0] == b[j][0]
-                          else max(best[i + 1][j], best[i][j + 1]))
+    rows = list(_commons(a, b))
     out, i, j = [], 0, 0
+    # Length of the longest common run of a[i:] and b[j:], and of a[i + 1:] and b[j:].
+    here, below = rows[n].bit_count(), rows[n - 1].bit_count() if n else 0
 
     def optional(item: list) -> list:
         return [item[0], _both(item[1], "?"), *item[2:]]
+
+    def down() -> tuple[int, int]:
+        return below, (rows[n - i - 1] & ((1 << (m - j)) - 1)).bit_count() if i < n else 0
     while i < n and j < m:
+        last = m - j - 1
+        grown, grown_below = rows[n - i] >> last & 1, rows[n - i - 1] >> last & 1
         if a[i][0] == b[j][0]:
             out.append(_merge(a[i], b[j]))
+            here, below = here - grown, below - grown_below
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+            here, below = down()
+        elif below >= here - grown:
             out.append(optional(a[i]))
             i += 1
+            here, below = down()
         else:
             out.append(optional(b[j]))
             j += 1
+            here, below = here - grown, below - grown_below
     out += [optional(x) for x in a[i:]] + [optional(x) for x in b[j:]]
     return fold(out)
 
@@ -373,7 +406,7 @@ def _fold_parts(batches: Iterator[pa.RecordBatch], read) -> Iterator[pa.RecordBa
     for batch in batches:
         for host, pages, items in read(batch):
             known = seen.get(host)
-            seen[host] = [pages, items] if known is None else [known[0] + pages, align(known[1], items)]
+            seen[host] = [pages, items] if known is None else [known[0] + pages, aligned(known[1], items)]
         if len(seen) > 10_000:
             yield rows()
     yield rows()
@@ -407,10 +440,10 @@ def infer(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
                 known = seen.get(host)
                 items = json.loads(items)
                 seen[host] = ([pages, items] if known is None
-                              else [known[0] + pages, align(known[1], items)])
+                              else [known[0] + pages, aligned(known[1], items)])
         yield pa.RecordBatch.from_arrays([
             pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()),
-            pa.array([pattern(v[1]) for v in seen.values()], pa.string()),
+            pa.array([pattern(shown(v[1])) for v in seen.values()], pa.string()),
             pa.array([region_of(v[1]) if v[0] >= ALIKE else [] for v in seen.values()], pa.list_(pa.string()))],
             ["host", "pages", "wrapper", "region"])
     return (parts.mapInArrow(finish, "host string, pages bigint, wrapper string, region array<string>")
