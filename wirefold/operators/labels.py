@@ -16,6 +16,7 @@ from wirefold.functions.text import col, company_text, label_text, let, squeeze,
 from wirefold.functions.times import IST, instant
 from wirefold.functions.urls import slug_title
 from wirefold.operators.dedupe import admit_added_rounds
+from wirefold.operators.greedy import cut
 from wirefold.operators.numbering import number_rows, running_sum
 
 # --- fixed values: batch sizes, text sent per record, thresholds ----------------------
@@ -291,14 +292,21 @@ def apply_rounds(packed: DataFrame, answers: DataFrame, as_of) -> DataFrame:
         instant(as_of).alias("extracted_at"))
 
 
-def _apply(posts: DataFrame, packed: DataFrame, answers: DataFrame, fields: dict[str, Column]
-           ) -> DataFrame:
-    got = _answered(packed.select("id", "batch", "number"), answers).select(
+def _told(packed: DataFrame, answers: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    return _answered(packed.select("id", "batch", "number"), answers).select(
         "id", *[c.alias(f"n_{name}") for name, c in fields.items()], F.lit(True).alias("answered"))
-    joined = posts.join(got, "id", "left")
+
+
+def _set(posts: DataFrame, told: DataFrame, names) -> DataFrame:
+    joined = posts.join(told, "id", "left")
     return joined.select(*[
         F.when(F.col("answered"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
-        if c in fields else F.col(c) for c in posts.columns])
+        if c in names else F.col(c) for c in posts.columns])
+
+
+def _apply(posts: DataFrame, packed: DataFrame, answers: DataFrame, fields: dict[str, Column]
+           ) -> DataFrame:
+    return _set(posts, _told(packed, answers, fields), fields)
 
 
 def apply_firm_posts(posts: DataFrame, packed: DataFrame, answers: DataFrame, as_of) -> DataFrame:
@@ -324,18 +332,26 @@ def apply_social_posts(posts: DataFrame, packed: DataFrame, answers: DataFrame,
 
 def apply_added_rounds(rounds: DataFrame, packed: DataFrame, answers: DataFrame,
                        known: DataFrame, as_of) -> DataFrame:
-    """Added-site posts with their round; ``kept`` when a raise by a named company is new."""
+    """Added-site posts with their round; ``kept`` when a raise by a named company is new.
+
+    The answers are read once and written down, and so are the raises among them: telling which are new asks
+    for them several times.
+    """
     e = F.col("entry")
     label = taxonomy.clean_round(e["round"])
-    got = _apply(rounds.withColumn("raising", F.lit(None).cast("boolean")), packed, answers, {
+    fields = {
         "round_label": label, "company": label_text(e["company"], 200),
         "stage": taxonomy.stage(e["stage"], label), "amount": label_text(e["amount"], 120),
         "investors": _investors(e), "extracted_at": instant(as_of),
-        "raising": F.coalesce(e["raise"] == "true", F.lit(False))})
+        "raising": F.coalesce(e["raise"] == "true", F.lit(False))}
+    told = cut(_told(packed, answers, fields), "added-told")
+    raises = told.where("n_raising and n_company is not null").select(
+        "id", F.col("n_company").alias("company"), F.col("n_stage").alias("stage"))
+    fresh = cut(rounds.select("id", "published_at").join(raises, "id"), "added-raises")
     before = rounds.where("kept").select("company", "stage", "published_at")
-    fresh = got.where("raising and company is not null")
     new = admit_added_rounds(fresh, known.select("company", "stage", "published_at")
                              .unionByName(before)).select("id", F.lit(True).alias("is_new"))
+    got = _set(rounds.withColumn("raising", F.lit(None).cast("boolean")), told, fields)
     return (got.join(new, "id", "left")
             .withColumn("kept", F.when(F.col("raising").isNull(), F.col("kept"))
                         .otherwise(F.coalesce("is_new", F.lit(False))))
