@@ -150,7 +150,8 @@ def firm_activity(posts: DataFrame, news: DataFrame, start=None, end=None,
     if origin and origin not in ORIGINS:
         raise ValueError("origin is site, added, search or news")
     place = F.array_position(F.array(*[F.lit(o) for o in ORIGINS]), F.col("origin"))
-    rows = posts.unionByName(news).withColumn("place", place)
+    # Written once: merging reads the rows three times, and each would look for firms in all investor texts.
+    rows = cut(posts.unionByName(news).withColumn("place", place), "firm-rows")
     kept = deal_dedupe(rows, ["place", "row_id"])
     shown = kept.where(in_days("published_at", start, end))
     if origin:
