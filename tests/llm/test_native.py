@@ -69,6 +69,36 @@ def test_shuffled_and_broadcast_seeds_agree(spark, monkeypatch):
     assert decontam.leaks(docs, items).collect() == first == [(1, 7, 13)]
 
 
+def test_a_large_benchmark_shuffles_no_windows(spark, monkeypatch):
+    """More windows than are broadcast at once: the same leaks, and no document's tokens dealt out by window."""
+    rnd = random.Random(8)
+    items = [(i, " ".join(f"w{rnd.randrange(200)}" for _ in range(rnd.choice([5, 8, 12, 30, 60])))) for i in range(25)]
+    docs = [(d, " ".join([f"w{rnd.randrange(200)}" for _ in range(30)] + items[d % 25][1].split()[:d] + ["zzz"]))
+            for d in range(60)] + [(None, items[3][1]), (7, items[4][1]), (None, None)]
+    texts = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    plans, plain = [], decontam.Scratch.save
+
+    def watched(self, df, *a, **b):
+        plans.append(plan_of(df))
+        return plain(self, df, *a, **b)
+    whole = sorted(map(str, decontam.leaks(texts, benchmark).collect()))
+    kept = sorted(map(str, decontam.clean(texts, benchmark).collect()))
+    monkeypatch.setattr(decontam.Scratch, "save", watched)
+    monkeypatch.setattr(decontam, "SEEDS", 400)
+    monkeypatch.setattr(decontam, "GROUPED", 16, raising=False)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = decontam.leaks(texts, benchmark)
+        plans.append(plan_of(found))
+        assert sorted(map(str, found.collect())) == whole and len(whole) > 40
+        assert sorted(map(str, decontam.clean(texts, benchmark).collect())) == kept and len(kept) > 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert not [p for p in plans if re.search(r"hashpartitioning\(seed#\d+L?, \d+\)", p)]
+
+
 def test_decontamination_edges(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     docs = spark.createDataFrame(
